@@ -584,3 +584,44 @@ def core_then_assign(spark, d):
 @query()
 def session_replay(spark, d):
     return identity.replay_sessions(tables.samples(spark, d), k=3).drop("identities")
+
+
+@query()
+def live_state(spark, d):
+    """Batch replay of test conversations as live sessions: the last state of each."""
+    from ..sources import audio
+    from ..streaming.live import replay_states
+
+    talks = {"talk": [("A", 4), ("-", 1), ("B", 3), ("A", 6.5), ("B", 2), ("A", 8)], "crowd": [("A", 5), ("B", 5), ("A", 3), ("AB", 8), ("B", 5)]}
+    chunks = audio.recordings(spark, {k: audio.conversation(v) for k, v in talks.items()})
+    return replay_states(chunks, speaker_count=2)
+
+
+@query()
+def diarize(spark, d):
+    """The batch path from sound to shares, on test conversations."""
+    from ..sources import audio
+    from .diarize import diarize as run
+
+    talks = {"talk": [("A", 4), ("-", 1), ("B", 3), ("A", 6.5), ("B", 2), ("A", 8)], "crowd": [("A", 5), ("B", 5), ("A", 3), ("AB", 8), ("B", 5)]}
+    return run(audio.recordings(spark, {k: audio.conversation(v) for k, v in talks.items()}), speaker_count=2).shares
+
+
+@query()
+def session_export(spark, d):
+    """Every recording of samples as one export document."""
+    from ..sources import documents
+
+    s = _labelled(spark, d).select("recording_id", "idx", F.col("start_ms").cast("double").alias("start_ms"), F.col("end_ms").cast("double").alias("end_ms"), F.col("duration_ms").cast("double").alias("duration_ms"), F.lit(0.0).alias("credited_ms"), F.lit(0.0).alias("level"), F.col("label").cast("int").alias("identity"), "vector")
+    return documents.session_export(s, s.groupBy("recording_id").agg(F.max("end_ms").alias("elapsedMs"))).select("recording_id", "elapsedMs", F.array_join("identities", ",").alias("identities"), F.size("vectors").cast("long").alias("samples"))
+
+
+ORACLE_SQL["session_export"] = sql("SELECT recording_id, CAST(max(end_ms) AS DOUBLE) AS elapsedMs, string_agg(CAST(label AS VARCHAR), ',' ORDER BY idx) AS identities, count(*) AS samples FROM lab GROUP BY ALL", "lab")
+
+
+@query("SELECT recording_id, array_to_string(list_sort(list(DISTINCT speaker)), ',') AS speakers, count(*) AS turns FROM trn GROUP BY ALL", "trn")
+def truth_documents(spark, d):
+    """Annotations as documents: speakers in order, and how many turns they hold."""
+    from ..sources import documents
+
+    return documents.truth_documents(tables.turns(spark, d)).select("recording_id", F.array_join("speakers", ",").alias("speakers"), F.size("turns").cast("long").alias("turns"))

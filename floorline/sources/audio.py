@@ -99,7 +99,7 @@ def make_voices(speakers: int, each: int, noise: float = 0.15, dim: int = 64, se
 
 
 def recordings(spark: SparkSession, audio: dict[str, np.ndarray]) -> DataFrame:
-    return spark.createDataFrame(pd.concat([chunked(k, v) for k, v in audio.items()]).assign(samples=lambda x: x["samples"].map(list)), CHUNKS)
+    return spark.createDataFrame(pd.concat([chunked(k, v) for k, v in audio.items()]).assign(samples=lambda x: x["samples"].map(np.ndarray.tolist)), CHUNKS)
 
 
 def totals(chunks: DataFrame) -> DataFrame:

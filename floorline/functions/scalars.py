@@ -96,9 +96,16 @@ def input_level(rms: Column) -> Column:
 def on_boundary(edge_ms: Column, within: float = 60.0) -> Column:
     """Whether an edge lies within ``within`` ms of a trust boundary: 2.5 s and every 5 s from there."""
     off = F.pmod(edge_ms - 2_500, F.lit(C.HOP_MS))
-    return (off <= within) | (off >= C.HOP_MS - within)
+    return (off < within) | (off > C.HOP_MS - within)
 
 
 def window_number(end_ms: Column) -> Column:
     """Number of the live window that first trusts a sample ending at ``end_ms``."""
     return F.greatest(F.lit(0), F.ceil((end_ms - 7_500) / C.HOP_MS)).cast("int")
+
+
+def choose_locale(stored: Column, preferred: Column, known: tuple[str, ...] = ("en", "es")) -> Column:
+    """The stored language if it is known, else the first preferred one whose base is, else the first known."""
+    bases = F.transform(preferred, lambda t: F.split(F.lower(t), "-")[0])
+    fits = F.filter(bases, lambda b: b.isin(*known))
+    return F.when(stored.isin(*known), stored).when(F.size(fits) > 0, F.get(fits, F.lit(0))).otherwise(F.lit(known[0]))

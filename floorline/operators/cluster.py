@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import constants as C
-from .vectors import centre, centroids, nearest
+from .vectors import centroids, nearest
 
 
 # --- on arrays, for one recording -------------------------------------------------------------
@@ -214,10 +214,3 @@ def smoothed_labels(vectors, labels, weights, start_ms, end_ms, penalty: float,
     for i in range(len(cost) - 1, -1, -1):
         path[i], at = seen[at], back[i][at]
     return path
-
-
-def core_then_assign(samples: DataFrame, k: int, least_ms: float) -> DataFrame:
-    """Groups formed from samples of ``least_ms`` or more alone; the shorter are placed by centroid."""
-    v = centre(samples)
-    core = agglomerative(v.where(F.col("duration_ms") >= least_ms), k=k)
-    return place_splinters(v.drop("label").join(core, ["recording_id", "idx"], "left").withColumn("label", F.coalesce("label", F.lit(C.OTHER_VOICE))))

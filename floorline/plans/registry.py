@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import constants as C, scalars
 from ..functions.vectors import nearest_rank
-from ..operators import cluster, identity, interval, score, tally, timeline, vectors
+from ..operators import cluster, identity, interval, reports, score, tally, timeline, vectors
 from ..sources import tables
 from .prelude import sql
 
@@ -576,11 +576,6 @@ def viterbi_smooth(spark, d):
     return cluster.viterbi(_labelled(spark, d), 0.3, 2000)
 
 
-@query()
-def core_then_assign(spark, d):
-    return cluster.core_then_assign(tables.samples(spark, d), k=4, least_ms=1500)
-
-
 @query()
 def session_replay(spark, d):
     return identity.replay_sessions(tables.samples(spark, d), k=3).drop("identities")
@@ -625,3 +620,68 @@ def truth_documents(spark, d):
     from ..sources import documents
 
     return documents.truth_documents(tables.turns(spark, d)).select("recording_id", F.array_join("speakers", ",").alias("speakers"), F.size("turns").cast("long").alias("turns"))
+
+
+# --- reports ------------------------------------------------------------------------------------
+
+_ORACLE = """ctr AS (SELECT recording_id, truth, list_transform(v, lambda x: x / n) AS centroid FROM (SELECT recording_id, truth, list(s ORDER BY d) AS v, sqrt(sum(s * s)) AS n FROM (SELECT recording_id, truth, d, sum(x * duration_ms) AS s FROM parts GROUP BY ALL) GROUP BY ALL)),
+jdg AS (SELECT recording_id, idx, duration_ms, own, nearest, own_distance, nearest <> own AS misplaced FROM (SELECT l.recording_id, l.idx, l.duration_ms, l.truth AS own, arg_min(c.truth, (1 - list_dot_product(l.vector, c.centroid), c.truth)) AS nearest, max(1 - list_dot_product(l.vector, c.centroid)) FILTER (c.truth = l.truth) AS own_distance FROM samples l JOIN ctr c USING (recording_id) GROUP BY ALL))"""
+
+
+@query()
+def oracle_assignment(spark, d):
+    return reports.oracle_labels(tables.samples(spark, d)).withColumn("own_distance", F.round("own_distance", 6))
+
+
+ORACLE_SQL["oracle_assignment"] = sql("", "parts").rstrip() + ",\n" + _ORACLE + "\nSELECT recording_id, idx, duration_ms, own, nearest, round(own_distance, 6) AS own_distance, misplaced FROM jdg"
+
+
+@query()
+def placement_medians(spark, d):
+    return reports.placement_medians(reports.oracle_labels(tables.samples(spark, d))).withColumn("own_distance", F.round("own_distance", 6))
+
+
+_UPPER = lambda x: f"list_sort(list({x}))[CAST(least(floor(0.5 * count(*)), count(*) - 1) AS BIGINT) + 1]"
+ORACLE_SQL["placement_medians"] = sql("", "parts").rstrip() + ",\n" + _ORACLE + f"\nSELECT recording_id, own, misplaced, count(*) AS segments, {_UPPER('duration_ms')} AS duration_ms, round({_UPPER('own_distance')}, 6) AS own_distance FROM jdg GROUP BY ALL"
+
+
+@query("SELECT h.recording_id, h.idx, round(coalesce(sum(ms) FILTER (h.speaker = s2), 0) / any_value(h.dur), 6) AS purity, round(coalesce(sum(ms) FILTER (h.speaker <> s2), 0) / any_value(h.dur), 6) AS others, round(greatest(0.0, 1 - coalesce(sum(ms), 0) / any_value(h.dur)), 6) AS unannotated FROM hyp h LEFT JOIN (SELECT h.recording_id, h.idx, t.speaker AS s2, least(h.end_ms, t.end_ms) - greatest(h.start_ms, t.start_ms) AS ms FROM hyp h JOIN trn t ON h.recording_id = t.recording_id AND t.start_ms < h.end_ms AND t.end_ms > h.start_ms) m ON h.recording_id = m.recording_id AND h.idx = m.idx WHERE h.dur > 0 GROUP BY h.recording_id, h.idx", "hyp")
+def segment_purity(spark, d):
+    found = reports.purity(tables.hypothesis(spark, d), tables.turns(spark, d))
+    return found.select("recording_id", "idx", _six("purity"), _six("others"), _six("unannotated"))
+
+
+@query("SELECT recording_id, idx, (pmod1 < 60 OR pmod1 > 4940) OR (pmod2 < 60 OR pmod2 > 4940) AS on_boundary FROM (SELECT recording_id, idx, ((start_ms - 2500) % 5000 + 5000) % 5000 AS pmod1, ((end_ms - 2500) % 5000 + 5000) % 5000 AS pmod2 FROM usable)", "usable")
+def boundary_spans(spark, d):
+    return _usable(spark, d).select("recording_id", "idx", (scalars.on_boundary(F.col("start_ms")) | scalars.on_boundary(F.col("end_ms"))).alias("on_boundary"))
+
+
+@query()
+def spread_by_person(spark, d):
+    found = reports.spread_by_person(_labelled(spark, d))
+    return found.select("recording_id", "label", "samples", "short", _six("p50"), _six("p90"), "closer")
+
+
+@query()
+def policy_scoreboard(spark, d):
+    return reports.scoreboard(tables.samples(spark, d), k=4)
+
+
+@query()
+def enrolment_report(spark, d):
+    return reports.enrolment_report(tables.samples(spark, d))
+
+
+@query()
+def newcomer_report(spark, d):
+    return reports.newcomer_report(tables.samples(spark, d))
+
+
+@query()
+def smoothing_report(spark, d):
+    return reports.smoothing_report(tables.samples(spark, d), k=4)
+
+
+@query()
+def field_report(spark, d):
+    return reports.field_report(tables.samples(spark, d), k=4)

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import cut
+
 #: Lines on more than this share of a host's pages are dropped.
 RATIO = 0.2
 #: And on this many pages at least: on a host of few pages a share says nothing.
 LEAST_PAGES = 3
+#: Common lines, by host and hash, up to which they are broadcast; beyond, pages and lines meet by host and salt.
+BROADCAST_LINES = 200_000
+SALTS = 64
 
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)"
 #: Markup whose content is no text, and elements that end a line.
@@ -27,22 +32,27 @@ def lines_of(html: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: x != "")
 
 
-def drop_boilerplate(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", ratio: float = RATIO, least_pages: int = LEAST_PAGES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """(page_id, url, host, n_lines, n_dropped, text): each row of ``pages`` without its site's boilerplate.
 
     A line counts once a page. Null and empty pages have no lines and an empty text, but count as pages. URLs that are
     null or have no host are one site, named by the empty string. Repeated rows are pages of their own. Hot hosts and
-    lines are counted before they are shuffled, and only hashes of lines travel; a page's own lines never leave its row
-    but for one join on the page.
+    lines are counted before they are shuffled, and only hashes of lines travel. Pages stay where they are read while the
+    common lines are few enough to broadcast; else a host's pages are dealt out by salt.
     """
     base = pages.select(F.col(page_id), F.col(url), host_of(F.col(url)).alias("host"), lines_of(F.col(html)).alias("lines"))
     hashed = base.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))).alias("line"))
     totals = base.groupBy("host").agg(F.count("*").alias("pages"))
     counts = hashed.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    common = counts.join(totals, "host").where(F.col("n") > F.lit(ratio) * F.col("pages")).select("host", "line")
-    # lists of hashes by host, in pieces: more than 1/ratio lines of a page can't be common on average, so they stay short
+    common = cut(counts.join(totals, "host").where(F.col("n") > F.lit(ratio) * F.col("pages")).select("host", "line"))
+    # of a page's lines not more than 1/ratio can be common on average, so a host's list is as short as a few pages
     lists = common.groupBy("host").agg(F.collect_set("line").alias("common"))
-    marked = base.join(lists, "host", "left").withColumn("common", F.coalesce("common", F.array().cast("array<bigint>")))
+    if common.count() <= broadcast_lines:
+        marked = base.join(F.broadcast(lists), "host", "left")
+    else:
+        salted = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        marked = base.withColumn("salt", F.pmod(F.xxhash64(page_id, url), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    marked = marked.withColumn("common", F.coalesce("common", F.array().cast("array<bigint>")))
     kept = F.filter("lines", lambda x: ~F.array_contains("common", F.xxhash64(x)))
     return marked.withColumn("kept", kept).select(
         page_id, url, "host", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("text")

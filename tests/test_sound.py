@@ -8,6 +8,7 @@ from floorline.functions import audio
 from floorline.models import Models, SpreadEmbedder, ToneSegmenter, models, verified
 from floorline.plans.diarize import diarize
 from floorline.sources import audio as sound, documents
+from floorline.streaming import sinks
 from floorline.streaming.live import LiveSession, live_updates
 
 TALK = sound.conversation([("A", 4), ("-", 1), ("B", 3), ("-", 0.5), ("A", 6.5), ("B", 2), ("-", 1), ("A", 3), ("B", 4), ("-", 2), ("A", 8), ("B", 5)])
@@ -159,10 +160,13 @@ def test_streaming_job_equals_fold(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(source / f"p{part}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(source))
     out = live_updates(stream, speaker_count=2)
-    query = out.writeStream.outputMode("update").format("memory").queryName("states").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query = sinks.write_states(out, str(tmp_path / "states"), str(tmp_path / "cp"))
     query.awaitTermination(240)
     assert query.exception() is None
-    last = {r.session: r for r in spark.table("states").orderBy("covered_to_ms").collect()}
+    states = spark.read.parquet(str(tmp_path / "states"))
+    assert states.select("epoch").distinct().count() == 2
+    last = {r.session: r for r in sinks.latest(states).collect()}
+    assert sinks.event_log(states).where("kind = 'window' and session = 'one'").count() == 8
     for name, talk in (("one", TALK), ("two", OVERLAP)):
         state = live(talk, speaker_count=2).state()
         assert last[name].total_ms == pytest.approx(state["total_ms"]) and last[name].covered_to_ms == state["covered_to_ms"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import running_total, unit_interval
+from .common import cut, running_total, unit_interval
 
 #: Weights of sources in order of their names, repeating.
 WEIGHTS = (1, 2, 3)
@@ -12,6 +12,10 @@ WEIGHTS = (1, 2, 3)
 MOST_TIMES = 3
 #: Bins of a source's ranks whose sums are added up before documents are ranked within a bin.
 BINS = 4096
+#: Sources up to which their targets are broadcast. With more, documents meet them by source and salt, so that a
+#: frequent source fills no task.
+BROADCAST_SOURCES = 50_000
+SALTS = 32
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -46,7 +50,7 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: float = MOS
     )
 
 
-def mix(docs: DataFrame, *, keep: list[str] | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", propensity: str | None = None, weights: tuple = WEIGHTS, most: float = MOST_TIMES, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, *, keep: list[str] | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", propensity: str | None = None, weights: tuple = WEIGHTS, most: float = MOST_TIMES, seed: int = 17, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
     """Adds to the columns ``keep`` of each row of ``docs`` (its id, if None): size, source_size, target, copies, taken.
 
     A document's expected copies are its source's target over its size (times its ``propensity``, a positive column, over
@@ -60,7 +64,7 @@ def mix(docs: DataFrame, *, keep: list[str] | None = None, doc_id: str = "doc_id
     keep = [c for c in ([doc_id] if keep is None else keep) if c not in ("size", "source_size", "target", "copies", "taken")]
     base = docs.select(*keep, F.struct(*(F.col(c) for c in dict.fromkeys((doc_id,)))).alias("_id"), F.concat(F.lit("s"), F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))).alias("_source"), word_count(text).alias("size"), (F.lit(1.0) if propensity is None else F.col(propensity).cast("double")).alias("_liking"))
     sums = docs.select(F.col(source).cast("string").alias("source"), word_count(text).alias("size"), (F.lit(1.0) if propensity is None else F.col(propensity).cast("double")).alias("_liking"))
-    sums = sums.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("_liking")).alias("_liked"))
+    sums = cut(sums.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("_liking")).alias("_liked")))
     targets = source_targets(sums.select("source", "source_size"), weights, most).select(F.concat(F.lit("s"), F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).alias("_source"), "source_size", "target")
     if propensity is not None:
         liked = sums.select(F.concat(F.lit("s"), F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).alias("_source"), "_liked")
@@ -69,8 +73,13 @@ def mix(docs: DataFrame, *, keep: list[str] | None = None, doc_id: str = "doc_id
     if propensity is not None:
         ratio = F.least(F.lit(float(most)), ratio * F.col("_liking") * F.col("source_size") / F.when(F.col("_liked") > 0, F.col("_liked")))
     dice = unit_interval(F.lit(seed), F.col(f"_id.{doc_id}"))
+    if sums.count() <= broadcast_sources:
+        met = base.join(F.broadcast(targets), "_source")
+    else:
+        salted = targets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = base.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).join(salted, ["_source", "_salt"])
     ranked = (
-        base.join(targets, "_source")
+        met
         .withColumn("_expected", F.coalesce(ratio, F.lit(0.0)))
         .withColumn("_whole", F.floor("_expected"))
         .withColumn("_part", F.col("_expected") - F.col("_whole"))

@@ -147,7 +147,8 @@ def extract_text(html: str | None, sigma: float = SIGMA, level: float = LEVEL) -
     ratios = np.array([0.0 if off else max(0, len(text) - linked) / max(tags, 1) for text, tags, linked, off, _ in lines])
     smooth = smoothed(ratios, sigma)
     floor = level * float(smooth.std())
-    kept = [not off and (s >= floor or r >= floor) for (_, _, _, off, _), s, r in zip(lines, smooth, ratios, strict=True)]
+    # a line that is mostly links stays a menu, however good its neighbours are
+    kept = [not off and 2 * linked < len(text) and (s >= floor or r >= floor) for (text, _, linked, off, _), s, r in zip(lines, smooth, ratios, strict=True)]
     if any(k and line[4] for k, line in zip(kept, lines, strict=True)):
         kept = [not off and inside for *_, off, inside in lines]
     return "\n\n".join(line[0] for line, k in zip(lines, kept, strict=True) if k)

@@ -31,29 +31,33 @@ def _loads(rows: DataFrame, shards: int, column: str = "shard", n: Column | None
 def _settle(blocks: DataFrame, capacity: list[int], shards: int, rounds: int) -> DataFrame:
     """Rounds of moves. ``blocks`` (grp, block, shard, n): members by the shard they are in. Returns (grp, block, home).
 
-    In each round a block asks for the shard with most of its members, then of its settled group, among those with room
-    for it; shards accept in a fixed order until their quota is used up. Who isn't accepted asks again.
+    In each round a group ranks the shards with room by how many of its settled, then of its other members they hold,
+    and its blocks ask for the first; those of a group too large for one shard share out as many as it needs. Shards
+    accept in a fixed order, large blocks first, until their quota is used up. Who isn't accepted asks again.
     """
     sizes = blocks.groupBy("grp", "block").agg(F.sum("n").alias("size"))
     settled, left, used = None, cut(blocks.join(sizes, ["grp", "block"])), [0] * shards
     for _ in range(rounds):
         room = [c - u for c, u in zip(capacity, used, strict=True)]
-        candidates = left.select("grp", "block", "size", "shard", F.col("n").alias("own"), F.lit(0).cast("long").alias("kin"))
+        roomy = sorted(range(shards), key=lambda s: -room[s])[: max(1, shards // 4)]
+        mean_room = max(1.0, sum(room) / max(1, sum(r > 0 for r in room)))
+        groups = left.groupBy("grp").agg(F.sum("n").alias("rows"), F.max("size").alias("need"))
+        zero = F.lit(0).cast("long")
+        holds = left.groupBy("grp", "shard").agg(F.sum("n").alias("own")).select("grp", "shard", "own", zero.alias("kin"))
+        # any of the shards with most room, for a group that finds none where it is
+        spare = F.element_at(F.array(*(F.lit(s) for s in roomy)), (F.pmod(F.xxhash64("grp"), F.lit(len(roomy))) + 1).cast("int"))
+        holds = holds.unionByName(groups.select("grp", spare.alias("shard"), zero.alias("own"), zero.alias("kin")))
         if settled is not None:
             kin = settled.groupBy("grp", F.col("home").alias("shard")).agg(F.sum("size").alias("kin"))
-            asking = left.select("grp", "block", "size").distinct()
-            candidates = candidates.unionByName(asking.join(kin, "grp").select("grp", "block", "size", "shard", F.lit(0).cast("long").alias("own"), "kin"))
-        spare = F.xxhash64("grp")
-        # any shard with room, the same for all blocks of a group, for those that find no room where neighbours are
-        roomy = sorted(range(shards), key=lambda s: -room[s])[: max(1, shards // 4)]
-        fallback = F.element_at(F.array(*(F.lit(s) for s in roomy)), (F.pmod(spare, F.lit(len(roomy))) + 1).cast("int"))
-        candidates = candidates.unionByName(left.select("grp", "block", "size").distinct().select("grp", "block", "size", fallback.alias("shard"), F.lit(0).cast("long").alias("own"), F.lit(0).cast("long").alias("kin")))
-        counted = candidates.groupBy("grp", "block", "size", "shard").agg(F.sum("own").alias("own"), F.sum("kin").alias("kin")).where(_lookup(room, F.col("shard")) >= F.col("size"))
-        asks = counted.groupBy("grp", "block", "size").agg(F.max(F.struct("kin", "own", F.xxhash64("grp", "shard").alias("tie"), "shard")).alias("best")).select("grp", "block", "size", F.col("best.shard").alias("home"))
-        # large blocks first: they find room least easily
-        asks = asks.withColumn("_turn", F.xxhash64("grp", "block")).withColumn("_bin", F.lit(64) - F.least(F.floor(F.log2("size")), F.lit(64)))
-        asks = asks.withColumn("_bin", F.col("_bin") * 64 + F.pmod("_turn", F.lit(64))).withColumn("_turn", F.pmod("_turn", F.lit(1 << 40)))
-        heard = running_total(asks, ["home"], "_bin", ["_turn", "grp", "block"], F.col("size"), "_before")
+            holds = holds.unionByName(kin.join(groups.select("grp"), "grp", "left_semi").select("grp", "shard", zero.alias("own"), "kin"))
+        known = holds.groupBy("grp", "shard").agg(F.sum("own").alias("own"), F.sum("kin").alias("kin")).join(groups, "grp").where(_lookup(room, F.col("shard")) >= F.col("need"))
+        best = Window.partitionBy("grp").orderBy(F.desc("kin"), F.desc("own"), F.xxhash64("grp", "shard"), "shard")
+        ranked = known.withColumn("rank", F.row_number().over(best)).withColumn("ways", F.least(F.count("*").over(Window.partitionBy("grp")), F.greatest(F.lit(1), F.ceil(F.col("rows") / mean_room))))
+        ranked = ranked.where("rank <= ways").select("grp", "ways", (F.col("rank") - 1).alias("pick"), F.col("shard").alias("home"))
+        ways = ranked.where("pick = 0").select("grp", "ways")
+        asks = left.select("grp", "block", "size").distinct().join(ways, "grp").withColumn("pick", F.pmod("block", "ways")).join(ranked.select("grp", "pick", "home"), ["grp", "pick"])
+        asks = asks.withColumn("_turn", F.pmod(F.xxhash64("grp", "block"), F.lit(1 << 40))).withColumn("_bin", (F.lit(64) - F.least(F.floor(F.log2("size")), F.lit(64))) * 64 + F.shiftright("_turn", 34))
+        heard = running_total(asks.select("grp", "block", "size", "home", "_turn", "_bin"), ["home"], "_bin", ["_turn", "grp", "block"], F.col("size"), "_before")
         accepted = cut(heard.where(F.col("_before") + F.col("size") <= _lookup(room, F.col("home"))).select("grp", "block", "size", "home"))
         gained = _loads(accepted, shards, "home", F.col("size"))
         if not sum(gained):

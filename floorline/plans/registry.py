@@ -685,3 +685,49 @@ def smoothing_report(spark, d):
 @query()
 def field_report(spark, d):
     return reports.field_report(tables.samples(spark, d), k=4)
+
+
+# --- small rules ----------------------------------------------------------------------------------
+
+
+@query(
+    "SELECT recording_id, idx, CAST(greatest(0, ceil((end_ms - 7500) / 5000)) AS INTEGER) AS window_no, floor(level / 7 * 10000 + 0.5) / 10000 AS rounded, least(1.0, level / 1000 * 4) AS input_level, end_ms - start_ms > 3000 AS late, idx % 8 AS colour, CAST(floor(start_ms / 1000 * 16000 + 0.5) AS BIGINT) AS first_sample FROM usable",
+    "usable",
+)
+def scalar_rules(spark, d):
+    u, level = _usable(spark, d), F.col("level")
+    return u.select("recording_id", "idx", scalars.window_number(F.col("end_ms")).alias("window_no"), scalars.rounded4(level / 7).alias("rounded"), scalars.input_level(level / 1000).alias("input_level"), scalars.stalled(F.lit(True), F.col("end_ms") * 10, F.col("start_ms") * 10).alias("late"), scalars.palette(F.col("idx")).alias("colour"), scalars.ms_to_sample(F.col("start_ms")).alias("first_sample"))
+
+
+@query("SELECT recording_id, count(*) AS samples, CAST(least(8, floor(count(*) / 25)) AS INTEGER) AS headroom, count(DISTINCT truth) >= 4 AS large_table FROM samples GROUP BY ALL", "samples")
+def headroom(spark, d):
+    counts = tables.samples(spark, d).groupBy("recording_id").agg(F.count("*").alias("samples"), F.count_distinct("truth").alias("people"))
+    return counts.select("recording_id", "samples", scalars.splinter_headroom(F.col("samples")).alias("headroom"), scalars.large_table_hint(F.col("people"), F.lit(False)).alias("large_table"))
+
+
+@query(
+    "SELECT h.recording_id, h.idx, coalesce(min(t.idx), -1) AS period FROM (SELECT recording_id, idx, (start_ms + end_ms) / 2 AS mid FROM hyp) h LEFT JOIN trn t ON h.recording_id = t.recording_id AND t.idx % 2 = 0 AND t.start_ms <= h.mid AND h.mid < t.end_ms GROUP BY ALL",
+    "hyp",
+)
+def period_routing(spark, d):
+    """Every other turn as an introduction period, and the period that holds each span's middle."""
+    periods = tables.turns(spark, d).where(F.col("idx") % 2 == 0).select("recording_id", F.col("idx").alias("period"), F.col("start_ms").cast("double").alias("from_ms"), F.col("end_ms").cast("double").alias("to_ms"))
+    middles = tables.hypothesis(spark, d).select("recording_id", "idx", ((F.col("start_ms") + F.col("end_ms")) / 2).alias("mid_ms"))
+    return interval.period_of(middles, periods).select("recording_id", "idx", F.coalesce("period", F.lit(-1)).alias("period"))
+
+
+@query("SELECT c.recording_id, c.label AS speaker, coalesce(n.name, 'Speaker ' || (c.label + 1)) AS name, CAST(sum(dur + credited_ms) AS BIGINT) AS total_ms FROM credited c LEFT JOIN (VALUES (0, 'Ana'), (2, 'Marta')) n(id, name) ON c.label = n.id GROUP BY ALL", "credited")
+def named_legend(spark, d):
+    """Typed names by number, or 'Speaker n' for who has none."""
+    names = spark.createDataFrame([(0, "Ana"), (2, "Marta")], "speaker int, name string")
+    named = tally.shares(_credited(spark, d)).join(names, "speaker", "left")
+    return named.select("recording_id", "speaker", F.coalesce("name", F.concat(F.lit("Speaker "), F.col("speaker") + 1)).alias("name"), "total_ms")
+
+
+@query("SELECT recording_id, idx FROM (SELECT *, coalesce(sum(duration_ms) OVER (PARTITION BY recording_id, truth ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM samples) WHERE before >= 10000", "samples")
+def not_enrolled(spark, d):
+    """Samples that are no part of their speaker's first ten seconds."""
+    s = tables.samples(spark, d)
+    before = F.coalesce(F.sum("duration_ms").over(Window.partitionBy("recording_id", "truth").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    enrolled = s.withColumn("_before", before).where("_before < 10000").select("recording_id", "idx")
+    return s.select("recording_id", "idx").join(enrolled, ["recording_id", "idx"], "left_anti")

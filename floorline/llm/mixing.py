@@ -62,9 +62,13 @@ def mix(docs: DataFrame, *, keep: list[str] | None = None, doc_id: str = "doc_id
     after the other. An empty table gives no rows. Columns of ``docs`` with names of the new ones are left out.
     """
     keep = [c for c in ([doc_id] if keep is None else keep) if c not in ("size", "source_size", "target", "copies", "taken")]
-    base = docs.select(*keep, F.struct(*(F.col(c) for c in dict.fromkeys((doc_id,)))).alias("_id"), F.concat(F.lit("s"), F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))).alias("_source"), word_count(text).alias("size"), (F.lit(1.0) if propensity is None else F.col(propensity).cast("double")).alias("_liking"))
-    sums = docs.select(F.col(source).cast("string").alias("source"), word_count(text).alias("size"), (F.lit(1.0) if propensity is None else F.col(propensity).cast("double")).alias("_liking"))
-    sums = cut(sums.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("_liking")).alias("_liked")))
+    liking = F.lit(1.0) if propensity is None else F.col(propensity).cast("double")
+    name = F.col(source).cast("string")
+    marked = F.concat(F.lit("s"), F.coalesce(F.concat(F.lit("="), name), F.lit("")))
+    base = docs.select(*keep, F.struct(F.col(doc_id)).alias("_id"), name.alias("_name"), marked.alias("_source"), word_count(text).alias("size"), liking.alias("_liking"))
+    if set(keep) <= {doc_id, source}:
+        base = cut(base)  # narrow: words are counted once
+    sums = cut(base.groupBy(F.col("_name").alias("source")).agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("_liking")).alias("_liked")))
     targets = source_targets(sums.select("source", "source_size"), weights, most).select(F.concat(F.lit("s"), F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).alias("_source"), "source_size", "target")
     if propensity is not None:
         liked = sums.select(F.concat(F.lit("s"), F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).alias("_source"), "_liked")
@@ -73,7 +77,8 @@ def mix(docs: DataFrame, *, keep: list[str] | None = None, doc_id: str = "doc_id
     if propensity is not None:
         ratio = F.least(F.lit(float(most)), ratio * F.col("_liking") * F.col("source_size") / F.when(F.col("_liked") > 0, F.col("_liked")))
     dice = unit_interval(F.lit(seed), F.col(f"_id.{doc_id}"))
-    if sums.count() <= broadcast_sources:
+    few = sums.count() <= broadcast_sources
+    if few:
         met = base.join(F.broadcast(targets), "_source")
     else:
         salted = targets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -85,12 +90,12 @@ def mix(docs: DataFrame, *, keep: list[str] | None = None, doc_id: str = "doc_id
         .withColumn("_part", F.col("_expected") - F.col("_whole"))
         .withColumn("_dice", dice)
         # odds of the dice over odds of inclusion, folded into [0, 1]
-        .withColumn("_rank", F.when(F.col("_part") > 0, F.col("_dice") * (1 - F.col("_part")) / (F.col("_dice") * (1 - F.col("_part")) + (1 - F.col("_dice")) * F.col("_part"))).otherwise(1.0))
+        .withColumn("_rank", F.when(F.col("_part") > 0, F.col("_dice") * (1 - F.col("_part")) / (F.col("_dice") * (1 - F.col("_part")) + (1 - F.col("_dice")) * F.col("_part"))).otherwise(F.col("_dice")))
         .withColumn("_bin", F.least(F.floor(F.col("_rank") * BINS), F.lit(BINS - 1)))
     )
     certain = ranked.groupBy("_source").agg(F.sum(F.col("_whole") * F.col("size")).alias("_certain")) if propensity is not None else None
     if certain is not None:
-        ranked = ranked.join(certain, "_source").withColumn("_lack", F.col("target") - F.col("_certain"))
+        ranked = ranked.join(F.broadcast(certain) if few else certain, "_source").withColumn("_lack", F.col("target") - F.col("_certain"))
     else:
         ranked = ranked.withColumn("_lack", F.col("target") - F.col("_whole") * F.col("source_size"))
     drawn = running_total(ranked, ["_source"], "_bin", ["_rank", F.col(f"_id.{doc_id}"), "size"], F.when(F.col("_part") > 0, F.col("size")).otherwise(0), "_before")
@@ -99,7 +104,8 @@ def mix(docs: DataFrame, *, keep: list[str] | None = None, doc_id: str = "doc_id
     return drawn.withColumn("copies", copies).select(*keep, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mixed_rows(docs: DataFrame, **names) -> DataFrame:
-    """``docs`` as mixed: each row as often as it is taken, all columns as they are (a column of a reserved name is not allowed)."""
-    taken = mix(docs, keep=docs.columns, **names)
-    return taken.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(docs.columns)
+def mixed_rows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", **more) -> DataFrame:
+    """``docs`` as mixed: each row as often as it is taken, all columns as they are, whatever their names."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source"))
+    taken = mix(rows, keep=["_row"], **more).where("copies > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("_row.*")

@@ -22,6 +22,8 @@ SHARD_ROWS = 8_192
 BLOCK_ROWS = 1_024
 #: Shards that a task takes a block of queries through.
 RUN = 4
+#: Tasks at most; with more pairs of a block and a run of shards a task takes several, one after the other.
+TASKS = 4_096
 
 
 class Tree:
@@ -158,7 +160,7 @@ def top_k(vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", embed
     # each block meets each run of shards once: the stated queries against all rows, in blocks
     trees = trees.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.floor(F.col("part") / RUN).cast("int").alias("run"), F.col("part").alias("at"), "body")
     asked = asked.select(F.col("part").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"), F.lit(-1).alias("at"), "body")
-    met = asked.unionByName(trees).repartition(max(1, blocks * runs), "block", "run").sortWithinPartitions("block", "run", "at")
+    met = asked.unionByName(trees).repartition(min(TASKS, blocks * runs), "block", "run").sortWithinPartitions("block", "run", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = ids = queries = best = None

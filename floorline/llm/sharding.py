@@ -14,6 +14,8 @@ from .common import cut, running_total
 SHARDS = 24
 #: Rows of a block at most; also at most a quarter of a shard.
 BLOCK = 10_000
+#: Parts into which a group's rows are dealt where they meet its size, so that a large group fills no task.
+SALTS = 16
 ROUNDS = 12
 BINS = 4096
 
@@ -86,11 +88,12 @@ def shard(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shards
     block = max(1, min(block, total // shards // 4))
     groups = rows.where(F.col("grp").isNotNull()).groupBy("grp").agg(F.count("*").alias("members")).where("members > 1")
     parts = F.ceil(F.col("members") / F.lit(block))
-    linked = rows.join(groups, "grp").withColumn("block", F.pmod(F.shiftright("_mix", 8), parts))
-    linked = linked.select(doc_id, "copy", "grp", "block", "shard")
+    rows = rows.withColumn("salt", F.pmod(F.shiftright("_mix", 24), F.lit(SALTS)).cast("int"))
+    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    linked = rows.join(groups, ["grp", "salt"]).withColumn("block", F.pmod(F.shiftright("_mix", 8), parts))
     counts = cut(linked.groupBy("grp", "block", "shard").agg(F.count("*").alias("n")))
     homes = _settle(counts, capacity, shards, rounds)
-    placed = rows.join(groups, "grp", "left").withColumn("block", F.when(F.col("members").isNotNull(), F.pmod(F.shiftright("_mix", 8), parts)))
+    placed = rows.join(groups, ["grp", "salt"], "left").withColumn("block", F.when(F.col("members").isNotNull(), F.pmod(F.shiftright("_mix", 8), parts)))
     placed = cut(placed.join(homes, ["grp", "block"], "left").withColumn("shard", F.coalesce("home", "shard")).select(doc_id, "copy", "grp", "size", "text_crc32", "_mix", "shard", F.col("home").isNull().alias("free")))
     # free rows make up what is over or missing: those beyond a shard's room fill the others in turn
     firm = _loads(placed.where(~F.col("free")), shards)
@@ -113,7 +116,7 @@ def shard(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shards
     if not carry:
         return out.select(doc_id, "size", "text_crc32", "shard", "slot")
     mine = [c for c in docs.columns if c not in ("size", "text_crc32", "shard", "slot")]
-    whole = docs.select(*mine, grp.alias("grp")).withColumn("copy", copy)
+    whole = docs.select(F.struct(*mine).alias("_row"), F.col(doc_id), grp.alias("grp")).withColumn("copy", copy)
     found = out.select(F.col(doc_id).alias("_doc"), F.col("copy").alias("_nth"), F.col("grp").alias("_grp"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
     same = F.col(doc_id).eqNullSafe(F.col("_doc")) & F.col("grp").eqNullSafe(F.col("_grp")) & (F.col("copy") == F.col("_nth"))
-    return whole.join(found, same).select(*mine, F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
+    return whole.join(found, same).select("_row.*", F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))

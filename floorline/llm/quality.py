@@ -56,36 +56,71 @@ class CompressionClassifier:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Newton's steps for a logistic curve with a small ridge on standardised columns."""
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+    """A logistic curve with a ridge on standardised columns: Newton's steps, halved until the loss falls."""
     mean, sd = x.mean(axis=0), x.std(axis=0)
     mean[0], sd[0] = 0, 1
     sd[sd == 0] = 1
-    z, w = (x - mean) / sd, np.zeros(x.shape[1])
-    for _ in range(50):
+    z, w, weight = (x - mean) / sd, np.zeros(x.shape[1]), ridge * len(y)
+
+    def loss(w: np.ndarray) -> float:
+        m = z @ w
+        return float(np.logaddexp(0, m).sum() - y @ m + weight / 2 * (w[1:] @ w[1:]))
+
+    shrink = np.full(len(w), weight)
+    shrink[0] = 1e-9
+    now = loss(w)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = (z * (p * (1 - p))[:, None]).T @ z + ridge * len(y) / 100 * np.eye(len(w)) + 1e-9 * np.eye(len(w))
-        step = np.linalg.solve(h, z.T @ (y - p) - ridge * len(y) / 100 * w)
-        w = w + step
-        if np.abs(step).max() < 1e-8:
+        step = np.linalg.solve((z.T * (p * (1 - p))) @ z + np.diag(shrink), z.T @ (y - p) - shrink * w)
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > now:
+            size /= 2
+        w = w + size * step
+        if now - (now := loss(w)) < 1e-9 * max(1.0, abs(now)):
             break
     out = w / sd
     out[0] -= float((w / sd * mean)[1:].sum())
     return out
 
 
-def _dictionary(texts: list[str], size: int = DICTIONARY_BYTES) -> bytes:
-    """Content for a dictionary: pieces of many texts in turn, so that long ones don't fill it."""
-    pieces, total = [], 0
-    share = max(200, size // max(len(texts), 1))
+def _grams(text: str) -> set:
+    words = text.split()
+    return {hash(tuple(words[i : i + 4])) for i in range(len(words) - 3)}
+
+
+def _pieces(texts: list[str], size: int) -> list[tuple[bytes, set]]:
+    """The middles of texts, so that long ones don't fill a dictionary, with their word 4-grams."""
+    share, out = max(200, size // max(len(texts), 1)), []
     for text in texts:
         raw = text.encode()
         start = max(0, (len(raw) - share) // 2)
-        pieces.append(raw[start : start + share])
-        total += len(pieces[-1])
+        piece = raw[start : start + share]
+        out.append((piece, _grams(piece.decode("utf-8", "ignore"))))
+    return out
+
+
+def _dictionary(texts: list[str], others: list[str], size: int = DICTIONARY_BYTES) -> bytes:
+    """Content for a dictionary of one class.
+
+    It should hold the manner of the class, not its wording: a piece is passed over if a fifth of its word 4-grams
+    are there already, or are in texts of the other class; else copies would decide their own score.
+    """
+    pieces = _pieces(texts, size)
+    wanted = set().union(*(g for _, g in pieces)) if pieces else set()
+    elsewhere = set()
+    for text in others:
+        elsewhere |= _grams(text) & wanted
+    chosen, total, seen = [], 0, set()
+    for piece, grams in pieces:
         if total >= size:
             break
-    return b"\n".join(pieces)[:size]
+        if grams and max(len(grams & seen), len(grams & elsewhere)) > 0.2 * len(grams):
+            continue
+        seen |= grams
+        chosen.append(piece)
+        total += len(piece)
+    return b"\n".join(chosen)[:size]
 
 
 def fit_texts(good: list[str], bad: list[str]) -> CompressionClassifier:
@@ -93,7 +128,7 @@ def fit_texts(good: list[str], bad: list[str]) -> CompressionClassifier:
     if not good or not bad:  # nothing to tell apart: one score for all
         rate = (len(good) + 1) / (len(good) + len(bad) + 2)
         return CompressionClassifier(b"", b"", [float(np.log(rate / (1 - rate))), *[0.0] * 8])
-    model = CompressionClassifier(_dictionary(good[::2]), _dictionary(bad[::2]))
+    model = CompressionClassifier(_dictionary(good[::2], bad), _dictionary(bad[::2], good))
     rest = [(t, 1) for t in good[1::2] or good] + [(t, 0) for t in bad[1::2] or bad]
     x = np.stack([model.features(t) for t, _ in rest])
     model.weights = _logistic(x, np.array([float(y) for _, y in rest])).tolist()

@@ -80,16 +80,28 @@ def spans(text: bytes, marks: np.ndarray) -> list[dict]:
     return [{"start": int(chars[at[a][0]]), "end": int(chars[at[b - 1][1]])} for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def scan(text: str | None, slices: list[list[tuple]], window: int) -> tuple[int, np.ndarray | None, set]:
-    """Number of words, which of them are hit (None: none), and the items found."""
-    words = normal_words((text or "").encode())
-    if not words:
-        return 0, None, set()
-    line = (b" " + b" ".join(words) + b" ").decode("latin-1")
-    marks, found = None, set()
+def scan_all(texts: list[str | None], slices: list[list[tuple]], window: int) -> list[tuple[int, np.ndarray | None, set]]:
+    """For each text the number of words, which of them are hit (None: none), and the items found.
+
+    A slice's automaton is built or taken from the worker's cache once for all texts.
+    """
+    lines, counts = [], []
+    for text in texts:
+        words = normal_words((text or "").encode())
+        counts.append(len(words))
+        lines.append((b" " + b" ".join(words) + b" ").decode("latin-1") if words else "")
+    marks: list[np.ndarray | None] = [None] * len(texts)
+    found: list[set] = [set() for _ in texts]
     for items in slices:
-        marks = Scanner.of(items, window).hits(line, marks, len(words), found)
-    return len(words), marks, found
+        scanner = Scanner.of(items, window)
+        for i, (line, n) in enumerate(zip(lines, counts, strict=True)):
+            if n:
+                marks[i] = scanner.hits(line, marks[i], n, found[i])
+    return list(zip(counts, marks, found, strict=True))
+
+
+def scan(text: str | None, slices: list[list[tuple]], window: int) -> tuple[int, np.ndarray | None, set]:
+    return scan_all([text], slices, window)[0]
 
 
 def item_slices(benchmark: DataFrame, item_id: str, text: str, budget: int = AUTOMATON_BYTES) -> list:
@@ -127,9 +139,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "
         out = to_arrow_schema(schema)
         for batch in batches:
             rows = []
-            for words in batch.column(1):
-                words = words.as_py()
-                n, marks, found = scan(words, [s.value for s in slices], window)
+            texts = batch.column(1).to_pylist()
+            for words, (n, marks, found) in zip(texts, scan_all(texts, [s.value for s in slices], window), strict=True):
                 rows.append((n, 0 if marks is None else int(marks.sum()), sorted(found, key=str), [] if marks is None else spans(words.encode(), marks)))
             columns = [pa.array(list(x), type=f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, list(out)[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(out.field(0).type), *columns], schema=out)
@@ -144,8 +155,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [s.value for s in slices]
-            clean = [scan(x.as_py(), lists, window)[1] is None for x in batch.column(batch.schema.get_field_index(text))]
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            clean = [marks is None for _, marks, _ in scan_all(texts, [s.value for s in slices], window)]
             yield batch.filter(pa.array(clean, type=pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

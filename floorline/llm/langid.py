@@ -2,29 +2,30 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .common import bounded_batches
 
 #: Rows of each language at most that the model is fitted on, and bytes of their whole texts.
-SAMPLE_ROWS = 1_500
+SAMPLE_ROWS = 600
 SAMPLE_BYTES = 4 << 20
 HASHES = 1 << 16
 UNKNOWN = "und"
 #: Predictions whose codeword isn't ahead of the next by this share of the loss are flagged.
 AMBIGUOUS = 0.1
 
-_LETTER = re.compile(r"[^\W\d_]")
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 def _grams(raw: bytes) -> np.ndarray:
-    """Hashed 1- to 3-grams of bytes at each place, lower-cased, what isn't a letter as one space."""
+    """Hashed pairs and triples of bytes at each place; ``raw`` is folded, so a word's edges count too."""
     x = np.frombuffer(raw, dtype=np.uint8).astype(np.uint32)
     x = np.concatenate(([32], x, [32])).astype(np.uint32)
     two = (x[:-1] * 257 + x[1:]) * np.uint32(2654435761)
@@ -70,7 +71,7 @@ class CodeClassifier:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score and whether another codeword is nearly as near."""
-        if text is None or not self.langs or not _LETTER.search(text):
+        if text is None or not self.langs or not has_letter(text):
             return UNKNOWN, 0.0, True
         if len(self.langs) == 1:
             return self.langs[0], 1.0, False
@@ -84,7 +85,7 @@ class CodeClassifier:
 
 def fit_texts(samples: dict[str, list[str]]) -> CodeClassifier:
     """Each bit parts the languages in two; its weights are the log odds of n-grams, its trust how often it is right."""
-    langs = sorted(k for k, v in samples.items() if any(_LETTER.search(t) for t in v))
+    langs = sorted(k for k, v in samples.items() if any(map(has_letter, v)))
     code = codewords(len(langs))
     counts = np.zeros((len(langs), HASHES))
     for i, lang in enumerate(langs):
@@ -112,21 +113,23 @@ def sample(docs: DataFrame, wanted: Column, *, doc_id: str = "doc_id", text: str
 
     Ids are ranked in bins of the hash first, so the rows of a frequent language never meet in one task.
     """
-    keys = docs.where(wanted & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(lang, F.xxhash64(F.col(doc_id)).alias("h"))
-    bins = keys.groupBy(lang, F.shiftright("h", 50).alias("bin")).agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
-    first = Window.partitionBy(lang).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    edges = bins.withColumn("before", F.coalesce(F.sum("n").over(first), F.lit(0))).where(F.col("before") < rows).groupBy(lang).agg(F.max("bin").alias("bin")).collect()
+    known = docs.where(wanted & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    bin_ = F.shiftright(F.xxhash64(F.col(doc_id)), 50)
+    bins = known.groupBy(F.col(lang).alias("_lang"), bin_.alias("_bin")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("_lang").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row a language: where in the hash's range its sample ends, within the last bin it reaches by share of that bin
+    last = bins.withColumn("before", before).where(F.col("before") < rows).groupBy("_lang").agg(F.max(F.struct("_bin", "before", "n")).alias("at"))
+    within = F.least(F.lit(1.0), (F.lit(rows) - F.col("at.before")) / F.col("at.n"))
+    edges = last.select("_lang", (F.shiftleft("at._bin", 50) + F.floor(within * ((1 << 50) - 1))).alias("_last"))
+    first = known.join(F.broadcast(edges), F.col(lang) == F.col("_lang")).where(F.xxhash64(F.col(doc_id)) <= F.col("_last"))
+    found = first.select(F.col(lang), F.col(text)).orderBy(lang, F.xxhash64(F.col(doc_id)), doc_id, text)
     out: dict[str, list[str]] = {}
-    for name, last in edges:
-        some = docs.where(wanted & (F.col(lang) == name) & F.col(text).isNotNull() & (F.shiftright(F.xxhash64(F.col(doc_id)), 50) <= last))
-        out[name], held = [], 0
-        for words in some.orderBy(F.xxhash64(F.col(doc_id)), doc_id, text).limit(rows).select(text).toLocalIterator():
-            held += len(words[0])
-            if held > size and out[name]:
-                break
-            out[name].append(words[0])
+    held: dict[str, int] = {}
+    for name, words in found.toLocalIterator():
+        own = out.setdefault(name, [])
+        held[name] = held.get(name, 0) + len(words)
+        if len(own) < rows and (held[name] <= size or not own):
+            own.append(words)
     return out
 
 

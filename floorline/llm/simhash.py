@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import bounded_batches, cut
 from .components import components
+from .jaccard import keep_one as keep_one  # the pipeline's stage: its rule is similarity, not bits
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -348,14 +349,3 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     named = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component"))
     return all_.join(named.join(names, "root").select("fp", "component"), "fp").select(doc_id, "fp", "component")
-
-
-def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, without near duplicates: of each component the least id stays.
-
-    A repeated id stays once. Rows without an id can't be told apart from others and stay.
-    """
-    found = near_duplicates(docs, doc_id=doc_id, text=text, distance=distance)
-    first = found.where(F.col("component") == F.col(doc_id)).select(doc_id).distinct()
-    kept = docs.where(F.col(doc_id).isNotNull()).join(first, doc_id, "left_semi").dropDuplicates([doc_id])
-    return kept.select(docs.columns).union(docs.where(F.col(doc_id).isNull()))

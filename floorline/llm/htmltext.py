@@ -71,6 +71,12 @@ class Lines(HTMLParser):
             self.tags = self.linked = 0
         self.words = []
 
+    def parse_html_declaration(self, i: int) -> int:
+        if self.rawdata.startswith("<![", i):  # as HTML has it, a comment up to the next >; the parser would give up on some
+            end = self.rawdata.find(">", i + 3)
+            return end + 1 if end >= 0 else -1
+        return super().parse_html_declaration(i)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         while self.open and tag in IMPLIED.get(self.open[-1][0], ()):
             self._close(len(self.open) - 1)
@@ -136,11 +142,8 @@ def extract_text(html: str | None, sigma: float = SIGMA, level: float = LEVEL) -
     for a short paragraph between long ones is no less part of it.
     """
     parser = Lines()
-    try:
-        parser.feed(html or "")
-        parser.close()
-    except AssertionError:  # the parser gives up on a broken declaration; what came before it stands
-        pass
+    parser.feed(html or "")
+    parser.close()
     lines = parser.result()
     if not lines:
         return ""

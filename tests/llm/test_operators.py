@@ -224,6 +224,12 @@ def test_html():
     assert htmltext.extract_text(bare) == "\n\n".join(["A long paragraph of the story that goes on and on for a while."] * 6)
 
 
+@pytest.mark.parametrize("broken", ["<![ endif]-->", "<![foo[x]]>", "<![>", "<![if !IE]>", "<![CDATA>", "<!x>", "<!>"])
+def test_html_goes_on_after_a_broken_declaration(broken):
+    text = htmltext.extract_text(f"<p>one</p>{broken}<p>two</p><p>three</p>")
+    assert text.startswith("one") and text.endswith("two\n\nthree")
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "<article><p>é</p></article>")], "page_id long, url string, html string").withColumn("text", F.lit(0))
     got = sorted(((r.page_id, r.text[:5]) for r in htmltext.extract(df).collect()), key=str)

@@ -147,7 +147,8 @@ def extract_text(html: str | None, sigma: float = SIGMA, level: float = LEVEL) -
     lines = parser.result()
     if not lines:
         return ""
-    ratios = np.array([0.0 if off else max(0, len(text) - linked) / max(tags, 1) for text, tags, linked, off, _ in lines])
+    # logarithms: one very long paragraph would raise the floor above all others
+    ratios = np.log1p([0.0 if off else max(0, len(text) - linked) / max(tags, 1) for text, tags, linked, off, _ in lines])
     smooth = smoothed(ratios, sigma)
     floor = level * float(smooth.std())
     # a line that is mostly links stays a menu, however good its neighbours are

@@ -230,6 +230,15 @@ def test_html_goes_on_after_a_broken_declaration(broken):
     assert text.startswith("one") and text.endswith("two\n\nthree")
 
 
+@pytest.mark.parametrize("huge, many, each", [(20_000, 10, 300), (3_000, 10, 200), (200_000, 30, 40)])
+def test_html_keeps_paragraphs_beside_a_huge_one(huge, many, each):
+    paragraphs = ["h" * huge, *(f"{i} " + "p" * each for i in range(many))]
+    menu = "<div><a href=1>Home</a> <a href=2>News</a></div>"
+    for order in (paragraphs, paragraphs[::-1]):
+        page = menu + "<div>" + "".join(f"<p>{p}</p>" for p in order) + "</div>" + menu
+        assert htmltext.extract_text(page) == "\n\n".join(order)
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "<article><p>é</p></article>")], "page_id long, url string, html string").withColumn("text", F.lit(0))
     got = sorted(((r.page_id, r.text[:5]) for r in htmltext.extract(df).collect()), key=str)

@@ -1,13 +1,15 @@
-"""License scans: normalised lines and texts against licence templates by Dice coefficient over word bigrams; DataFrame functions only."""
+"""License scans: normalised texts against licence templates by Dice coefficient over word bigrams; DataFrame functions only."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import re
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Dice coefficient from which on a template is reported.
 THRESHOLD = 0.8
-#: Templates must stay few: their bigrams are broadcast.
-MOST_BIGRAMS = 200_000
+#: Templates are part of the plan, so they must stay few.
+MOST_BIGRAMS = 20_000
 
 #: Wordings by which well-known licences are named or granted, in their public form.
 TEMPLATES = [
@@ -24,67 +26,86 @@ TEMPLATES = [
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("all-rights-reserved", "All rights reserved."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
 ]
 
+#: Words are runs of letters and digits, in lower case.
+NOT_WORD = r"[^\p{L}\p{N}]+"
+
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
+    return F.filter(F.split(F.regexp_replace(F.lower(text), NOT_WORD, " "), " "), lambda w: w != "")
 
 
 def bigrams_of(words: Column) -> Column:
-    """Distinct pairs of neighbouring words; a single word stands for itself."""
+    """Hashes of the pairs of neighbouring words, in order, repeats included; a single word stands for itself."""
     last = F.greatest(F.size(words) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(words, 1, last), F.slice(words, 2, last), lambda a, b: F.concat_ws(" ", a, b))
-    return F.when(F.size(words) >= 2, F.array_distinct(pairs)).otherwise(words)
+    pairs = F.zip_with(F.slice(words, 1, last), F.slice(words, 2, last), lambda a, b: F.xxhash64(a, b))
+    return F.when(F.size(words) >= 2, pairs).otherwise(F.transform(words, lambda w: F.xxhash64(w)))
+
+
+def template_words(body: str) -> list[str]:
+    return re.findall(r"[^\W_]+", body.lower())
 
 
-def template_table(spark: SparkSession, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """(template, license, bigrams, size), checked to be small enough to broadcast."""
-    if sum(len(t.split()) for _, t in templates) > MOST_BIGRAMS:
-        raise ValueError("too many templates to broadcast: scan with them in parts")
-    rows = [(i, name, text) for i, (name, text) in enumerate(templates)]
-    words = spark.createDataFrame(rows, "template int, license string, body string").withColumn("words", words_of(F.col("body")))
-    return words.select("template", "license", bigrams_of(F.col("words")).alias("bigrams")).withColumn("size", F.size("bigrams"))
+def template_column(templates: list[tuple[str, str]], threshold: float) -> Column:
+    """The templates as one constant: license, bigrams, their number, the width of a window, and what it has to share at least."""
+    split = [(name, template_words(body)) for name, body in templates]
+    if sum(len(w) for _, w in split) > MOST_BIGRAMS:
+        raise ValueError("too many templates for one scan: scan with them in parts")
+    low = threshold / (2 - threshold)
+    rows = []
+    for i, (name, words) in enumerate(split):
+        if not words:
+            raise ValueError(f"template {i} has no word")
+        pairs = list(dict.fromkeys(zip(words, words[1:]))) or [(words[0],)]
+        need = threshold * (low + 1) * len(pairs) / 2  # Dice at the least size that allows the threshold
+        rows.append(
+            F.struct(
+                F.lit(i).alias("template"), F.lit(name).alias("license"), F.array(*(F.xxhash64(*map(F.lit, p)) for p in pairs)).alias("grams"),
+                F.lit(len(pairs)).alias("b"), F.lit(max(1, len(words) - 1)).alias("width"), F.lit(need - 1e-9).alias("need"), F.lit(low * len(pairs) - 1e-9).alias("low"),
+            )
+        )
+    return F.array(*rows)
 
 
 def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """(doc_id, line, license, template, dice): each line, and each whole text of several lines as line 0, that is a licence.
+    """(doc_id, word, license, template, dice): each place of each text that is worded like a licence.
 
-    A unit of a words and a template of b are compared only if their sizes allow the threshold: Dice is at most
-    2 min(a, b) / (a + b). Of several templates the best counts, ties going to the earlier. Null and empty texts match
-    nothing. Repeated rows come back as often as they match; rows with null ids match too. Lines count from 1.
+    A template is held to the windows of a text that are as wide as itself and begin with one of its bigrams (at the end of
+    a text, and in a shorter one, to what is left there), by distinct bigrams. Lines don't matter, so wrapped notices and
+    sentences within a line are found in texts of any length. Sizes prune: with a and b bigrams Dice is at most
+    2 min(a, b) / (a + b), so a text that shares too few bigrams with a template for that isn't held to it at all. Each
+    template keeps its best window of a text, the first of equals; of windows that overlap the best stays, of equals that of
+    the earlier template. ``word`` counts from 1.
+
+    Null and empty texts match nothing, and an empty table gives no rows. Repeated rows are rows of their own and those with
+    null ids match too. Other columns of ``docs`` may have any names. All is worked out within a row: nothing is shuffled.
     """
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    table = template_table(docs.sparkSession, templates)
-    known = [(r[0], r[1]) for r in table.select("template", "size").collect()]
-    least = min(n for _, n in known)
-    allowed = F.filter(F.array(*(F.when((F.col("size") >= low * n) & (F.col("size") <= high * n), F.lit(t)) for t, n in known)), lambda t: t.isNotNull())
-    row = F.monotonically_increasing_id()  # within this plan alone: no key of the data has to be unique
-    body = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), row.alias("row"), F.split(text, "\n").alias("lines"), F.col(text).alias("text"))
-    units = body.select("doc_id", "row", F.posexplode("lines").alias("at", "body")).select("doc_id", "row", (F.col("at") + 1).cast("long").alias("line"), "body")
-    most = max(len(body_) for _, body_ in templates)
-    # a whole text can only match if it has few distinct words; what is far longer than any template is no licence but text
-    whole = body.where((F.size("lines") > 1) & (F.length("text") <= F.lit(int(most * high * 4)))).select("doc_id", "row", F.lit(0).cast("long").alias("line"), F.col("text").alias("body"))
-    sized = (
-        units.unionByName(whole)
-        # what a generator makes is made once; as plain columns these would be worked out anew wherever they are named
-        .select("doc_id", "row", "line", F.explode(F.array(words_of(F.col("body")))).alias("words"))
-        .where(F.size("words") >= F.lit(low * least))
-        .select("doc_id", "row", "line", F.explode(F.array(bigrams_of(F.col("words")))).alias("bigrams"))
-        .withColumn("size", F.size("bigrams"))
-        .withColumn("allowed", allowed)
-        .where(F.size("allowed") > 0)
-    )
-    each = table.select(F.col("template").alias("template"), F.col("size").alias("b"), F.explode("bigrams").alias("bigram"))
-    hits = (
-        sized.select("doc_id", "row", "line", "size", "allowed", F.explode("bigrams").alias("bigram"))
-        .join(F.broadcast(each), "bigram")
-        .where(F.array_contains("allowed", F.col("template")))
-        .groupBy("doc_id", "row", "line", "size", "template", "b")
-        .agg(F.count("*").alias("common"))
-        .withColumn("dice", 2 * F.col("common") / (F.col("size") + F.col("b")))
-        .where(F.col("dice") >= threshold)
-    )
-    names = F.element_at(F.array(*(F.lit(n) for n, _ in templates)), F.col("best.template") + 1)
-    best = hits.groupBy("doc_id", "row", "line").agg(F.max(F.struct("dice", (-F.col("template")).alias("first"), "template")).alias("best"))
-    return best.select(F.col("doc_id").alias(doc_id), "line", names.alias("license"), F.col("best.template").alias("template"), F.col("best.dice").alias("dice"))
+    known = template_column(templates, threshold)
+    vocabulary = F.array_distinct(F.flatten(F.transform(known, lambda t: t["grams"])))
+    once = lambda **named: [F.explode(F.array(v)).alias(k) for k, v in named.items()]  # noqa: E731 - a generator's value is worked out once
+    base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where(F.col("text").isNotNull())
+    words = base.select("doc_id", *once(words=words_of(F.col("text")))).where(F.size("words") > 0)
+    grams = words.select("doc_id", *once(grams=bigrams_of(F.col("words"))))
+    shared = grams.select("doc_id", "grams", *once(shared=F.array_intersect("grams", vocabulary))).where(F.size("shared") > 0)
+    near = lambda t: (F.size("grams") >= t["low"]) & (F.size(F.array_intersect(F.col("shared"), t["grams"])) >= t["need"])
+    asked = shared.select("doc_id", "grams", *once(asked=F.filter(known, near))).where(F.size("asked") > 0)
+
+    def window(t: Column, at: Column) -> Column:
+        return F.array_distinct(F.slice("grams", at, t["width"]))
+
+    def best(t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size("grams")), lambda i: F.array_contains(t["grams"], F.get("grams", i - 1)))
+        tried = F.transform(starts, lambda at: F.struct((2 * F.size(F.array_intersect(window(t, at), t["grams"])) / (F.size(window(t, at)) + t["b"])).alias("dice"), (-at).alias("minus")))
+        return F.struct(F.array_max(tried).alias("top"), t["template"].alias("template"), t["license"].alias("license"), t["width"].alias("width"))
+
+    found = asked.select("doc_id", *once(found=F.filter(F.transform("asked", best), lambda x: x["top"]["dice"] >= threshold)))
+    beats = lambda y, x: (y["top"]["dice"] > x["top"]["dice"]) | ((y["top"]["dice"] == x["top"]["dice"]) & (y["template"] < x["template"]))
+    meets = lambda y, x: (-y["top"]["minus"] <= x["width"] - x["top"]["minus"]) & (-x["top"]["minus"] <= y["width"] - y["top"]["minus"])
+    left = found.select("doc_id", F.explode(F.filter("found", lambda x: ~F.exists("found", lambda y: meets(y, x) & beats(y, x)))).alias("x"))
+    return left.select(F.col("doc_id").alias(doc_id), (-F.col("x.top.minus")).cast("long").alias("word"), "x.license", "x.template", F.col("x.top.dice").alias("dice"))

@@ -14,20 +14,24 @@ LEAST_PAGES = 3
 BROADCAST_LINES = 200_000
 SALTS = 64
 
-HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)"
-#: Markup whose content is no text, and elements that end a line.
-SILENT = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
-BREAKS = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figcaption|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
-TAGS = r"<[^>]*>"
+HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:@]+)"
+#: Markup whose content is no text, elements that end a line, tags as HTML has them, and the commonest references.
+SILENT = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->"
+BREAKS = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figcaption|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)(?:[\s/][^>]*)?>"
+TAGS = r"</?[a-zA-Z][^<>]*>|<[!?][^<>]*>"
+REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 
 
 def host_of(url: Column) -> Column:
+    """In lower case, without user names and port."""
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))
 
 
 def lines_of(html: Column) -> Column:
-    """Lines of a page, in order: markup gone, runs of white space as one space, without empty ones."""
+    """Lines of a page, in order: markup gone, the commonest references decoded, runs of white space as one space, without empty ones."""
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), SILENT, ""), BREAKS, "\n"), TAGS, "")
+    for name, sign in REFERENCES:
+        text = F.replace(text, F.lit(name), F.lit(sign))
     text = F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t\r\f]+", " "), r" ?\n[ \n]*", "\n"), F.lit(" \n"))
     return F.filter(F.split(text, "\n"), lambda x: x != "")
 
@@ -40,20 +44,24 @@ def drop_boilerplate(pages: DataFrame, *, page_id: str = "page_id", url: str = "
     lines are counted before they are shuffled, and only hashes of lines travel. Pages stay where they are read while the
     common lines are few enough to broadcast; else a host's pages are dealt out by salt.
     """
-    base = pages.select(F.col(page_id), F.col(url), host_of(F.col(url)).alias("host"), lines_of(F.col(html)).alias("lines"))
+    base = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url"), host_of(F.col(f"`{url}`")).alias("host"), lines_of(F.col(f"`{html}`")).alias("lines"))
     hashed = base.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))).alias("line"))
     totals = base.groupBy("host").agg(F.count("*").alias("pages"))
     counts = hashed.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    common = cut(counts.join(totals, "host").where(F.col("n") > F.lit(ratio) * F.col("pages")).select("host", "line"))
+    # a large host's lines would fill a task where they meet its one total, so they meet it by salt
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    totals = totals.withColumn("salt", F.explode(salts))
+    counts = counts.withColumn("salt", F.pmod("line", F.lit(SALTS)).cast("int"))
+    common = cut(counts.join(totals, ["host", "salt"]).where(F.col("n") > F.lit(ratio) * F.col("pages")).select("host", "line"))
     # of a page's lines not more than 1/ratio can be common on average, so a host's list is as short as a few pages
     lists = common.groupBy("host").agg(F.collect_set("line").alias("common"))
     if common.count() <= broadcast_lines:
         marked = base.join(F.broadcast(lists), "host", "left")
     else:
-        salted = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        marked = base.withColumn("salt", F.pmod(F.xxhash64(page_id, url), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+        salted = lists.withColumn("salt", F.explode(salts))
+        marked = base.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
     marked = marked.withColumn("common", F.coalesce("common", F.array().cast("array<bigint>")))
     kept = F.filter("lines", lambda x: ~F.array_contains("common", F.xxhash64(x)))
     return marked.withColumn("kept", kept).select(
-        page_id, url, "host", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("text")
+        F.col("page_id").alias(page_id), F.col("url").alias(url), "host", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("text")
     )

@@ -11,21 +11,18 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _bigrams(words: str) -> str:
-    return f"CASE WHEN len({words}) >= 2 THEN list_distinct(list_transform(list_zip({words}[1 : len({words}) - 1], {words}[2 : len({words})]), lambda p: p[1] || ' ' || p[2])) ELSE {words} END"
-
-
 def license_scan(threshold: float = licenses.THRESHOLD) -> str:
     rows = ", ".join(f"({i}, {_quoted(name)}, {_quoted(body)})" for i, (name, body) in enumerate(licenses.TEMPLATES))
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    most = int(max(len(b) for _, b in licenses.TEMPLATES) * high * 4)
     words = "regexp_extract_all(lower(body), '[\\p{L}\\p{N}]+')"
-    return f"""WITH t AS (SELECT template, license, {_bigrams(words)} AS grams FROM (VALUES {rows}) v(template, license, body)),
-lines AS (SELECT doc_id, row_number() OVER () AS r, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
-units AS (SELECT doc_id, r, unnest(range(1, len(ls) + 1)) AS line, unnest(ls) AS body FROM lines UNION ALL SELECT doc_id, r, 0, text FROM lines WHERE len(ls) > 1 AND length(text) <= {most}),
-sized AS (SELECT doc_id, r, line, {_bigrams(words)} AS grams FROM units),
-met AS (SELECT doc_id, r, line, license, template, 2 * len(list_intersect(s.grams, t.grams)) / (len(s.grams) + len(t.grams)) AS dice FROM sized s JOIN t ON len(s.grams) > 0 AND len(s.grams) >= {low!r}::DOUBLE * len(t.grams) AND len(s.grams) <= {high!r}::DOUBLE * len(t.grams))
-SELECT doc_id, line, license, template, dice FROM (SELECT *, row_number() OVER (PARTITION BY r, line ORDER BY dice DESC, template) AS best FROM met WHERE dice >= {threshold!r}::DOUBLE) WHERE best = 1"""
+    grams = "CASE WHEN len(w) >= 2 THEN list_transform(list_zip(w[1 : len(w) - 1], w[2 : len(w)]), lambda p: p[1] || ' ' || p[2]) ELSE w END"
+    low = threshold / (2 - threshold)
+    return f"""WITH t AS (SELECT template, license, list_distinct({grams}) AS t, greatest(1, len(w) - 1) AS width FROM (SELECT template, license, {words} AS w FROM (VALUES {rows}) v(template, license, body))),
+docs AS (SELECT doc_id, r, {grams} AS g FROM (SELECT doc_id, row_number() OVER () AS r, {words} AS w FROM (SELECT doc_id, text AS body FROM documents WHERE text IS NOT NULL)) WHERE len(w) > 0),
+near AS (SELECT * FROM docs JOIN t ON len(g) >= {low!r}::DOUBLE * len(t) - 1e-9 AND len(list_intersect(g, t)) >= {threshold * (low + 1) / 2!r}::DOUBLE * len(t) - 1e-9),
+wins AS (SELECT doc_id, r, template, license, width, t, p, list_distinct(g[p : p + width - 1]) AS s FROM (SELECT *, unnest(list_filter(range(1, len(g) + 1), lambda i: list_contains(t, g[i]))) AS p FROM near)),
+met AS (SELECT doc_id, r, template, license, width, p, 2 * len(list_intersect(s, t)) / (len(s) + len(t)) AS dice FROM wins),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r, template ORDER BY dice DESC, p) AS k FROM met) WHERE k = 1 AND dice >= {threshold!r}::DOUBLE)
+SELECT doc_id, p AS word, license, template, dice FROM best x WHERE NOT EXISTS (SELECT 1 FROM best y WHERE y.r = x.r AND y.p <= x.p + x.width AND x.p <= y.p + y.width AND (y.dice > x.dice OR (y.dice = x.dice AND y.template < x.template)))"""
 
 
 def decontamination(window: int = decontam.WINDOW) -> str:
@@ -63,6 +60,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {k}"""
 
 def line_dedup(ratio: float = linededup.RATIO, least: int = linededup.LEAST_PAGES) -> str:
     text = f"regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), {_quoted(linededup.SILENT)}, '', 'g'), {_quoted(linededup.BREAKS)}, chr(10), 'g'), {_quoted(linededup.TAGS)}, '', 'g')"
+    for name, sign in linededup.REFERENCES:
+        text = f"replace({text}, {_quoted(name)}, {_quoted(sign)})"
     text = f"trim(regexp_replace(regexp_replace({text}, '[ \\t\\r\\f]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10))"
     return f"""WITH p AS (SELECT row_number() OVER () AS r, page_id, url, lower(regexp_extract(coalesce(url, ''), {_quoted(linededup.HOST)}, 1)) AS host, list_filter(string_split({text}, chr(10)), lambda x: x <> '') AS ls FROM pages),
 tot AS (SELECT host, count(*) AS pages FROM p GROUP BY host),

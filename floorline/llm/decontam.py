@@ -14,8 +14,11 @@ from .common import bounded_batches
 
 #: Words of a window.
 WINDOW = 10
-#: Bytes of item text that one automaton holds; more items make more automata, each of which scans all texts.
-AUTOMATON_BYTES = 16 << 20
+#: Bytes of item text that one automaton holds: it takes about 150 times that in a worker. More items make more automata.
+AUTOMATON_BYTES = 1 << 20
+#: Automata that a worker keeps. With more, it gathers this many bytes of text for each turn through them.
+KEPT = 2
+TURN_BYTES = 64 << 20
 
 _NOT_WORD = bytes(range(0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x80))
 _NORMAL = bytes(32 if b in _NOT_WORD else b | 0x20 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -28,46 +31,45 @@ def normal_words(text: bytes) -> list[bytes]:
 
 
 class Scanner:
-    """The windows of ``items`` (pairs of id and text) in an automaton, built once in each worker."""
+    """The windows of ``items`` (pairs of id and text) in an automaton over numbers of words, built once in each worker."""
 
     _built: dict[str, Scanner] = {}
 
     def __init__(self, items: list[tuple], window: int):
         import ahocorasick
 
-        owners: dict[str, tuple[int, set]] = {}
+        self.numbers: dict[bytes, int] = {}
+        owners: dict[tuple[int, ...], set] = {}
         for item, text in items:
-            words = normal_words(text.encode())
+            words = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in normal_words(text.encode())]
             n = min(window, len(words))
             for i in range(len(words) - n + 1 if n else 0):
-                pattern = (b" " + b" ".join(words[i : i + n]) + b" ").decode("latin-1")
-                owners.setdefault(pattern, (n, set()))[1].add(item)
-        self.automaton = ahocorasick.Automaton()
-        for pattern, (n, who) in owners.items():
-            self.automaton.add_word(pattern, (n, frozenset(who)))
+                owners.setdefault(tuple(words[i : i + n]), set()).add(item)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        alike: dict[tuple, tuple] = {}  # most windows are one item's: they share one value
+        for pattern, who in owners.items():
+            value = (len(pattern), frozenset(who))
+            self.automaton.add_word(pattern, alike.setdefault(value, value))
         self.automaton.make_automaton()
         self.empty = not owners
 
     @classmethod
-    def of(cls, items: list[tuple], window: int) -> Scanner:
-        key = hashlib.sha256(repr((window, items)).encode()).hexdigest()
-        if key not in cls._built:
-            cls._built.clear()
-            cls._built[key] = cls(items, window)
-        return cls._built[key]
-
-    def hits(self, line: str, marks: np.ndarray | None, n_words: int, found: set) -> np.ndarray | None:
-        """``line``: words with a space before, between and after. Marks words inside occurrences."""
+    def of(cls, key: str, items: list[tuple], window: int) -> Scanner:
+        if (key, window) not in cls._built:
+            while len(cls._built) >= KEPT:
+                cls._built.pop(next(iter(cls._built)))
+            cls._built[key, window] = cls(items, window)
+        return cls._built[key, window]
+
+    def hits(self, words: list[bytes], marks: np.ndarray | None, found: set) -> np.ndarray | None:
+        """Marks the ``words`` inside occurrences; adds the items to ``found``."""
         if self.empty:
             return marks
-        ends = None
-        for end, (n, who) in self.automaton.iter(line):
+        number = self.numbers.get
+        for end, (n, who) in self.automaton.iter(tuple([number(w, 0) for w in words])):
             if marks is None:
-                marks = np.zeros(n_words, dtype=bool)
-            if ends is None:
-                ends = np.flatnonzero(np.frombuffer(line.encode("latin-1"), dtype=np.uint8) == 32)
-            last = int(np.searchsorted(ends, end))
-            marks[last - n : last] = True
+                marks = np.zeros(len(words), dtype=bool)
+            marks[end - n + 1 : end + 1] = True
             found |= who
         return marks
 
@@ -80,45 +82,59 @@ def spans(text: bytes, marks: np.ndarray) -> list[dict]:
     return [{"start": int(chars[at[a][0]]), "end": int(chars[at[b - 1][1]])} for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def scan_all(texts: list[str | None], slices: list[list[tuple]], window: int) -> list[tuple[int, np.ndarray | None, set]]:
-    """For each text the number of words, which of them are hit (None: none), and the items found.
-
-    A slice's automaton is built or taken from the worker's cache once for all texts.
-    """
-    lines, counts = [], []
-    for text in texts:
-        words = normal_words((text or "").encode())
-        counts.append(len(words))
-        lines.append((b" " + b" ".join(words) + b" ").decode("latin-1") if words else "")
+def scan_all(texts: list[str | None], slices: list[tuple[str, list[tuple]]], window: int) -> list[tuple[int, np.ndarray | None, set]]:
+    """For each text the number of words, which of them are hit (None: none), and the items found; slice after slice."""
+    words = [normal_words((text or "").encode()) for text in texts]
     marks: list[np.ndarray | None] = [None] * len(texts)
     found: list[set] = [set() for _ in texts]
-    for items in slices:
-        scanner = Scanner.of(items, window)
-        for i, (line, n) in enumerate(zip(lines, counts, strict=True)):
-            if n:
-                marks[i] = scanner.hits(line, marks[i], n, found[i])
-    return list(zip(counts, marks, found, strict=True))
+    for key, items in slices:
+        scanner = Scanner.of(key, items, window)
+        for i, own in enumerate(words):
+            if own:
+                marks[i] = scanner.hits(own, marks[i], found[i])
+    return list(zip(map(len, words), marks, found, strict=True))
 
 
-def scan(text: str | None, slices: list[list[tuple]], window: int) -> tuple[int, np.ndarray | None, set]:
+def scan(text: str | None, slices: list[tuple[str, list[tuple]]], window: int) -> tuple[int, np.ndarray | None, set]:
     return scan_all([text], slices, window)[0]
 
 
+def slice_of(items: list[tuple]) -> tuple[str, list[tuple]]:
+    """A name that depends on what is in it, and the items."""
+    return hashlib.sha256(repr(items).encode()).hexdigest(), items
+
+
 def item_slices(benchmark: DataFrame, item_id: str, text: str, budget: int = AUTOMATON_BYTES) -> list:
     """Broadcasts of the items in slices of ``budget`` bytes; they are read one after the other, never all at once.
 
     The benchmark is a fixed list of tests that doesn't grow with the corpus. Items with a null id or text take no part.
     """
     context = benchmark.sparkSession.sparkContext
-    rows = benchmark.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(item_id, text).distinct().orderBy(item_id, text)
+    named = benchmark.select(F.col(f"`{item_id}`").alias("item"), F.col(f"`{text}`").alias("text"))
+    rows = named.where(F.col("item").isNotNull() & F.col("text").isNotNull()).distinct().orderBy("item", "text")
     slices, now, held = [], [], 0
     for item, words in rows.toLocalIterator():
         if now and held + len(words) > budget:
-            slices.append(context.broadcast(now))
+            slices.append(context.broadcast(slice_of(now)))
             now, held = [], 0
         now.append((item, words))
         held += len(words)
-    return [*slices, context.broadcast(now)] if now else slices
+    return [*slices, context.broadcast(slice_of(now))] if now else slices
+
+
+def _turns(batches: Iterator[pa.RecordBatch], column: int, slices: int) -> Iterator[pa.RecordBatch]:
+    """The batches; gathered to ``TURN_BYTES`` if there are more automata than are kept, as each is then built once a turn."""
+    if slices <= KEPT:
+        yield from batches
+        return
+    some: list[pa.RecordBatch] = []
+    for batch in batches:
+        some.append(batch)
+        if sum(b.column(column).nbytes for b in some) >= TURN_BYTES:
+            yield from pa.Table.from_batches(some).combine_chunks().to_batches()
+            some = []
+    if some:
+        yield from pa.Table.from_batches(some).combine_chunks().to_batches()
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -137,7 +153,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "
         from pyspark.sql.pandas.types import to_arrow_schema
 
         out = to_arrow_schema(schema)
-        for batch in batches:
+        for batch in _turns(batches, 1, len(slices)):
             rows = []
             texts = batch.column(1).to_pylist()
             for words, (n, marks, found) in zip(texts, scan_all(texts, [s.value for s in slices], window), strict=True):
@@ -145,17 +161,21 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "
             columns = [pa.array(list(x), type=f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, list(out)[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(out.field(0).type), *columns], schema=out)
 
-    return docs.select(doc_id, text).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).mapInArrow(run, schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text holds no window of any item."""
+    """The rows of ``docs``, all columns as they are and whatever their names, whose text holds no window of any item.
+
+    Null and empty texts hold none and stay; repeated rows stay or go together. With no items all stay.
+    """
     bounded_batches(docs.sparkSession)
-    slices = item_slices(benchmark, item_id, item_text)
+    slices, docs_names = item_slices(benchmark, item_id, item_text), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+        at = docs_names.index(text)
+        for batch in _turns(batches, at, len(slices)):
+            texts = batch.column(at).to_pylist()
             clean = [marks is None for _, marks, _ in scan_all(texts, [s.value for s in slices], window)]
             yield batch.filter(pa.array(clean, type=pa.bool_()))
 

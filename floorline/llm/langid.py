@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from .common import bounded_batches
 
 #: Rows of each language at most that the model is fitted on, and bytes of their whole texts.
-SAMPLE_ROWS = 600
+SAMPLE_ROWS = 1_500
 SAMPLE_BYTES = 4 << 20
+#: Binary digits of the hash of ids in bins of which the sample is found.
+BIN_BITS = 10
 HASHES = 1 << 16
 UNKNOWN = "und"
 #: Predictions whose codeword isn't ahead of the next by this share of the loss are flagged.
@@ -24,13 +26,20 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def _grams(raw: bytes) -> np.ndarray:
-    """Hashed pairs and triples of bytes at each place; ``raw`` is folded, so a word's edges count too."""
-    x = np.frombuffer(raw, dtype=np.uint8).astype(np.uint32)
-    x = np.concatenate(([32], x, [32])).astype(np.uint32)
-    two = (x[:-1] * 257 + x[1:]) * np.uint32(2654435761)
-    three = ((x[:-2] * 65537 + x[1:-1]) * np.uint32(40503) + x[2:] * np.uint32(2246822519)) * np.uint32(2654435761)
-    return np.concatenate((two >> np.uint32(17), (three >> np.uint32(17)) + np.uint32(HASHES // 2))).astype(np.int64)
+PIECE = 1 << 18
+
+
+def _grams(raw: bytes) -> Iterator[np.ndarray]:
+    """Hashed pairs and triples of bytes at each place, piece by piece, so that long texts take bounded memory.
+
+    ``raw`` is folded and has a space at both ends, so a word's edges count too. Pieces overlap by two bytes.
+    """
+    x = np.frombuffer(b" " + raw + b" ", dtype=np.uint8)
+    for i in range(0, max(1, len(x) - 1), PIECE):
+        y = x[i : i + PIECE + 2].astype(np.uint32)
+        two = (y[:-1] * 257 + y[1:])[:PIECE] * np.uint32(2654435761)
+        three = ((y[:-2] * 65537 + y[1:-1]) * np.uint32(40503) + y[2:] * np.uint32(2246822519)) * np.uint32(2654435761)
+        yield np.concatenate((two >> np.uint32(17), (three >> np.uint32(17)) + np.uint32(HASHES // 2))).astype(np.int64)
 
 
 _FOLD = bytes(32 if b < 0x41 or 0x5B <= b < 0x61 or 0x7B <= b < 0x80 else b | 0x20 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -62,9 +71,8 @@ class CodeClassifier:
     trust: np.ndarray
 
     def margins(self, text: str) -> np.ndarray:
-        raw, total, n = _raw(text), np.zeros(self.weights.shape[1]), 0
-        for i in range(0, len(raw), 1 << 18):  # all of a long text, in bounded memory
-            at = _grams(raw[max(0, i - 2) : i + (1 << 18)])
+        total, n = np.zeros(self.weights.shape[1]), 0
+        for at in _grams(_raw(text)):
             total += self.weights[at].sum(axis=0, dtype=np.float64)
             n += len(at)
         return total / max(n, 1)
@@ -90,9 +98,8 @@ def fit_texts(samples: dict[str, list[str]]) -> CodeClassifier:
     counts = np.zeros((len(langs), HASHES))
     for i, lang in enumerate(langs):
         for text in samples[lang]:
-            raw = _raw(text)
-            for j in range(0, len(raw), 1 << 18):
-                counts[i] += np.bincount(_grams(raw[j : j + (1 << 18)]), minlength=HASHES)
+            for at in _grams(_raw(text)):
+                counts[i] += np.bincount(at, minlength=HASHES)
     rates = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * HASHES)
     weights = np.zeros((HASHES, code.shape[1]), dtype=np.float32)
     for b in range(code.shape[1]) if len(langs) > 1 else ():
@@ -101,7 +108,7 @@ def fit_texts(samples: dict[str, list[str]]) -> CodeClassifier:
     if len(langs) > 1:
         right = np.ones((code.shape[1], 2))
         for i, lang in enumerate(langs):
-            for text in samples[lang][:200]:
+            for text in samples[lang]:
                 right[:, 0] += np.sign(model.margins(text)) == code[i]
                 right[:, 1] += 1
         model.trust = np.maximum(right[:, 0] / right[:, 1] - 0.5, 0.01)
@@ -111,18 +118,22 @@ def fit_texts(samples: dict[str, list[str]]) -> CodeClassifier:
 def sample(docs: DataFrame, wanted: Column, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> dict[str, list[str]]:
     """Whole texts of up to ``rows`` rows of each language, the first by a hash of the id, up to ``size`` bytes.
 
-    Ids are ranked in bins of the hash first, so the rows of a frequent language never meet in one task.
+    Ids are ranked in bins of the hash first, so the rows of a frequent language never meet in one task. Of repeated ids the
+    least text counts; null ids are one id. Other columns may have any names; an empty table gives no language.
     """
-    known = docs.where(wanted & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    bin_ = F.shiftright(F.xxhash64(F.col(doc_id)), 50)
-    bins = known.groupBy(F.col(lang).alias("_lang"), bin_.alias("_bin")).agg(F.count("*").alias("n"))
+    known = docs.where(wanted & F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
+    known = known.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.col(f"`{doc_id}`")).alias("at"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
+    shift = 64 - BIN_BITS
+    bins = known.groupBy(F.col("lang").alias("_lang"), F.shiftright("at", shift).alias("_bin")).agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("_lang").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # one row a language: where in the hash's range its sample ends, within the last bin it reaches by share of that bin
     last = bins.withColumn("before", before).where(F.col("before") < rows).groupBy("_lang").agg(F.max(F.struct("_bin", "before", "n")).alias("at"))
     within = F.least(F.lit(1.0), (F.lit(rows) - F.col("at.before")) / F.col("at.n"))
-    edges = last.select("_lang", (F.shiftleft("at._bin", 50) + F.floor(within * ((1 << 50) - 1))).alias("_last"))
-    first = known.join(F.broadcast(edges), F.col(lang) == F.col("_lang")).where(F.xxhash64(F.col(doc_id)) <= F.col("_last"))
-    found = first.select(F.col(lang), F.col(text)).orderBy(lang, F.xxhash64(F.col(doc_id)), doc_id, text)
+    edges = last.select("_lang", (F.shiftleft("at._bin", shift) + F.shiftleft(F.floor(within * ((1 << 40) - 1)), shift - 40)).alias("_last"))  # doubles hold 40 bits exactly
+    first = known.join(F.broadcast(edges), F.col("lang") == F.col("_lang")).where(F.col("at") <= F.col("_last"))
+    # an id that is repeated without end passes the limit with all its rows: its least text stands for them
+    one = first.groupBy("lang", "at", "id").agg(F.min("text").alias("text"))
+    found = one.select("lang", "text").orderBy("lang", "at", "id")
     out: dict[str, list[str]] = {}
     held: dict[str, int] = {}
     for name, words in found.toLocalIterator():
@@ -134,12 +145,16 @@ def sample(docs: DataFrame, wanted: Column, *, doc_id: str = "doc_id", text: str
 
 
 def fit(docs: DataFrame, wanted: Column, **names) -> CodeClassifier:
-    """Learns from the rows with a language for which ``wanted`` holds."""
+    """Learns from the rows with a language for which ``wanted`` holds, a bounded sample of them; with none, all is ``und``."""
     return fit_texts(sample(docs, wanted, **names))
 
 
 def identify(docs: DataFrame, model: CodeClassifier, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score, ambiguous) for each row; null texts and those without a letter are ``und``, score 0."""
+    """(doc_id, lang_pred, score, ambiguous) for each row; null texts and those without a letter are ``und``, score 0.
+
+    Whole texts count, of any length; repeated rows come back as often as they came, an empty table gives no rows, and other
+    columns may have any names.
+    """
     bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: hashes x bits
     schema = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
@@ -150,4 +165,4 @@ def identify(docs: DataFrame, model: CodeClassifier, *, doc_id: str = "doc_id",
             columns = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=schema.names)
 
-    return docs.select(doc_id, text).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).mapInArrow(run, schema)

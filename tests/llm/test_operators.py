@@ -374,6 +374,22 @@ def test_language_on_held_out(spark, corpus):
     assert np.mean([r.lang_pred == r.lang for r in test]) > 0.99 and all(0 <= r.score <= 1 for r in found)
 
 
+def test_long_texts_have_the_grams_of_whole_ones(monkeypatch):
+    raw = bytes(np.random.default_rng(0).integers(97, 123, 1000, dtype=np.uint8))
+    whole = np.sort(np.concatenate(list(langid._grams(raw))))
+    assert len(whole) == 1001 + 1000
+    for piece in (1, 7, 999, 1000, 1001, 1002):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        assert (np.sort(np.concatenate(list(langid._grams(raw)))) == whole).all()
+
+
+def test_language_sample_is_bounded(spark):
+    rows = [(i, f"text {i}", "en" if i % 3 else "de") for i in range(4000)] + [(7, "again " * 5, "en")] * 300 + [(None, "no id", "en")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("at", F.lit(0)).withColumn("a.b", F.lit(0))
+    got = langid.sample(df, F.lit(True), rows=200)
+    assert set(got) == {"de", "en"} and all(100 <= len(v) <= 200 and len(set(v)) == len(v) for v in got.values())
+
+
 def test_language_edges(spark):
     model = langid.fit_texts({"en": ["the cat and the dog"] * 3, "de": ["der hund und die katze"] * 3})
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "123 !? ½²"), (4, "THE DOG"), (4, "THE DOG"), (None, "die katze " * 40_000)], DOCS).withColumn("lang_pred", F.lit(1))

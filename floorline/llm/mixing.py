@@ -16,6 +16,8 @@ BINS = 4096
 #: frequent source fills no task.
 BROADCAST_SOURCES = 50_000
 SALTS = 32
+#: Words of a text that is half as well liked as one without end, where no column says how documents are liked.
+HALF_LIKED = 100
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -50,62 +52,108 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: float = MOS
     )
 
 
-def mix(docs: DataFrame, *, keep: list[str] | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", propensity: str | None = None, weights: tuple = WEIGHTS, most: float = MOST_TIMES, seed: int = 17, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
-    """Adds to the columns ``keep`` of each row of ``docs`` (its id, if None): size, source_size, target, copies, taken.
+def _source_key(name: Column) -> Column:
+    """Never null, and null apart from every name."""
+    return F.concat(F.lit("s"), F.coalesce(F.concat(F.lit("="), name), F.lit("")))
 
-    A document's expected copies are its source's target over its size (times its ``propensity``, a positive column, over
-    the mean of that by words; at most ``most``). The whole part of them is certain. For the rest, documents of a source
-    are ranked by random odds over inclusion odds and taken from the top while the words so taken are nearest to what
-    the target still lacks. Random numbers hang on ``seed`` and the id alone, so reruns agree.
 
-    Null and empty texts have size 0 and null sources are a source of their own. Ties and repeated rows are taken one
-    after the other. An empty table gives no rows. Columns of ``docs`` with names of the new ones are left out.
-    """
-    keep = [c for c in ([doc_id] if keep is None else keep) if c not in ("size", "source_size", "target", "copies", "taken")]
-    liking = F.lit(1.0) if propensity is None else F.col(propensity).cast("double")
-    name = F.col(source).cast("string")
-    marked = F.concat(F.lit("s"), F.coalesce(F.concat(F.lit("="), name), F.lit("")))
-    base = docs.select(*keep, F.struct(F.col(doc_id)).alias("_id"), name.alias("_name"), marked.alias("_source"), word_count(text).alias("size"), liking.alias("_liking"))
-    if set(keep) <= {doc_id, source}:
+def liking_of(size: Column) -> Column:
+    """In thousandths, 0 to 1000: a text of ``HALF_LIKED`` words is half as well liked as one without end. Whole numbers add up alike in any order."""
+    return F.floor(F.lit(1000) * size / (size + F.lit(HALF_LIKED))).cast("long")
+
+
+def _drawn(docs: DataFrame, doc_id: str, text: str, source: str, propensity: str | None, extra: list[Column], weights: tuple, most: float, seed: int, broadcast_sources: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Narrow rows with what decides on them, the targets, and whether these are few enough to broadcast."""
+    name = F.col(f"`{source}`").cast("string")
+    size = word_count(F.col(f"`{text}`"))
+    base = docs.select(*extra, F.struct(F.col(f"`{doc_id}`").alias("id")).alias("_id"), name.alias("_name"), _source_key(name).alias("_source"), size.alias("size"), F.lit(None).cast("long").alias("_liking") if propensity is None else F.col(f"`{propensity}`").cast("long").alias("_liking"))
+    base = base.withColumn("_liking", F.least(F.lit(1000).cast("long"), F.greatest(F.lit(0).cast("long"), F.coalesce("_liking", liking_of(F.col("size"))))))
+    if not extra:
         base = cut(base)  # narrow: words are counted once
     sums = cut(base.groupBy(F.col("_name").alias("source")).agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("_liking")).alias("_liked")))
-    targets = source_targets(sums.select("source", "source_size"), weights, most).select(F.concat(F.lit("s"), F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).alias("_source"), "source_size", "target")
-    if propensity is not None:
-        liked = sums.select(F.concat(F.lit("s"), F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).alias("_source"), "_liked")
-        targets = targets.join(liked, "_source")
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    if propensity is not None:
-        ratio = F.least(F.lit(float(most)), ratio * F.col("_liking") * F.col("source_size") / F.when(F.col("_liked") > 0, F.col("_liked")))
-    dice = unit_interval(F.lit(seed), F.col(f"_id.{doc_id}"))
-    few = sums.count() <= broadcast_sources
+    targets = source_targets(sums.select("source", "source_size"), weights, most).withColumnRenamed("source", "_n")
+    targets = targets.join(sums.select(F.col("source").alias("_m"), "_liked"), F.col("_n").eqNullSafe(F.col("_m"))).select(_source_key(F.col("_n")).alias("_source"), "source_size", "target", "_liked")
+    return base, targets, sums.count() <= broadcast_sources
+
+
+def _meet(rows: DataFrame, targets: DataFrame, few: bool) -> DataFrame:
+    """Each row with its source's line of ``targets``; where these are many, by source and salt."""
     if few:
-        met = base.join(F.broadcast(targets), "_source")
-    else:
-        salted = targets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = base.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).join(salted, ["_source", "_salt"])
-    ranked = (
-        met
-        .withColumn("_expected", F.coalesce(ratio, F.lit(0.0)))
+        return rows.join(F.broadcast(targets), "_source")
+    salted = targets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).join(salted, ["_source", "_salt"]).drop("_salt")
+
+
+def _odds(met: DataFrame, most: float, seed: int) -> DataFrame:
+    """Adds expected copies, their whole part, the rest's inclusion odds, and the rank: random odds over inclusion odds, folded into [0, 1].
+
+    Copies expected of a document: its source's ratio, more or less by how it is liked against the mean of its source's words.
+    The reach of that is what the ratio leaves to 0 and to ``most``, so none is ever cut off and the words expected are the target.
+    """
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    mean = F.when(F.col("source_size") > 0, F.col("_liked") / F.col("source_size")).otherwise(0.0)
+    reach = F.greatest(F.lit(0.0), F.least(ratio, F.lit(float(most)) - ratio))
+    rank = F.col("_dice") * (1 - F.col("_part")) / (F.col("_dice") * (1 - F.col("_part")) + (1 - F.col("_dice")) * F.col("_part"))
+    return (
+        met.withColumn("_expected", F.greatest(F.lit(0.0), F.least(F.lit(float(most)), ratio + reach * (F.col("_liking") - mean) / F.lit(1000.0))))
         .withColumn("_whole", F.floor("_expected"))
         .withColumn("_part", F.col("_expected") - F.col("_whole"))
-        .withColumn("_dice", dice)
-        # odds of the dice over odds of inclusion, folded into [0, 1]
-        .withColumn("_rank", F.when(F.col("_part") > 0, F.col("_dice") * (1 - F.col("_part")) / (F.col("_dice") * (1 - F.col("_part")) + (1 - F.col("_dice")) * F.col("_part"))).otherwise(F.col("_dice")))
-        .withColumn("_bin", F.least(F.floor(F.col("_rank") * BINS), F.lit(BINS - 1)))
+        .withColumn("_dice", unit_interval(F.lit(seed), F.col("_id.id")))
+        .withColumn("_rank", F.when(F.col("_part") > 0, rank).otherwise(F.lit(1.0)))
     )
-    certain = ranked.groupBy("_source").agg(F.sum(F.col("_whole") * F.col("size")).alias("_certain")) if propensity is not None else None
-    if certain is not None:
-        ranked = ranked.join(F.broadcast(certain) if few else certain, "_source").withColumn("_lack", F.col("target") - F.col("_certain"))
-    else:
-        ranked = ranked.withColumn("_lack", F.col("target") - F.col("_whole") * F.col("source_size"))
-    drawn = running_total(ranked, ["_source"], "_bin", ["_rank", F.col(f"_id.{doc_id}"), "size"], F.when(F.col("_part") > 0, F.col("size")).otherwise(0), "_before")
-    more = (F.col("_part") > 0) & (F.col("_before") + F.col("size") / 2 <= F.col("_lack"))
-    copies = (F.col("_whole") + more.cast("long")).cast("long")
-    return drawn.withColumn("copies", copies).select(*keep, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-
-
-def mixed_rows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", **more) -> DataFrame:
-    """``docs`` as mixed: each row as often as it is taken, all columns as they are, whatever their names."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source"))
-    taken = mix(rows, keep=["_row"], **more).where("copies > 0")
-    return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("_row.*")
+
+
+def _taken(ranked: DataFrame, few: bool) -> DataFrame:
+    """Adds ``_more``: whether a row is among those that its source takes once more, from the lowest rank on."""
+    certain = ranked.groupBy("_source").agg(F.sum(F.col("_whole") * F.col("size")).alias("_certain"))
+    held = ranked.withColumn("_bin", F.least(F.floor(F.col("_rank") * BINS), F.lit(BINS - 1)))
+    drawn = running_total(held, ["_source"], "_bin", ["_rank", "_id.id", "size"], F.when(F.col("_part") > 0, F.col("size")).otherwise(0), "_before")
+    met = _meet(drawn, certain, few)
+    return met.withColumn("_more", (F.col("_part") > 0) & (F.col("_before") + F.col("size") / 2 <= F.col("target") - F.col("_certain")))
+
+
+def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", propensity: str | None = None, weights: tuple = WEIGHTS, most: float = MOST_TIMES, seed: int = 17, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken), one row for each row of ``docs``.
+
+    A document's expected copies are its source's target over its size, more for well liked documents and fewer for others:
+    by ``propensity``, a column of whole numbers from 0 to 1000, or by length if none is named. The whole part of them is
+    certain. For the rest, documents of a source are ranked by random odds over inclusion odds (Pareto order sampling) and
+    taken from the top while the words so taken are nearest to what the target still lacks. Random numbers hang on ``seed``
+    and the id alone, so reruns agree.
+
+    Null and empty texts have size 0 and null sources are a source of their own. Ties and repeated rows are taken one
+    after the other. An empty table gives no rows. Other columns of ``docs`` may have any names.
+    """
+    base, targets, few = _drawn(docs, doc_id, text, source, propensity, [], weights, most, seed, broadcast_sources)
+    copies = (F.col("_whole") + F.col("_more").cast("long")).cast("long")
+    out = _taken(_odds(_meet(base, targets, few), most, seed), few).withColumn("copies", copies)
+    return out.select(F.col("_id.id").alias(doc_id), F.col("_name").alias(source), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", propensity: str | None = None, weights: tuple = WEIGHTS, most: float = MOST_TIMES, seed: int = 17, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
+    """``docs`` as mixed: each row as often as it is taken, all columns as they are, whatever their names.
+
+    What a source takes once more are its rows up to some rank. So only narrow rows are ranked, and the whole rows meet their
+    source's last rank where they are: no text is shuffled. Of rows that tie with the last one some may be taken; these alone,
+    equal rows counted first, are numbered.
+    """
+    base, targets, few = _drawn(docs, doc_id, text, source, propensity, [], weights, most, seed, broadcast_sources)
+    place = lambda: F.struct("_rank", "_id.id", "size")
+    more = _taken(_odds(_meet(base, targets, few), most, seed), few).where("_more")
+    last = more.groupBy("_source").agg(F.max(place()).alias("_last"))
+    ties = _meet(more, last, few).where(place().eqNullSafe(F.col("_last"))).groupBy("_source").agg(F.count("*").alias("_ties"))
+    ends = cut(targets.join(last, "_source", "left").join(ties, "_source", "left"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *(F.col(f"`{c}`").alias(n) for c, n in ((doc_id, "doc_id"), (text, "text"), (source, "source"))), (F.lit(None) if propensity is None else F.col(f"`{propensity}`")).cast("long").alias("liking"))
+    size, name = word_count("text"), F.col("source").cast("string")
+    liking = F.least(F.lit(1000).cast("long"), F.greatest(F.lit(0).cast("long"), F.coalesce("liking", liking_of(F.col("size")))))
+    # what a generator makes is made once: words are counted once a row
+    whole = rows.select("_row", F.struct(F.col("doc_id").alias("id")).alias("_id"), _source_key(name).alias("_source"), "liking", F.explode(F.array(size)).alias("size")).withColumn("_liking", liking)
+    ranked = _odds(_meet(whole, ends, few), most, seed)
+    tie = (F.col("_part") > 0) & F.col("_last").isNotNull() & place().eqNullSafe(F.col("_last"))
+    sure = ranked.where(~tie).withColumn("_n", F.col("_whole") + ((F.col("_part") > 0) & F.coalesce(place() < F.col("_last"), F.lit(False))).cast("long"))
+    # rows at the last place: equal ones are counted, and the counts taken in turn until the source has its number of them
+    at = ranked.where(tie).groupBy("_source", "_row", "_whole", "_ties").agg(F.count("*").alias("_times"))
+    before = F.coalesce(F.sum("_times").over(Window.partitionBy("_source").orderBy(F.xxhash64("_row")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = at.withColumn("_n", F.col("_whole") * F.col("_times") + F.greatest(F.lit(0), F.least(F.col("_times"), F.col("_ties") - before)))
+    taken = sure.select("_row", F.col("_n").cast("long").alias("_n")).unionByName(at.select("_row", F.col("_n").cast("long").alias("_n"))).where("_n > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).select("_row.*")

@@ -39,15 +39,18 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 
 def source_mix(seed: int = 17, weights: tuple = mixing.WEIGHTS, most: float = mixing.MOST_TIMES) -> str:
     pick = f"[{', '.join(f'{float(w)!r}::DOUBLE' for w in weights)}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} + 1]"
-    return f"""WITH docs AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, CAST('0x' || left(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS dice FROM documents),
+    return f"""WITH docs AS (SELECT *, CAST(floor(1000 * size / (size + {mixing.HALF_LIKED})) AS BIGINT) AS liking FROM (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, CAST('0x' || left(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS dice FROM documents)),
 src AS (SELECT source, source_size, {pick} AS w FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source)),
+lik AS (SELECT source, CAST(sum(size * liking) AS BIGINT) AS liked FROM docs GROUP BY source),
 lim AS (SELECT *, row_number() OVER o AS pos, (sum(source_size) OVER () - coalesce(sum(source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * {float(most)!r}::DOUBLE) / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM src WINDOW o AS (ORDER BY source_size / w, source NULLS LAST)),
 fst AS (SELECT arg_min(level, pos) AS level, min(pos) AS pos FROM lim WHERE level * w <= source_size * {float(most)!r}::DOUBLE),
 tgt AS (SELECT l.source, l.source_size, CASE WHEN f.pos IS NULL OR l.pos < f.pos THEN l.source_size * {float(most)!r}::DOUBLE ELSE f.level * w END AS target FROM lim l, fst f),
-ex AS (SELECT d.*, source_size, target, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS whole, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END - floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS part FROM docs d JOIN tgt t ON d.source IS NOT DISTINCT FROM t.source),
+rat AS (SELECT t.*, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio, CASE WHEN source_size > 0 THEN liked / source_size ELSE 0 END AS mean FROM tgt t JOIN lik l ON t.source IS NOT DISTINCT FROM l.source),
+due AS (SELECT d.*, source_size, target, greatest(0, least({float(most)!r}::DOUBLE, ratio + greatest(0, least(ratio, {float(most)!r}::DOUBLE - ratio)) * (liking - mean) / 1000.0::DOUBLE)) AS due FROM docs d JOIN rat t ON d.source IS NOT DISTINCT FROM t.source),
+ex AS (SELECT *, floor(due) AS whole, due - floor(due) AS part FROM due),
 rk AS (SELECT *, CASE WHEN part > 0 THEN dice * (1 - part) / (dice * (1 - part) + (1 - dice) * part) ELSE 1.0 END AS rank FROM ex),
-drawn AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM rk),
-cop AS (SELECT *, CAST(whole + CASE WHEN part > 0 AND before + size / 2 <= target - whole * source_size THEN 1 ELSE 0 END AS BIGINT) AS copies FROM drawn)
+drawn AS (SELECT *, coalesce(sum(CASE WHEN part > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rank, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(whole * size) OVER (PARTITION BY source) AS certain FROM rk),
+cop AS (SELECT *, CAST(whole + CASE WHEN part > 0 AND before + size / 2 <= target - certain THEN 1 ELSE 0 END AS BIGINT) AS copies FROM drawn)
 SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM cop"""
 
 

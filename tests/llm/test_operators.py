@@ -162,43 +162,110 @@ def water(sizes, weights, most):
     return target
 
 
-def mixed(spark, rows, **more):
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    return df, mixing.mix(df, keep=["doc_id", "source"], **more).collect()
+def plain_mix(rows, weights=(1, 2, 3), most=3, seed=17, liking=None):
+    """[(source, size, expected, copies)] by Pareto order sampling, row by row; whole numbers and MD5 make the dice."""
+    import hashlib
+    from fractions import Fraction
+
+    size = [len(re.findall("[^\x20\x09-\x0d]+", t or "")) for _, t, _ in rows]
+    like = [1000 * n // (n + 100) if liking is None else liking[i] for i, n in enumerate(size)]
+    total = Counter()
+    for n, (_, _, s) in zip(size, rows):
+        total[s] += n
+    order = sorted(s for s in total if s is not None) + ([None] if None in total else [])
+    target = water(dict(total), {s: weights[i % len(weights)] for i, s in enumerate(order)}, most) if sum(total.values()) else dict.fromkeys(total, 0.0)
+    out = [None] * len(rows)
+    for s in order:
+        own = [i for i, r in enumerate(rows) if r[2] == s]
+        ratio = target[s] / total[s] if total[s] else 0.0
+        mean = sum(size[i] * like[i] for i in own) / total[s] if total[s] else 0.0
+        ranked, lack = [], target[s]
+        for i in own:
+            due = max(0.0, min(float(most), ratio + max(0.0, min(ratio, most - ratio)) * (like[i] - mean) / 1000.0))
+            whole = int(due // 1)
+            part = due - whole
+            dice = int(hashlib.md5(f"{seed}:{'null' if rows[i][0] is None else rows[i][0]}".encode()).hexdigest()[:13], 16) / 2**52
+            rank = dice * (1 - part) / (dice * (1 - part) + (1 - dice) * part) if part > 0 else 1.0
+            ranked.append((rank, (rows[i][0] is not None, rows[i][0] or 0), size[i], i, part))
+            lack -= whole * size[i]
+            out[i] = [s, size[i], due, whole]
+        before = 0
+        for _, _, n, i, part in sorted(ranked):
+            if part > 0:
+                out[i][3] += before + n / 2 <= lack
+                before += n
+    return out
+
 
+MIXED = "doc_id long, text string, source string"
 
-def test_mixing_meets_targets(spark):
+
+def mixable(n=3000):
     rng = np.random.default_rng(0)
-    rows = [(i, "w " * int(rng.integers(1, 60)), ["hot", "hot", "hot", "a", "b", None, "tiny"][int(rng.integers(0, 7))] if i % 50 else "tiny2") for i in range(3000)]
-    df, got = mixed(spark, rows)
-    sizes = Counter()
-    for r in got:
-        sizes[r.source] += r.size
-    order = sorted((s for s in sizes if s is not None)) + [None]
-    want = water(dict(sizes), {s: i % 3 + 1 for i, s in enumerate(order)}, 3)
-    for s in order:
-        own = [r for r in got if r.source == s]
-        assert own[0].target == pytest.approx(want[s]) and own[0].source_size == sizes[s]
-        assert abs(sum(r.taken for r in own) - want[s]) <= 60 / 2 + 1
-        assert all(r.taken == r.size * r.copies and 0 <= r.copies <= 3 for r in own)
-    assert sum(want.values()) == pytest.approx(sum(sizes.values()))
+    return [(i, "w " * int(rng.integers(1, 60) ** 1.5), ["hot", "hot", "hot", "a", "b", None, "tiny"][int(rng.integers(0, 7))] if i % 50 else "tiny2") for i in range(n)]
+
+
+def test_mixing_is_pareto_order_sampling(spark):
+    rows = mixable()
+    df, want = spark.createDataFrame(rows, MIXED), plain_mix(rows)
+    got = mixing.mix(df).collect()
+    assert sorted((r.doc_id, r.source or "", r.size, r.copies) for r in got) == sorted((r[0], w[0] or "", w[1], w[3]) for r, w in zip(rows, want))
+    by_source = {}
+    for (_, _, s), w in zip(rows, want):
+        by_source.setdefault(s, []).append(w)
+    targets = {r.source: r.target for r in got}
+    for s, own in by_source.items():
+        assert sum(w[1] * w[2] for w in own) == pytest.approx(targets[s])  # what is expected is the target
+        assert abs(sum(w[1] * w[3] for w in own) - targets[s]) <= max(w[1] for w in own) / 2 + 1
+    odds = {round(w[2] % 1, 6) for w in by_source["hot"]}
+    assert len(odds) > 50  # documents of one source differ in their odds
+    long_, short = ([w for w in by_source["hot"] if on(w[1])] for on in (lambda n: n > 200, lambda n: n < 50))
+    assert np.mean([w[3] for w in long_]) > np.mean([w[3] for w in short])
+    assert all(r.taken == r.size * r.copies and 0 <= r.copies <= 3 for r in got)
     for most in (0, 100):
-        again = mixing.mix(df.repartition(7), keep=["doc_id"], broadcast_sources=most).collect()
+        again = mixing.mix(df.repartition(7), broadcast_sources=most).collect()
         assert sorted((r.doc_id, r.taken) for r in again) == sorted((r.doc_id, r.taken) for r in got)
-    same_as_sql(mixing.mix(df), oracles.source_mix(), documents=df.toPandas())
-    whole = mixing.mixed_rows(df.withColumn("size", F.lit("x")).withColumn("_bin", F.lit("y")).withColumn("copies", F.lit(-1)))
-    assert whole.columns == [*df.columns, "size", "_bin", "copies"] and whole.where("copies = -1 and _bin = 'y'").count() == whole.count()
-    whole = whole.select(df.columns)
-    assert whole.columns == df.columns and whole.count() == sum(r.copies for r in got)
+    same_as_sql(mixing.mix(df).drop("source"), oracles.source_mix(), documents=df.toPandas())
+
+
+def test_mixing_by_a_column(spark):
+    rows = mixable(600)
+    liking = [(i * 37) % 1001 for i in range(len(rows))]
+    df = spark.createDataFrame([(*r, k) for r, k in zip(rows, liking)], MIXED + ", liking int")
+    want = plain_mix(rows, liking=liking)
+    assert sorted((r.doc_id, r.copies) for r in mixing.mix(df, propensity="liking").collect()) == sorted((r[0], w[3]) for r, w in zip(rows, want))
+    whole = mixing.mixed_rows(df, propensity="liking").groupBy("doc_id").count().collect()
+    assert Counter({r.doc_id: r["count"] for r in whole}) == +Counter({r[0]: w[3] for r, w in zip(rows, want)})
+
+
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_mixed_rows_are_the_mix(spark, most):
+    rows = mixable(1500) + [(7, "again and again", "hot")] * 400 + [(None, "no id at all", "a")] * 30 + [(9999, None, None), (9998, "", "b")]
+    df = spark.createDataFrame(rows, MIXED)
+    want = Counter()
+    for r, w in zip(rows, plain_mix(rows)):
+        want[r] += w[3]
+    clash = df.withColumn("size", F.lit("x")).withColumn("_bin", F.lit("y")).withColumn("copies", F.lit(-1)).withColumn("a.b", F.lit(1)).withColumn("_row", F.lit(2))
+    got = mixing.mixed_rows(clash.repartition(5), broadcast_sources=most)
+    assert got.columns == clash.columns
+    assert Counter((r.doc_id, r.text, r.source) for r in got.collect()) == +want
+    assert mixing.mixed_rows(clash.limit(0)).columns == clash.columns and mixing.mixed_rows(clash.limit(0)).count() == 0
+
+
+def test_mixing_moves_no_text(spark):
+    plan = mixing.mixed_rows(spark.createDataFrame(mixable(50), MIXED))._jdf.queryExecution().executedPlan().toString()
+    assert "_row" in plan
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert not [line for line in moved if "_row" in line and "_times" not in line and "count" not in line and "_ties" not in line]
 
 
 def test_mixing_edges(spark):
-    assert mixed(spark, [])[1] == []
-    assert [r.taken for r in mixed(spark, [(1, None, None), (2, "", "a")])[1]] == [0, 0]
-    df = spark.createDataFrame([(1, "a b", "s"), (1, "a b", "s"), (None, "c", "s"), (2, "x " * 90_000, "t")], "doc_id long, text string, source string").withColumn("target", F.lit(7)).withColumn("_bin", F.lit(1))
+    empty = spark.createDataFrame([], MIXED)
+    assert mixing.mix(empty).count() == 0 and mixing.mixed_rows(empty).count() == 0
+    none = spark.createDataFrame([(1, None, None), (2, "", "a")], MIXED)
+    assert [r.taken for r in mixing.mix(none).collect()] == [0, 0] and mixing.mixed_rows(none).count() == 0
+    df = spark.createDataFrame([(1, "a b", "s"), (1, "a b", "s"), (None, "c", "s"), (2, "x " * 90_000, "t")], MIXED).withColumn("target", F.lit(7)).withColumn("_bin", F.lit(1))
     assert mixing.mix(df).count() == 4
-    with_liking = df.withColumn("liking", F.lit(2.0))
-    assert sorted(r.taken for r in mixing.mix(with_liking, propensity="liking").collect()) == sorted(r.taken for r in mixing.mix(df).collect())
 
 
 # --- sharding ---

@@ -26,6 +26,8 @@ BITS = 64
 PARTITIONS = 2
 #: Fingerprints under one variant that are compared with each other in one task; larger sets meet at their midpoints.
 BUCKET = 65_536
+#: Parts into which the members of a component are dealt where they meet its name.
+SALTS = 16
 _CHUNK = 1 << 16
 
 
@@ -241,6 +243,14 @@ def _verify(filed: DataFrame, distance: int, bucket: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x), pa.array(x), pa.array(rows[:, 0].astype(np.int32)), pa.array(np.ascontiguousarray(rows[:, 1]).view(np.int64))], names=["a", "b", "part", "variant"])
 
         def work(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Whole sets: those within ``bucket`` are compared, larger ones go on to their midpoints."""
+            if not len(rows):
+                return
+            edge = np.flatnonzero(np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1), [True])))
+            large = np.repeat(np.diff(edge) > bucket, np.diff(edge))
+            if large.any():
+                yield rest(rows[large])
+                rows = rows[~large]
             if len(rows):
                 yield _links_of(*_forest(rows[:, :2], np.ascontiguousarray(rows[:, 2]), distance))
 
@@ -343,9 +353,15 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     Null and empty texts have fingerprint zero and are linked like any other. Repeated rows come back as often as they
     came. Null ids get a row and count for links, but name no component; a component of null ids alone has a null name.
     """
-    all_ = cut(fingerprints(docs, doc_id, text))
-    prints = cut(all_.groupBy("fp").agg(F.min(doc_id).alias("least")))
+    all_ = cut(fingerprints(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))))
+    prints = cut(all_.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(link_fingerprints(prints.select("fp"), distance=distance, parts=parts, bucket=bucket))
-    named = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = named.groupBy("root").agg(F.min("least").alias("component"))
-    return all_.join(named.join(names, "root").select("fp", "component"), "fp").select(doc_id, "fp", "component")
+    # most fingerprints are linked with none and name themselves; the others meet the name of their root by salt, so that a
+    # large component fills no task
+    linked = cut(prints.join(roots.withColumnRenamed("node", "fp"), "fp"))
+    tops = prints.join(roots.select(F.col("root").alias("fp")).distinct(), "fp", "left_semi").withColumn("root", F.col("fp"))
+    linked = linked.unionByName(tops.select("fp", "least", "root"))
+    names = linked.groupBy("root").agg(F.min("least").alias("component")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(names, ["root", "salt"]).select(F.col("fp").alias("_fp"), "component")
+    each = prints.join(named, F.col("fp") == F.col("_fp"), "left").select("fp", F.when(F.col("_fp").isNotNull(), F.col("component")).otherwise(F.col("least")).alias("component"))
+    return all_.join(each, "fp").select(F.col("doc_id").alias(doc_id), "fp", "component")

@@ -70,6 +70,24 @@ def test_links_equal_brute_force(spark, bucket, parts, distance):
     assert partition(pairs, len(values)) == brute(values, distance).tolist()
 
 
+@pytest.mark.parametrize("bucket, parts, distance, batch, chunk", [(5, 2, 4, 1 << 16, 1 << 16), (3, 2, 2, 1 << 16, 8), (5, 2, 4, 4, 2), (8, 3, 4, 7, 4)])
+def test_sets_over_the_limit_meet_at_midpoints(spark, monkeypatch, bucket, parts, distance, batch, chunk):
+    """All links are found, though sets under a variant pass the limit, in one batch or over many."""
+    sent, plain = [], s._midpoints
+    monkeypatch.setattr(s, "_CHUNK", chunk)
+    monkeypatch.setattr(s, "_midpoints", lambda over, *rest: sent.append(over.groupBy("part", "variant").count().agg(F.min("count"), F.count("*")).first()) or plain(over, *rest))
+    values = np.unique(np.concatenate((made(3, groups=12, each=30, flips=2), made(4, groups=40, each=3))))
+    prints = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long").repartition(3)
+    at = {int(v): i for i, v in enumerate(values.view(np.int64))}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        pairs = [(at[r.a], at[r.b]) for r in s.link_fingerprints(prints, distance=distance, parts=parts, bucket=bucket).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert partition(pairs, len(values)) == brute(values, distance).tolist()
+    assert sent and sent[0][0] > bucket and sent[0][1] > 5  # whole sets, none of them within the limit
+
+
 def test_large_bucket_is_walked(spark):
     values = made(5, groups=2, each=3000, flips=5)
     assert (np.unique(s._reach(values, 4), return_inverse=True)[1] == np.unique(brute(values, 4), return_inverse=True)[1]).all()
@@ -104,7 +122,7 @@ def test_components(spark):
 def test_edges(spark):
     long_ = "word " * 30_000 + "end"
     rows = [(9, "same text over and over again"), (3, "Same text over and OVER again"), (3, "Same text over and OVER again"), (7, None), (8, ""), (None, "same text over and over again"), (20, long_), (21, long_)]
-    df = spark.createDataFrame(rows, DOCS).withColumn("fp", F.lit("x")).withColumn("component", F.lit(1))
+    df = spark.createDataFrame(rows, DOCS).withColumn("fp", F.lit("x")).withColumn("component", F.lit(1)).withColumn("a.b", F.lit(2))
     got = sorted(((r.doc_id, r.component) for r in s.near_duplicates(df).collect()), key=str)
     assert got == sorted([(9, 3), (3, 3), (3, 3), (7, 7), (8, 7), (None, 3), (20, 20), (21, 20)], key=str)
     kept = s.keep_one(df)

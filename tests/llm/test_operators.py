@@ -285,19 +285,61 @@ def test_sharding(spark, n, block):
         sizes = [counts[s] for s in range(24)]
         assert max(sizes) - min(sizes) <= 1
     assert all(sorted(r.slot for r in got if r.shard == s) == list(range(counts[s])) for s in counts)
-    full = sharding.shard(df, block=block, carry=True)
-    assert full.columns == ["doc_id", "text", "grp", "size", "text_crc32", "shard", "slot"] and full.count() == len(rows)
-    assert sorted(((r.doc_id, r.shard) for r in full.collect())) == sorted((r.doc_id, r.shard) for r in got)
+    full = sharding.shard(df.withColumn("a.b", F.lit(3)), block=block, carry=True)
+    assert full.columns == ["doc_id", "text", "grp", "a.b", "size", "text_crc32", "shard", "slot"]
+    whole = full.collect()
+    assert sorted((r.shard, r.slot, r.doc_id, r.size) for r in whole) == sorted((r.shard, r.slot, r.doc_id, r.size) for r in got)
+    assert Counter((r.doc_id, r.text) for r in whole) == Counter(rows)
 
 
-def test_groups_stay_together(spark):
-    rows = [(i, f"group {i % 200}") for i in range(1000)] + [(1000 + i, "hot") for i in range(900)] + [(2000 + i, f"alone {i}") for i in range(500)]
-    got = {r.doc_id: r.shard for r in sharding.shard(spark.createDataFrame(rows, DOCS)).collect()}
+def where_groups_are(rows, got):
     where = {}
     for d, t in rows:
-        where.setdefault(t, set()).add(got[d])
-    assert sum(len(where[f"group {g}"]) > 1 for g in range(200)) <= 4
-    assert len(where["hot"]) <= 14  # nine shards' worth of one text
+        where.setdefault(t, Counter())[got[d]] += 1
+    return where
+
+
+def test_groups_stay_together(spark):
+    rows = [(i, f"group {i % 200}") for i in range(1000)] + [(1000 + i, "hot") for i in range(900)] + [(2000 + i, f"alone {i}") for i in range(500)]
+    full = sharding.shard(spark.createDataFrame(rows, DOCS), carry=True)
+    where = where_groups_are(rows, {r.doc_id: r.shard for r in full.collect()})
+    assert not [g for g in range(200) if len(where[f"group {g}"]) > 1]
+    assert len(where["hot"]) <= 12  # nine shards' worth of one text, in blocks of a quarter of a shard
+    links = sum(sum(c.values()) * (sum(c.values()) - 1) // 2 for c in where.values())
+    kept = sum(n * (n - 1) // 2 for c in where.values() for n in c.values())
+    assert sharding.links_cut(full) == (links, links - kept)
+
+
+def test_settling_goes_on_until_no_block_is_left(spark):
+    """Many groups that all want the same few shards: more than a dozen rounds would be needed by those that come last."""
+    n, shards = 400, 40
+    blocks = spark.createDataFrame([(g, 0, g % 2, 9) for g in range(n)], "grp long, block long, shard int, n long")
+    homes = sharding._settle(blocks, [90] * shards, shards).collect()
+    assert len(homes) == n and max(Counter(r.home for r in homes).values()) <= 10
+
+
+def test_blocks_move_to_their_kin(spark):
+    rows = [(g, b, 10, (g + b) % 6) for g in range(8) for b in range(4)] + [(99, 0, 10, 0)]
+    settled = spark.createDataFrame(rows, "grp long, block long, size long, home int")
+    loads = Counter(r[3] for r in rows)
+    room = [80 - 10 * loads[s] for s in range(6)]
+    after = sharding._propagate(settled, room, 6).collect()
+    assert Counter((r.grp, r.block) for r in after) == Counter((r[0], r[1]) for r in rows)
+    assert max(Counter(r.home for r in after).values()) <= 8
+
+    def crossing(found):
+        return sum(a[0] == b[0] and a[1] != b[1] for i, a in enumerate(found) for b in found[:i])
+
+    before, now = crossing([(r[0], r[3]) for r in rows]), crossing([(r.grp, r.home) for r in after])
+    assert now < before / 2
+    assert sorted(map(tuple, sharding._propagate(settled, [0] * 6, 6).collect())) == sorted((g, b, s, h) for g, b, s, h in rows)
+
+
+def test_a_row_repeated_without_end(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "LISTED", 50)
+    rows = [(1, "same")] * 700 + [(None, None)] * 300 + [(i, f"t{i}") for i in range(200)]
+    got = sharding.shard(spark.createDataFrame(rows, DOCS), carry=True).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows) and set(Counter(r.shard for r in got).values()) == {50}
 
 
 # --- top k ---

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Bytes that Spark puts into one Arrow batch at most, so that long texts don't fill a Python worker.
@@ -32,6 +34,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept_rows(docs: DataFrame, text: str, batches: Callable[[Iterator[pa.RecordBatch], int], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``docs`` through ``batches``, a filter that is told where the column ``text`` is; columns may have any names."""
+    bounded_batches(docs.sparkSession)
+    at = docs.columns.index(text)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(lambda some: batches(some, at), plain.schema).toDF(*docs.columns)
+
+
 def unit_interval(*parts: Column | str) -> Column:
     """A number in [0, 1) that depends on ``parts`` alone: 52 bits of their MD5."""
     text = F.concat_ws(":", *(F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("null")) for p in parts))

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import bounded_batches
+from .common import bounded_batches, kept_rows
 
 #: Words of a window.
 WINDOW = 10
@@ -169,14 +169,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "tex
 
     Null and empty texts hold none and stay; repeated rows stay or go together. With no items all stay.
     """
-    bounded_batches(docs.sparkSession)
-    slices, docs_names = item_slices(benchmark, item_id, item_text), docs.columns
+    slices = item_slices(benchmark, item_id, item_text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = docs_names.index(text)
+    def run(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
         for batch in _turns(batches, at, len(slices)):
-            texts = batch.column(at).to_pylist()
-            clean = [marks is None for _, marks, _ in scan_all(texts, [s.value for s in slices], window)]
+            clean = [marks is None for _, marks, _ in scan_all(batch.column(at).to_pylist(), [s.value for s in slices], window)]
             yield batch.filter(pa.array(clean, type=pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return kept_rows(docs, text, run)

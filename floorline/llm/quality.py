@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import bounded_batches
+from .common import bounded_batches, kept_rows
 
 #: Labelled rows of each class at most that the model is fitted on, and bytes of their whole texts.
 SAMPLE_ROWS = 3_000
@@ -167,16 +167,18 @@ def score_quality(docs: DataFrame, model: CompressionClassifier, *, doc_id: str
             scores = [model.score(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=[doc_id, "score"])
 
-    return docs.select(doc_id, text).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, model: CompressionClassifier, *, text: str = "text", cutoff: float = CUTOFF) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that score ``cutoff`` or more."""
-    bounded_batches(docs.sparkSession)
+    """The rows of ``docs``, all columns as they are and whatever their names, that score ``cutoff`` or more.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A null text scores as an empty one. Equal rows stay or go together; an empty table stays empty.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [model.score(x.as_py()) >= cutoff for x in batch.column(batch.schema.get_field_index(text))]
+            good = [model.score(x.as_py()) >= cutoff for x in batch.column(at)]
             yield batch.filter(pa.array(good, type=pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return kept_rows(docs, text, run)

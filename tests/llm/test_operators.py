@@ -366,16 +366,48 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
-def test_bounds_prune():
+def made_groups(n=16, each=200, dim=4):
     rng = np.random.default_rng(0)
-    centres = rng.normal(size=(16, 4)) * 1000
-    rows = np.concatenate([(c + rng.normal(size=(200, 4))).astype(np.int64) for c in centres])
-    tree = topk.Tree(np.arange(len(rows)), rows, leaf=200)
+    return np.concatenate([(c + rng.normal(size=(each, dim))).astype(np.int64) for c in rng.normal(size=(n, dim)) * 1000])
+
+
+def test_bounds_prune():
+    rows = made_groups()
+    tree = topk.Tree(np.arange(len(rows)), rows, leaf=50)
+    inner = [i for i, m in enumerate(tree.members) if m is None]
+    assert len(inner) > 20 and sum(len(m) for m in tree.members if m is not None) == len(rows)
+    for i in inner:  # boxes are those of the vectors below
+        assert (tree.low[i] == np.minimum(*tree.low[list(tree.children[i])])).all() and (tree.high[i] == np.maximum(*tree.high[list(tree.children[i])])).all()
     queries = rows[::400]
     best = topk.Best(len(queries), 5)
-    assert topk.search(tree, np.full(len(queries), -1), queries, best) > 0
+    assert topk.search(tree, np.full(len(queries), -1), queries, best) > 0.8 * len(queries) * len(rows)
     want = np.sort(queries @ rows.T, axis=1)[:, ::-1][:, :5]
     assert (best.scores == want).all()
+    known = topk.Best(len(queries), 5, want[:, -1] + 1)  # a floor from elsewhere that only better ones pass
+    topk.search(tree, np.full(len(queries), -1), queries, known)
+    assert (np.where(known.scores > np.iinfo(np.int64).min, known.scores, want[:, -1:] + 1) > want[:, -1:]).all()
+
+
+def test_few_queries_go_on_to_another_shard(spark):
+    """With structure the boxes of shards prune: what travels in the second pass is a small part of all queries times shards."""
+    rows = made_groups()
+    nodes = topk.median_splits(rows, 16)
+    dealt = topk.shard_of(rows, nodes)
+    assert len(nodes) == 15 and Counter(dealt.tolist()).keys() == set(range(16)) and max(Counter(dealt.tolist()).values()) <= 250
+    low, high = (np.stack([f(rows[dealt == s], axis=0) for s in range(16)]) for f in (np.min, np.max))
+    queries = rows[::20]
+    reach = topk.bounds(queries, low, high)
+    kth = np.array([np.sort(rows[dealt == reach[i].argmax()] @ q)[-20] for i, q in enumerate(queries)])
+    assert (reach >= kth[:, None]).sum() < 0.35 * reach.size
+    df = spark.createDataFrame([(i, (v / 64).tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("id") % 20 == 0, shard_rows=200, block_rows=16)
+    assert {(r.query_id, r["rank"], r.score) for r in got.collect()} == {(int(i), n + 1, int(s)) for i in range(0, len(rows), 20) for n, s in enumerate(np.sort(np.delete(rows @ rows[i], i))[::-1][:20])}
+
+
+def test_one_vector_for_a_third_of_all(spark):
+    rows = [(i, [1.0, 2.0] if i % 3 else [float(i % 7), float(i % 11)]) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("a.b", F.lit(1)).withColumn("id", F.lit("x")).withColumn("vec", F.lit("y"))
+    assert {tuple(r) for r in topk.top_k(df, F.col("id") % 20 == 0, shard_rows=50, block_rows=8).collect()} == plain_top(rows, 20)
 
 
 # --- pages ---

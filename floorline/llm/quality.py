@@ -1,4 +1,9 @@
-"""Quality classifier by compression: how much better a text packs with a dictionary of good text than with one of bad."""
+"""Quality classifier by compression: how much better a text packs with a dictionary of good text than with one of bad.
+
+What is packed isn't the wording but its manner: a byte for each word (case, length, whether it has just been said) and the
+signs that stand with it. Dictionaries then know how a class writes, in any language, and not what it says, so copies of
+labelled texts don't decide their own score.
+"""
 
 from __future__ import annotations
 
@@ -7,22 +12,67 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import bounded_batches, kept_rows
 
 #: Labelled rows of each class at most that the model is fitted on, and bytes of their whole texts.
 SAMPLE_ROWS = 3_000
 SAMPLE_BYTES = 12 << 20
-DICTIONARY_BYTES = 64 << 10
+DICTIONARY_BYTES = 32 << 10
+#: Bytes that are packed at once: in longer runs a text would be its own dictionary.
+WINDOW = 256
 LEVEL = 3
 #: From this score on a document is predicted to be good.
 CUTOFF = 0.3
+#: Difference that is damped to a half.
+HALF_WAY = 0.05
+#: Words whose manner a worker remembers.
+REMEMBERED = 200_000
+
+_SIGNS = ".,;:!?()[]\"'"
+_codes: dict[str, tuple[bytes, bytes]] = {}
+
+
+def _code(word: str) -> tuple[bytes, bytes]:
+    """Of a word: new, and said just before. Bytes from 128 on; signs follow as they are, three at most."""
+    core = word.strip(_SIGNS)
+    if core.isupper() and len(core) > 1:
+        case = 1
+    elif core[:1].isupper():
+        case = 2
+    else:
+        case = 0 if core.isalpha() else 3 if core.isdigit() else 4
+    signs = "".join(c for c in word if not c.isalnum()).encode("ascii", "replace")[:3]
+    at = 128 + 20 * case + min(len(core), 9)
+    return bytes([at]) + signs, bytes([at + 10]) + signs
+
+
+def manner(text: str | None) -> bytes:
+    """How the words of a text are written, line by line; a word counts as said before if it is one of the last three of its line."""
+    out, known = [], _codes.get
+    for line in (text or "").split("\n"):
+        a = b = c = None
+        for word in line.split():
+            code = known(word)
+            if code is None:
+                if len(_codes) >= REMEMBERED:
+                    _codes.clear()
+                code = _codes[word] = _code(word)
+            out.append(code[word == a or word == b or word == c])
+            a, b, c = word, a, b
+        out.append(b"\n")
+    return b"".join(out)
+
+
+def damped(difference: float) -> float:
+    """Between -1 and 1, in the same order: differences far out tell little more than those near by."""
+    return difference / (abs(difference) + HALF_WAY)
 
 
 @dataclass
 class CompressionClassifier:
-    """Two zstandard dictionaries and a logistic curve over compressed sizes."""
+    """Two zstandard dictionaries and a logistic curve over the normalised difference of compressed sizes."""
 
     good: bytes
     bad: bytes
@@ -32,31 +82,32 @@ class CompressionClassifier:
     def __getstate__(self):
         return self.__dict__ | {"_packers": None}
 
-    def _sizes(self, raw: bytes) -> tuple[int, int, int]:
+    def difference(self, text: str | None) -> float:
+        """Bytes with the bad dictionary less bytes with the good one, over the smaller of the two."""
         import zstandard
 
+        if not self.good or not self.bad:
+            return 0.0
         if self._packers is None:
-            plain = {"level": LEVEL, "write_content_size": False, "write_checksum": False}
-            made = [zstandard.ZstdCompressor(**plain)]
-            made += [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), **plain) if d else made[0] for d in (self.good, self.bad)]
-            self._packers = tuple(made)
-        return tuple(len(p.compress(raw)) for p in self._packers)
-
-    def features(self, text: str | None) -> np.ndarray:
-        """The normalised difference of compressed sizes, how far the text packs at all, and its length."""
-        raw = (text or "").encode()
-        plain, good, bad = self._sizes(raw)
-        n = len(raw) + 32
-        difference = (bad - good) / max(min(bad, good), 1)
-        packed = np.log(plain / n)
-        return np.array([1.0, difference, difference * abs(difference), packed, packed * packed, difference * np.log(n), np.log(n), np.log(good / n), np.log(bad / n)])
+            plain = zstandard.ZstdCompressionParameters.from_level(LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0, write_checksum=0)
+            dictionaries = [zstandard.ZstdCompressionDict(d) for d in (self.good, self.bad)]  # raw content if it wasn't trained
+            for d in dictionaries:
+                d.precompute_compress(compression_params=plain)
+            self._packers = tuple(zstandard.ZstdCompressor(dict_data=d, compression_params=plain).compress for d in dictionaries)
+        with_good, with_bad = self._packers
+        raw, good, bad = manner(text), 0, 0
+        for i in range(0, len(raw), WINDOW):
+            piece = raw[i : i + WINDOW]
+            good += len(with_good(piece))
+            bad += len(with_bad(piece))
+        return (bad - good) / max(1, min(bad, good))
 
     def score(self, text: str | None) -> float:
-        z = float(np.dot(self.weights, self.features(text)))
+        z = self.weights[0] + self.weights[1] * damped(self.difference(text))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5) -> np.ndarray:
     """A logistic curve with a ridge on standardised columns: Newton's steps, halved until the loss falls."""
     mean, sd = x.mean(axis=0), x.std(axis=0)
     mean[0], sd[0] = 0, 1
@@ -84,81 +135,65 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return out
 
 
-def _grams(text: str) -> set:
-    words = text.split()
-    return {hash(tuple(words[i : i + 4])) for i in range(len(words) - 3)}
-
+def _dictionary(texts: list[str], size: int = DICTIONARY_BYTES) -> bytes:
+    """Trained on windows of the texts' middles, of each about as many, so that long ones don't fill it."""
+    import zstandard
 
-def _pieces(texts: list[str], size: int) -> list[tuple[bytes, set]]:
-    """The middles of texts, so that long ones don't fill a dictionary, with their word 4-grams."""
-    share, out = max(200, size // max(len(texts), 1)), []
+    share = max(400, 4 * size // len(texts))
+    pieces = []
     for text in texts:
-        raw = text.encode()
+        raw = manner(text)
         start = max(0, (len(raw) - share) // 2)
-        piece = raw[start : start + share]
-        out.append((piece, _grams(piece.decode("utf-8", "ignore"))))
-    return out
-
-
-def _dictionary(texts: list[str], others: list[str], size: int = DICTIONARY_BYTES) -> bytes:
-    """Content for a dictionary of one class.
-
-    It should hold the manner of the class, not its wording: a piece is passed over if a fifth of its word 4-grams
-    are there already, or are in texts of the other class; else copies would decide their own score.
-    """
-    pieces = _pieces(texts, size)
-    wanted = set().union(*(g for _, g in pieces)) if pieces else set()
-    elsewhere = set()
-    for text in others:
-        elsewhere |= _grams(text) & wanted
-    chosen, total, seen = [], 0, set()
-    for piece, grams in pieces:
-        if total >= size:
-            break
-        if grams and max(len(grams & seen), len(grams & elsewhere)) > 0.2 * len(grams):
-            continue
-        seen |= grams
-        chosen.append(piece)
-        total += len(piece)
-    return b"\n".join(chosen)[:size]
+        pieces += [raw[i : i + WINDOW] for i in range(start, min(len(raw), start + share), WINDOW)]
+    try:
+        return zstandard.train_dictionary(size, pieces, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:  # too little to train on: the pieces themselves
+        return b"".join(pieces)[:size]
 
 
 def fit_texts(good: list[str], bad: list[str]) -> CompressionClassifier:
     """Dictionaries from one half of each class, the curve from the other half, so that it sees texts as new ones."""
     if not good or not bad:  # nothing to tell apart: one score for all
         rate = (len(good) + 1) / (len(good) + len(bad) + 2)
-        return CompressionClassifier(b"", b"", [float(np.log(rate / (1 - rate))), *[0.0] * 8])
-    model = CompressionClassifier(_dictionary(good[::2], bad), _dictionary(bad[::2], good))
+        return CompressionClassifier(b"", b"", [float(np.log(rate / (1 - rate))), 0.0])
+    model = CompressionClassifier(_dictionary(good[::2]), _dictionary(bad[::2]))
     rest = [(t, 1) for t in good[1::2] or good] + [(t, 0) for t in bad[1::2] or bad]
-    x = np.stack([model.features(t) for t, _ in rest])
+    x = np.array([[1.0, damped(model.difference(t))] for t, _ in rest])
     model.weights = _logistic(x, np.array([float(y) for _, y in rest])).tolist()
     return model
 
 
-def labelled(docs: DataFrame, labels: DataFrame, wanted, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> dict[int, list[str]]:
-    """Whole texts of labelled rows: of each class the ``rows`` first by a hash of the id, up to ``size`` bytes."""
-    out: dict[int, list[str]] = {}
-    for value in (0, 1):
-        order = F.xxhash64(doc_id), F.col(doc_id)
-        ids = [r[0] for r in labels.where(wanted & (F.col(label) == value)).select(doc_id).distinct().orderBy(*order).limit(rows).collect()]
-        found = docs.where(F.col(doc_id).isin(ids)).where(F.col(text).isNotNull()).select(doc_id, text).orderBy(*order, text)
-        out[value], held = [], 0
-        for _, words in found.toLocalIterator() if ids else ():
-            held += len(words)
-            if held > size and out[value]:
-                break
+def labelled(docs: DataFrame, labels: DataFrame, wanted: Column, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> dict[int, list[str]]:
+    """Whole texts of labelled rows: of each class the ``rows`` first by a hash of the id, up to ``size`` bytes.
+
+    The documents are read once. Null ids, labels and texts take no part; of repeated ids the least text counts.
+    """
+    named = labels.where(wanted).select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("label")).where("id is not null")
+    order = F.xxhash64("id"), F.col("id")
+    classes = [named.where(F.col("label") == value).distinct().orderBy(*order).limit(rows) for value in (0, 1)]
+    chosen = F.broadcast(classes[0].unionByName(classes[1]))  # ids and labels of 2 x rows at most
+    known = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).where("text is not null")
+    found = known.join(chosen, "id").groupBy("label", "id").agg(F.min("text").alias("text")).orderBy("label", *order)
+    out: dict[int, list[str]] = {0: [], 1: []}
+    held = {0: 0, 1: 0}
+    for value, _, words in found.toLocalIterator():
+        held[value] += len(words)
+        if held[value] <= size or not out[value]:
             out[value].append(words)
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, wanted, **names) -> CompressionClassifier:
-    """Learns from the labelled rows for which ``wanted``, a condition on the labels' id, holds."""
+def fit(docs: DataFrame, labels: DataFrame, wanted: Column, **names) -> CompressionClassifier:
+    """Learns from a bounded sample of the labelled rows for which ``wanted``, a condition on the labels' id, holds.
+
+    If a class has no such row, all texts score alike.
+    """
     texts = labelled(docs, labels, wanted, **names)
     return fit_texts(texts[1], texts[0])
 
 
 def score_quality(docs: DataFrame, model: CompressionClassifier, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, score) for each row. A null text scores as an empty one; no other column is read."""
+    """(doc_id, score) for each row, repeated rows too. A null text scores as an empty one; no other column is read, whatever its name."""
     bounded_batches(docs.sparkSession)
     schema = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), T.StructField("score", T.DoubleType())])
 

@@ -493,7 +493,19 @@ def test_quality_on_held_out(spark, corpus):
     test = [r for r in scored if held(r.doc_id, 5) == 0]
     good, bad = [r.score for r in test if r.quality == 1], [r.score for r in test if r.quality == 0]
     rank = np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
-    assert rank > 0.95 and np.mean([g >= quality.CUTOFF for g in good]) > 0.97 and np.mean([b >= quality.CUTOFF for b in bad]) < 0.25
+    assert rank > 0.98 and np.mean([g >= quality.CUTOFF for g in good]) > 0.97 and np.mean([b >= quality.CUTOFF for b in bad]) < 0.15
+    texts = [r.text for r in docs.limit(200).collect()]
+    by_difference = np.argsort([model.difference(t) for t in texts], kind="stable")
+    scores = np.array([model.score(t) for t in texts])[by_difference]
+    assert (np.diff(scores) >= 0).all() and len(set(scores)) > 100  # the difference alone decides
+
+
+def test_manner_of_words():
+    assert quality.manner("One one, ONE!! one\n12 one") == bytes([128 + 40 + 3]) + bytes([128 + 3]) + b"," + bytes([128 + 20 + 3]) + b"!!" + bytes([128 + 3]) + b"\n" + bytes([128 + 60 + 2]) + bytes([128 + 3]) + b"\n"
+    assert quality.manner("go go on go\ngo") == bytes([130, 140, 130, 140]) + b"\n" + bytes([130]) + b"\n"
+    assert quality.manner(None) == quality.manner("") == b"\n"
+    long_ = "some words here " * 100_000
+    assert len(quality.manner(long_)) > 100_000
 
 
 def test_quality_edges(spark):

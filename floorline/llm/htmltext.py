@@ -1,14 +1,15 @@
-"""HTML extraction: parser events to lines, text-to-tag ratios smoothed by a Gaussian, content told by a threshold."""
+"""HTML extraction: parser events to lines, text-to-tag ratios smoothed by a Gaussian, content regions told by a threshold."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import bounded_batches
 
@@ -26,6 +27,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form menu
 #: Words of class names and ids that mark what isn't the article.
 NAMES = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer discussion disqus footer form login masthead menu modal nav navbar navigation newsletter notice notices notification popup promo promoted related replies reply respond search share sharing sidebar sidebars signup social sponsor sponsored subscribe toolbar widget".split())
 CONTENT = frozenset("article main".split())
+CONTAINERS = BLOCK & frozenset("article aside body dd details dialog div fieldset footer form header html main menu nav section table td th".split())
 #: Of them, those that mark an ``article`` element too: a reader's comment, a teaser for another page.
 NAMES_OF_ARTICLES = frozenset("ad ads advert comment comments promo related replies reply respond sponsored teaser".split())
 #: Elements whose end tag the standard lets authors leave out, with the elements that end them.
@@ -52,22 +54,34 @@ def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     return False
 
 
+class Line(NamedTuple):
+    """A block's text, the tags met with it, how much of it is links, what the markup says of it, and its container."""
+
+    text: str
+    tags: int
+    linked: int
+    off: bool
+    inside: bool
+    container: int
+
+
 class Lines(HTMLParser):
-    """A line for each block: its text, the tags met with it, and whether it stands in an article or is marked off."""
+    """Parser events to a line for each block. Each event takes a time that doesn't grow with the page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, bool]] = []
+        self.lines: list[Line] = []
         self.words: list[str] = []
-        self.tags = self.linked = 0
-        self.open: list[tuple[str, bool, bool, bool]] = []  # tag, hidden, off, in an article
-        self.state = (False, False, False)
-        self.links = 0
+        self.tags = self.linked = self.links = self.containers = 0
+        self.open: list[tuple] = []  # tag, and the state before it
+        self.places: dict[str, list[int]] = {}  # of each tag, where it is open
+        self.blocks: list[int] = []
+        self.state = (False, False, False, 0)  # hidden, off, in an article, container
 
     def _end_line(self) -> None:
         text = _SPACE.sub(" ", "".join(self.words)).strip()
         if text:
-            self.lines.append((text, self.tags, self.linked, self.state[1], self.state[2]))
+            self.lines.append(Line(text, self.tags, self.linked, *self.state[1:]))
             self.tags = self.linked = 0
         self.words = []
 
@@ -87,11 +101,15 @@ class Lines(HTMLParser):
             self.words.append("\n")
         if tag in VOID:
             return
-        hidden, off, inside = self.state
+        hidden, off, inside, container = self.state
         # a header within the article is the article's own
         off = off or (_marked(tag, attrs) and not (tag == "header" and inside and not off and not _marked("", attrs)))
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in BLOCK:
+            self.blocks.append(len(self.open))
         self.open.append((tag, *self.state))
-        self.state = (hidden or tag in HIDDEN, off, inside or tag in CONTENT or ("role", "main") in attrs)
+        self.containers += tag in CONTAINERS
+        self.state = (hidden or tag in HIDDEN, off, inside or tag in CONTENT or ("role", "main") in attrs, self.containers if tag in CONTAINERS else container)
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -102,31 +120,40 @@ class Lines(HTMLParser):
     def _close(self, at: int) -> None:
         if any(t[0] in BLOCK or t[0] in HIDDEN for t in self.open[at:]):
             self._end_line()
-        self.links -= sum(t[0] == "a" for t in self.open[at:])
         self.state = self.open[at][1:]
-        del self.open[at:]
+        while len(self.open) > at:
+            tag = self.open.pop()[0]
+            self.places[tag].pop()
+            self.links -= tag == "a"
+            if tag in BLOCK:
+                self.blocks.pop()
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in BLOCK:
             self._end_line()
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                self._close(at)
-                break
-            if self.open[at][0] in BLOCK and tag not in BLOCK and tag not in HIDDEN:
-                break  # a stray end tag of an inline element doesn't end the block around it
+        if not self.places.get(tag):
+            return
+        at = self.places[tag][-1]
+        if tag in BLOCK or tag in HIDDEN or not self.blocks or self.blocks[-1] < at:
+            self._close(at)  # else a stray end tag of an inline element, which doesn't end the block around it
 
     def handle_data(self, data: str) -> None:
         if not self.state[0]:
             self.words.append(data)
             self.linked += len(data) if self.links else 0
 
-    def result(self) -> list[tuple[str, int, int, bool, bool]]:
+    def result(self) -> list[Line]:
         self._end_line()
         return self.lines
 
 
+def ratio(line: Line) -> float:
+    """Text to tags: letters that aren't links, in logarithms, for one very long paragraph would raise the floor above all
+    others. What the markup sets aside has no text of the page's own."""
+    return 0.0 if line.off else float(np.log1p(max(0, len(line.text) - line.linked) / max(line.tags, 1)))
+
+
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     reach = max(1, int(np.ceil(2 * sigma)))
     kernel = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2 * sigma * sigma))
@@ -134,12 +161,18 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratios, kernel)[reach : reach + len(ratios)] / weight
 
 
+def _density(lines: list[Line], ratios: np.ndarray, region: list[int], at: int) -> float:
+    """Mean ratio of a region, long lines counting more."""
+    sizes = np.array([len(line.text) if where == at else 0 for line, where in zip(lines, region, strict=True)])
+    return float((sizes * ratios).sum() / sizes.sum())
+
+
 def extract_text(html: str | None, sigma: float = SIGMA, level: float = LEVEL) -> str:
     """The main text of a page: its content blocks joined by blank lines; empty if there is none.
 
-    Lines that the markup sets aside (menus, footers, forms, adverts, notices, comments ...) have the ratio zero. Those
-    above the threshold are seeds of content; where one stands in an article, all of that article's lines are content,
-    for a short paragraph between long ones is no less part of it.
+    Lines whose ratio, raw or smoothed, comes above the threshold are seeds, unless they have no text of their own or are mostly
+    links. A container with a seed is a content region, and all its lines that have such text are content: a short paragraph
+    between long ones is no less part of it. Articles are one region; beside it another counts only if its text is as dense.
     """
     parser = Lines()
     parser.feed(html or "")
@@ -147,19 +180,24 @@ def extract_text(html: str | None, sigma: float = SIGMA, level: float = LEVEL) -
     lines = parser.result()
     if not lines:
         return ""
-    # logarithms: one very long paragraph would raise the floor above all others
-    ratios = np.log1p([0.0 if off else max(0, len(text) - linked) / max(tags, 1) for text, tags, linked, off, _ in lines])
+    ratios = np.array([ratio(line) for line in lines])
     smooth = smoothed(ratios, sigma)
     floor = level * float(smooth.std())
-    # a line that is mostly links stays a menu, however good its neighbours are
-    kept = [not off and 2 * linked < len(text) and (s >= floor or r >= floor) for (text, _, linked, off, _), s, r in zip(lines, smooth, ratios, strict=True)]
-    if any(k and line[4] for k, line in zip(kept, lines, strict=True)):
-        kept = [not off and inside for *_, off, inside in lines]
-    return "\n\n".join(line[0] for line, k in zip(lines, kept, strict=True) if k)
+    own = [2 * line.linked < len(line.text) and r > 0 for line, r in zip(lines, ratios, strict=True)]
+    region = [-1 if line.inside else line.container for line in lines]
+    seeds = {at for at, r, s, mine in zip(region, ratios, smooth, own, strict=True) if mine and max(r, s) >= floor}
+    if -1 in seeds:
+        seeds = {at for at in seeds if at == -1 or _density(lines, ratios, region, at) >= _density(lines, ratios, region, -1)}
+    # of an article whatever isn't set aside, links too
+    kept = [at in seeds and (mine or (at == -1 and not line.off)) for line, at, mine in zip(lines, region, own, strict=True)]
+    return "\n\n".join(line.text for line, k in zip(lines, kept, strict=True) if k)
 
 
 def extract(pages: DataFrame, *, html: str = "html", keep: tuple = ("page_id", "url")) -> DataFrame:
-    """The columns ``keep`` of each row with ``text``. Null and empty pages have an empty text; none is dropped."""
+    """The columns ``keep`` of each row with ``text``. Null and empty pages have an empty text; none is dropped.
+
+    Repeated rows come back as often as they came; an empty table gives no rows. Other columns may have any names.
+    """
     bounded_batches(pages.sparkSession)
     keep = [c for c in keep if c != "text"]
     schema = T.StructType([*(pages.schema[c] for c in keep), T.StructField("text", T.StringType())])
@@ -169,4 +207,4 @@ def extract(pages: DataFrame, *, html: str = "html", keep: tuple = ("page_id", "
             texts = [extract_text(x.as_py()) for x in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*keep, "text"])
 
-    return pages.select(*keep, html).mapInArrow(run, schema)
+    return pages.select(*(F.col(f"`{c}`") for c in [*keep, html])).mapInArrow(run, schema)

@@ -8,19 +8,56 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import constants as C
 from .interval import overlap_join, speaker_at
 
+#: Width in frames of the bins in which stretches meet the turns over them.
+PIECE_FRAMES = 1_000
+
+
+def _framed(turns: DataFrame, totals: DataFrame | None, frame_ms: int) -> DataFrame:
+    """``turns`` with ``start_ms`` and ``end_ms`` as numbers of frames: from the first that they touch to the one after the last."""
+    first, last = F.greatest(F.lit(0), F.floor(F.col("start_ms") / frame_ms)), F.ceil(F.col("end_ms") / frame_ms)
+    if totals is not None:
+        turns, last = turns.join(totals, "recording_id"), F.least(F.ceil(F.col("total_ms") / frame_ms), last)
+    return turns.withColumn("_len", F.col("end_ms") - F.col("start_ms")).withColumns({"_from": F.col("start_ms"), "_to": F.col("end_ms"), "start_ms": first, "end_ms": last}).where("end_ms > start_ms")
+
+
+def _pieces(*framed: DataFrame) -> DataFrame:
+    """(recording_id, start_ms, end_ms): the stretches between neighbouring edges of all ``framed`` rows. Within one nothing changes."""
+    edges = None
+    for t in framed:
+        for c in ("start_ms", "end_ms"):
+            part = t.select("recording_id", F.col(c).alias("start_ms"))
+            edges = part if edges is None else edges.union(part)
+    after = F.lead("start_ms").over(Window.partitionBy("recording_id").orderBy("start_ms"))
+    return edges.distinct().withColumn("end_ms", after).where("end_ms is not null")
+
+
+def _over(pieces: DataFrame, framed: DataFrame, value, **more) -> DataFrame:
+    """(recording_id, start_ms, end_ms, and aggregates ``value``, ``more``) of the ``framed`` rows, as b_*, that lie over each piece."""
+    return overlap_join(pieces, framed, width=PIECE_FRAMES).groupBy("recording_id", "start_ms", "end_ms").agg(value, *(v.alias(k) for k, v in more.items()))
+
+
+def _winner(name: str):
+    return F.max_by("b_speaker", F.struct("b__len", "b_idx")).alias(name)
+
 
 def rasterise(turns: DataFrame, totals: DataFrame, frame_ms: int = C.DER_FRAME_MS) -> DataFrame:
-    """(recording_id, frame, speaker) for the frames that a turn touches: the longest wins, of equals the later."""
-    first = F.greatest(F.lit(0), F.floor(F.col("start_ms") / frame_ms))
-    last = F.least(F.ceil(F.col("total_ms") / frame_ms), F.ceil(F.col("end_ms") / frame_ms)) - 1
-    ranged = turns.join(totals, "recording_id").withColumns({"_a": first, "_b": last}).where("_b >= _a")
-    frames = ranged.select("recording_id", "speaker", "idx", (F.col("end_ms") - F.col("start_ms")).alias("_len"), F.explode(F.sequence("_a", "_b")).alias("frame"))
-    return frames.groupBy("recording_id", "frame").agg(F.max_by("speaker", F.struct("_len", "idx")).alias("speaker"))
+    """(recording_id, frame, frames, speaker): of each frame that turns touch the longest wins, of equals the later.
+
+    Stretches of frames in which nothing changes are one row, that begins with ``frame``; so rows grow with turns, not with time.
+    """
+    framed = _framed(turns, totals, frame_ms)
+    return _over(_pieces(framed), framed, _winner("speaker")).select("recording_id", F.col("start_ms").alias("frame"), (F.col("end_ms") - F.col("start_ms")).alias("frames"), "speaker")
 
 
-def aligned(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
-    """(recording_id, frame, ref, hyp): both rasters side by side; frames in which neither speaks have no row."""
-    return reference.withColumnRenamed("speaker", "ref").join(hypothesis.withColumnRenamed("speaker", "hyp"), ["recording_id", "frame"], "full")
+def aligned(reference: DataFrame, hypothesis: DataFrame, totals: DataFrame, frame_ms: int = C.DER_FRAME_MS) -> DataFrame:
+    """(recording_id, frame, frames, ref, hyp): both rasters side by side, in stretches in which neither changes.
+
+    Frames in which neither speaks have no row.
+    """
+    a, b = _framed(reference, totals, frame_ms), _framed(hypothesis, totals, frame_ms)
+    pieces, keys = _pieces(a, b), ["recording_id", "start_ms", "end_ms"]
+    both = _over(pieces, a, _winner("ref")).join(_over(pieces, b, _winner("hyp")), keys, "full")
+    return both.select("recording_id", F.col("start_ms").alias("frame"), (F.col("end_ms") - F.col("start_ms")).alias("frames"), "ref", "hyp")
 
 
 def greedy_match(counts: DataFrame) -> DataFrame:
@@ -42,7 +79,7 @@ def greedy_match(counts: DataFrame) -> DataFrame:
 
 
 def match_speakers(frames: DataFrame) -> DataFrame:
-    shared = frames.where("ref is not null and hyp is not null").groupBy("recording_id", "hyp", "ref").agg(F.count("*").alias("n"))
+    shared = frames.where("ref is not null and hyp is not null").groupBy("recording_id", "hyp", "ref").agg(F.sum("frames").alias("n"))
     return greedy_match(shared)
 
 
@@ -50,7 +87,7 @@ def error_counters(frames: DataFrame, mapping: DataFrame | None = None, frame_ms
     """(recording_id, missed_ms, false_alarm_ms, confusion_ms, correct_ms, reference_ms, der); names stand for themselves without a mapping."""
     named = frames.withColumn("matched", F.col("hyp")) if mapping is None else frames.join(mapping, ["recording_id", "hyp"], "left")
     ref, hyp, same = F.col("ref").isNotNull(), F.col("hyp").isNotNull(), F.coalesce(F.col("matched") == F.col("ref"), F.lit(False))
-    count = lambda c: F.count_if(c) * frame_ms
+    count = lambda c: F.sum(F.when(c, F.col("frames")).otherwise(0)) * frame_ms
     sums = named.groupBy("recording_id").agg(count(ref & ~hyp).alias("missed_ms"), count(~ref & hyp).alias("false_alarm_ms"), count(ref & hyp & ~same).alias("confusion_ms"), count(ref & hyp & same).alias("correct_ms"), count(ref).alias("reference_ms"))
     return sums.withColumn("der", F.when(F.col("reference_ms") > 0, (F.col("missed_ms") + F.col("false_alarm_ms") + F.col("confusion_ms")) / F.col("reference_ms")).otherwise(0.0))
 
@@ -58,7 +95,7 @@ def error_counters(frames: DataFrame, mapping: DataFrame | None = None, frame_ms
 def diarization_error(reference: DataFrame, hypothesis: DataFrame, totals: DataFrame) -> DataFrame:
     """Error counters under the greedy mapping of the hypothesis' speakers."""
     text = lambda t: t.withColumn("speaker", F.col("speaker").cast("string"))
-    frames = aligned(rasterise(text(reference), totals), rasterise(text(hypothesis), totals))
+    frames = aligned(text(reference), text(hypothesis), totals)
     return error_counters(frames, match_speakers(frames))
 
 
@@ -72,34 +109,33 @@ def share_error(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
     return both.groupBy("recording_id").agg((F.sum(F.abs(F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0)))) / 2).alias("share_error"))
 
 
-def frame_counts(turns: DataFrame, totals: DataFrame, frame_ms: int = C.DER_FRAME_MS) -> DataFrame:
-    """(recording_id, frame, n): number of turns that touch each frame."""
-    ranged = turns.join(totals, "recording_id").withColumns({"_a": F.greatest(F.lit(0), F.floor(F.col("start_ms") / frame_ms)), "_b": F.least(F.ceil(F.col("total_ms") / frame_ms), F.ceil(F.col("end_ms") / frame_ms)) - 1}).where("_b >= _a")
-    return ranged.select("recording_id", F.explode(F.sequence("_a", "_b")).alias("frame")).groupBy("recording_id", "frame").agg(F.count("*").alias("n"))
-
-
 def coverage(turns: DataFrame, spans: DataFrame, totals: DataFrame, frame_ms: int = C.DER_FRAME_MS) -> DataFrame:
     """(ref_bucket, state, frames): how many are annotated as speaking (0, 1, 2+) against what the system made of it.
 
     ``spans`` has ``state``: silence, short, attributed, quiet or overlap; of spans that touch a frame the later counts.
     """
-    ranged = spans.join(totals, "recording_id").withColumns({"_a": F.greatest(F.lit(0), F.floor(F.col("start_ms") / frame_ms)), "_b": F.least(F.ceil(F.col("total_ms") / frame_ms), F.ceil(F.col("end_ms") / frame_ms)) - 1}).where("_b >= _a")
-    each = ranged.select("recording_id", "state", "idx", F.explode(F.sequence("_a", "_b")).alias("frame"))
-    state = each.groupBy("recording_id", "frame").agg(F.max_by("state", "idx").alias("state"))
-    both = state.join(frame_counts(turns, totals, frame_ms), ["recording_id", "frame"], "left")
-    return both.groupBy(F.least(F.coalesce("n", F.lit(0)), F.lit(2)).cast("int").alias("ref_bucket"), "state").agg(F.count("*").alias("frames"))
+    a, b = _framed(turns, totals, frame_ms), _framed(spans, totals, frame_ms)
+    pieces, keys = _pieces(a, b), ["recording_id", "start_ms", "end_ms"]
+    both = _over(pieces, b, F.max_by("b_state", "b_idx").alias("state")).join(_over(pieces, a, F.count("*").alias("n")), keys, "left")
+    return both.groupBy(F.least(F.coalesce("n", F.lit(0)), F.lit(2)).cast("int").alias("ref_bucket"), "state").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("frames"))
 
 
 def edge_histogram(turns: DataFrame, silence: DataFrame, frame_ms: int = C.DER_FRAME_MS) -> DataFrame:
     """(bucket, frames): silence heard within a single turn, by distance of the frame's middle from the turn's edges."""
-    inside = lambda t: t.select("recording_id", *([c for c in ("start_ms", "end_ms") if c in t.columns]), F.explode(F.sequence(F.floor(F.col("start_ms") / frame_ms), F.ceil(F.col("end_ms") / frame_ms) - 1)).alias("frame"))
-    mid = F.col("frame") * frame_ms + frame_ms / 2
-    annotated = inside(turns.where("end_ms > start_ms")).groupBy("recording_id", "frame").agg(F.count("*").alias("n"), F.min(F.least(mid - F.col("start_ms"), F.col("end_ms") - mid)).alias("edge")).where("n = 1")
-    heard = inside(silence.where("end_ms > start_ms")).select("recording_id", "frame").distinct()
-    bucket = F.lit(0)
-    for low in C.EDGE_BUCKETS_MS[1:]:
-        bucket = bucket + (F.col("edge") >= low).cast("int")
-    return annotated.join(heard, ["recording_id", "frame"], "left_semi").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("frames"))
+    a, b = (_framed(t.where("end_ms > start_ms"), None, frame_ms) for t in (turns, silence))
+    pieces, keys = _pieces(a, b), ["recording_id", "start_ms", "end_ms"]
+    alone = _over(pieces, a, F.count("*").alias("n"), since=F.min("b__from"), until=F.max("b__to")).where("n = 1")
+    heard = alone.join(_over(pieces, b, F.count("*").alias("heard")), keys, "left_semi")
+
+    def at_least(low: int):
+        """Frames of a piece whose middle is ``low`` or more from both edges of its turn."""
+        first = F.ceil((F.col("since") + low - frame_ms / 2) / frame_ms)
+        after = F.floor((F.col("until") - low - frame_ms / 2) / frame_ms) + 1
+        return F.greatest(F.lit(0), F.least(F.col("end_ms"), after) - F.greatest(F.col("start_ms"), first))
+
+    whole = [F.col("end_ms") - F.col("start_ms"), *(at_least(low) for low in C.EDGE_BUCKETS_MS[1:]), F.lit(0)]
+    counts = F.array(*(F.struct(F.lit(i).alias("bucket"), (x - y).cast("long").alias("n")) for i, (x, y) in enumerate(zip(whole, whole[1:]))))
+    return heard.select(F.explode(counts).alias("c")).groupBy("c.bucket").agg(F.sum("c.n").alias("frames")).where("frames > 0")
 
 
 def switch_latencies(turns: DataFrame, updates: DataFrame, least_ms: int = 2_000, lead_ms: int = 200, grace_ms: int = 5_000) -> DataFrame:

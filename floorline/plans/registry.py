@@ -313,36 +313,38 @@ def first_seen(spark, d):
 # --- error rates --------------------------------------------------------------------------------
 
 
-def _rasters(spark, d):
+def _aligned(spark, d):
     t = tables.turns(spark, d)
-    total = tables.totals(t)
-    return score.rasterise(t, total), score.rasterise(tables.hypothesis(spark, d), total)
+    return score.aligned(t, tables.hypothesis(spark, d), tables.totals(t))
 
 
 @query("SELECT recording_id, speaker, count(*) AS frames FROM rref GROUP BY ALL", "rref")
 def rasterise(spark, d):
-    return _rasters(spark, d)[0].groupBy("recording_id", "speaker").agg(F.count("*").alias("frames"))
+    t = tables.turns(spark, d)
+    return score.rasterise(t, tables.totals(t)).groupBy("recording_id", "speaker").agg(F.sum("frames").alias("frames"))
 
 
 @query("SELECT recording_id, count(*) FILTER (h.speaker IS NULL) * 10 AS missed_ms, count(*) FILTER (r.speaker IS NULL) * 10 AS false_alarm_ms, count(*) FILTER (r.speaker <> h.speaker) * 10 AS confusion_ms, count(*) FILTER (r.speaker = h.speaker) * 10 AS correct_ms, count(r.speaker) * 10 AS reference_ms, round(coalesce((count(*) - count(*) FILTER (r.speaker = h.speaker)) / nullif(count(r.speaker), 0), 0), 6) AS der FROM rref r FULL JOIN rhyp h USING (recording_id, frame) GROUP BY ALL", "rref", "rhyp")
 def der_counters(spark, d):
-    return score.error_counters(score.aligned(*_rasters(spark, d))).withColumn("der", F.round("der", 6))
+    return score.error_counters(_aligned(spark, d)).withColumn("der", F.round("der", 6))
 
 
 @query("SELECT recording_id, h.speaker AS hyp, r.speaker AS ref, count(*) AS n FROM rref r JOIN rhyp h USING (recording_id, frame) GROUP BY ALL", "rref", "rhyp")
 def contingency(spark, d):
-    return score.aligned(*_rasters(spark, d)).where("ref is not null and hyp is not null").groupBy("recording_id", "hyp", "ref").agg(F.count("*").alias("n"))
+    return _aligned(spark, d).where("ref is not null and hyp is not null").groupBy("recording_id", "hyp", "ref").agg(F.sum("frames").alias("n"))
 
 
 @query()
 def greedy_match(spark, d):
-    return score.match_speakers(score.aligned(*_rasters(spark, d)))
+    return score.match_speakers(_aligned(spark, d))
 
 
-ORACLE_SQL["greedy_match"] = sql("", "rref", "rhyp").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """,
+_GREEDY = sql("", "rref", "rhyp").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """,
 pairs AS (SELECT recording_id, hyp, ref, row_number() OVER (PARTITION BY recording_id ORDER BY n DESC, hyp, ref) AS r FROM (SELECT recording_id, h.speaker AS hyp, r.speaker AS ref, count(*) AS n FROM rref r JOIN rhyp h USING (recording_id, frame) GROUP BY ALL)),
-step AS (SELECT recording_id, r, [hyp] AS hs, [ref] AS rs, true AS taken, hyp, ref FROM pairs WHERE r = 1 UNION ALL SELECT p.recording_id, p.r, CASE WHEN list_contains(s.hs, p.hyp) OR list_contains(s.rs, p.ref) THEN s.hs ELSE list_append(s.hs, p.hyp) END, CASE WHEN list_contains(s.hs, p.hyp) OR list_contains(s.rs, p.ref) THEN s.rs ELSE list_append(s.rs, p.ref) END, NOT (list_contains(s.hs, p.hyp) OR list_contains(s.rs, p.ref)), p.hyp, p.ref FROM step s JOIN pairs p ON s.recording_id = p.recording_id AND p.r = s.r + 1)
-SELECT recording_id, hyp, ref AS matched FROM step WHERE taken"""
+step AS (SELECT recording_id, r, [hyp] AS hs, [ref] AS rs, true AS taken, hyp, ref FROM pairs WHERE r = 1 UNION ALL SELECT p.recording_id, p.r, CASE WHEN list_contains(s.hs, p.hyp) OR list_contains(s.rs, p.ref) THEN s.hs ELSE list_append(s.hs, p.hyp) END, CASE WHEN list_contains(s.hs, p.hyp) OR list_contains(s.rs, p.ref) THEN s.rs ELSE list_append(s.rs, p.ref) END, NOT (list_contains(s.hs, p.hyp) OR list_contains(s.rs, p.ref)), p.hyp, p.ref FROM step s JOIN pairs p ON s.recording_id = p.recording_id AND p.r = s.r + 1),
+matched AS (SELECT recording_id, hyp, ref AS matched FROM step WHERE taken)
+"""
+ORACLE_SQL["greedy_match"] = _GREEDY + "SELECT * FROM matched"
 
 
 @query()
@@ -351,6 +353,11 @@ def diarization_error(spark, d):
     return score.diarization_error(t, tables.hypothesis(spark, d), tables.totals(t)).withColumn("der", F.round("der", 6))
 
 
+ORACLE_SQL["diarization_error"] = _GREEDY + """SELECT recording_id, count(*) FILTER (hyp IS NULL) * 10 AS missed_ms, count(*) FILTER (ref IS NULL) * 10 AS false_alarm_ms, count(*) FILTER (ref IS NOT NULL AND hyp IS NOT NULL AND NOT good) * 10 AS confusion_ms, count(*) FILTER (ref IS NOT NULL AND hyp IS NOT NULL AND good) * 10 AS correct_ms, count(ref) * 10 AS reference_ms,
+round(coalesce((count(*) - count(*) FILTER (ref IS NOT NULL AND hyp IS NOT NULL AND good)) / nullif(count(ref), 0), 0), 6) AS der
+FROM (SELECT coalesce(r.recording_id, h.recording_id) AS recording_id, r.speaker AS ref, h.speaker AS hyp, coalesce(m.matched = r.speaker, false) AS good FROM rref r FULL JOIN rhyp h ON r.recording_id = h.recording_id AND r.frame = h.frame LEFT JOIN matched m ON m.recording_id = coalesce(r.recording_id, h.recording_id) AND m.hyp = h.speaker) GROUP BY ALL"""
+
+
 @query("SELECT recording_id, round(sum(abs(coalesce(a, 0) - coalesce(b, 0))) / 2, 6) AS share_error FROM (SELECT recording_id, speaker, sum(dur) / sum(sum(dur)) OVER (PARTITION BY recording_id) AS a FROM trn GROUP BY recording_id, speaker) FULL JOIN (SELECT recording_id, speaker, sum(dur) / sum(sum(dur)) OVER (PARTITION BY recording_id) AS b FROM hyp GROUP BY recording_id, speaker) USING (recording_id, speaker) GROUP BY ALL", "trn", "hyp")
 def share_error(spark, d):
     ms = (F.col("end_ms") - F.col("start_ms")).alias("ms")

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from floorline.functions import scalars
+from floorline.functions import constants as C, scalars
 from floorline.operators import score, tally
 
 T = "recording_id string, idx long, start_ms double, end_ms double, speaker string"
@@ -35,12 +35,64 @@ def test_no_reference(spark):
     assert der(spark, [], [(0, 1000, "x")]) == 0
 
 
-def test_raster_longest_then_later(spark):
+def raster(spark, rows):
     totals = spark.createDataFrame([("r", 100)], "recording_id string, total_ms long")
-    got = {r.frame: r.speaker for r in score.rasterise(turns(spark, [(0, 100, "A"), (20, 40, "B"), (30, 50, "C")]), totals).collect()}
+    out = {}
+    for r in score.rasterise(turns(spark, rows), totals).collect():
+        for f in range(r.frame, r.frame + r.frames):
+            assert f not in out
+            out[f] = r.speaker
+    return out
+
+
+def test_raster_longest_then_later(spark):
+    got = raster(spark, [(0, 100, "A"), (20, 40, "B"), (30, 50, "C")])
     assert set(got.values()) == {"A"} and len(got) == 10
-    got = {r.frame: r.speaker for r in score.rasterise(turns(spark, [(0, 30, "A"), (10, 40, "B")]), totals).collect()}
-    assert got == {0: "A", 1: "B", 2: "B", 3: "B"}
+    assert raster(spark, [(0, 30, "A"), (10, 40, "B")]) == {0: "A", 1: "B", 2: "B", 3: "B"}
+    assert raster(spark, [(5, 12, "A"), (95, 300, "B"), (40, 40, "C")]) == {0: "A", 1: "A", 9: "B"}
+
+
+def test_stretches_count_what_frames_count(spark):
+    """Error counters, coverage and edges from stretches against the same frame by frame."""
+    import random
+
+    rng, total = random.Random(4), 30_000
+    cut = lambda: sorted(rng.sample(range(0, total), 2))
+    ref, hyp, quiet = ([(*cut(), rng.choice("ABC")) for _ in range(n)] for n in (14, 12, 9))
+    frames = lambda a, b, most=total: range(a // 10, min(-(-most // 10), -(-b // 10)))
+
+    def plain(rows):
+        best = {}
+        for i, (a, b, s) in enumerate(rows):
+            for f in frames(a, b):
+                best[f] = max(best.get(f, (-1, -1, "")), (b - a, i, s))
+        return {f: x[2] for f, x in best.items()}
+
+    totals = spark.createDataFrame([("r", total)], "recording_id string, total_ms long")
+    a, b = plain(ref), plain(hyp)
+    got = score.error_counters(score.aligned(turns(spark, ref), turns(spark, hyp), totals)).first()
+    both = {f: (a.get(f), b.get(f)) for f in {*a, *b}}.values()
+    assert (got.missed_ms, got.false_alarm_ms) == (10 * sum(y is None for _, y in both), 10 * sum(x is None for x, _ in both))
+    assert (got.correct_ms, got.reference_ms) == (10 * sum(x == y for x, y in both), 10 * len(a))
+    heard = {f for s, e, _ in quiet for f in frames(s, e, 10**9)}
+    want = {}
+    for f in heard:
+        near = [min(f * 10 + 5 - s, e - f * 10 - 5) for s, e, _ in ref if f in frames(s, e, 10**9)]
+        if len(near) == 1:
+            bucket = sum(near[0] >= low for low in C.EDGE_BUCKETS_MS[1:])
+            want[bucket] = want.get(bucket, 0) + 1
+    edges = score.edge_histogram(turns(spark, ref), turns(spark, quiet)).collect()
+    assert {r.bucket: r.frames for r in edges} == want
+    state = {}
+    for i, (s, e, name) in enumerate(hyp):
+        for f in frames(s, e):
+            state[f] = name
+    count = {}
+    for f, name in state.items():
+        n = min(2, sum(f in frames(s, e) for s, e, _ in ref))
+        count[n, name] = count.get((n, name), 0) + 1
+    seen = score.coverage(turns(spark, ref), turns(spark, hyp).withColumnRenamed("speaker", "state"), totals).collect()
+    assert {(r.ref_bucket, r.state): r.frames for r in seen} == count
 
 
 def test_share_error(spark):

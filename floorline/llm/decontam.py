@@ -14,8 +14,8 @@ from .common import bounded_batches, kept_rows
 
 #: Words of a window.
 WINDOW = 10
-#: Bytes of item text that one automaton holds: it takes about 150 times that in a worker. More items make more automata.
-AUTOMATON_BYTES = 1 << 20
+#: Bytes of item text that one automaton holds: it takes some 300 times that in a worker. More items make more automata.
+AUTOMATON_BYTES = 1 << 19
 #: Automata that a worker keeps. With more, it gathers this many bytes of text for each turn through them.
 KEPT = 2
 TURN_BYTES = 64 << 20
@@ -30,25 +30,37 @@ def normal_words(text: bytes) -> list[bytes]:
     return text.translate(_NORMAL).split()
 
 
+#: What stands for a word that is in no item.
+_OTHER = "\0\0"
+
+
+def _sign(n: int) -> str:
+    """Two characters for the n-th word, from ranges of their own, so that no match begins within a word."""
+    return chr(0x4000 + (n >> 8)) + chr(1 + (n & 0xFF))
+
+
 class Scanner:
-    """The windows of ``items`` (pairs of id and text) in an automaton over numbers of words, built once in each worker."""
+    """The windows of ``items`` (pairs of id and text) in an automaton in which a word is two characters, built once in each worker.
+
+    One character a word would give its nodes thousands of children, which it looks through one by one.
+    """
 
     _built: dict[str, Scanner] = {}
 
     def __init__(self, items: list[tuple], window: int):
         import ahocorasick
 
-        self.numbers: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set] = {}
+        self.signs: dict[bytes, str] = {}
+        owners: dict[str, set] = {}
         for item, text in items:
-            words = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in normal_words(text.encode())]
-            n = min(window, len(words))
-            for i in range(len(words) - n + 1 if n else 0):
-                owners.setdefault(tuple(words[i : i + n]), set()).add(item)
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            signs = [self.signs.setdefault(w, _sign(len(self.signs))) for w in normal_words(text.encode())]
+            n = min(window, len(signs))
+            for i in range(len(signs) - n + 1 if n else 0):
+                owners.setdefault("".join(signs[i : i + n]), set()).add(item)
+        self.automaton = ahocorasick.Automaton()
         alike: dict[tuple, tuple] = {}  # most windows are one item's: they share one value
         for pattern, who in owners.items():
-            value = (len(pattern), frozenset(who))
+            value = (len(pattern) // 2, frozenset(who))
             self.automaton.add_word(pattern, alike.setdefault(value, value))
         self.automaton.make_automaton()
         self.empty = not owners
@@ -65,8 +77,9 @@ class Scanner:
         """Marks the ``words`` inside occurrences; adds the items to ``found``."""
         if self.empty:
             return marks
-        number = self.numbers.get
-        for end, (n, who) in self.automaton.iter(tuple([number(w, 0) for w in words])):
+        sign = self.signs.get
+        for end, (n, who) in self.automaton.iter("".join([sign(w, _OTHER) for w in words])):
+            end //= 2
             if marks is None:
                 marks = np.zeros(len(words), dtype=bool)
             marks[end - n + 1 : end + 1] = True

@@ -39,3 +39,5 @@ EDGE_BUCKETS_MS = (0, 250, 500, 1_000, 2_000)
 DURATION_BUCKETS_MS = (0, 1_500, 3_000, 6_000)
 SILENCE_BIASES = (0.0, 0.5, 1.0, 1.5, 2.0, 3.0)
 SMOOTHING_GRID = ((0.1, 2000), (0.2, 2000), (0.3, 2000), (0.5, 2000), (0.3, 5000), (0.3, 500))
+#: Minutes at which it is looked how many voices distance alone finds.
+GROWTH_MINUTES = (1.5, 3, 5, 8, 11, 14, 17.5)

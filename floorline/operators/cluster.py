@@ -35,7 +35,8 @@ def average_linkage(vectors: np.ndarray, k: int | None = None, threshold: float
     """Labels by first appearance. The closest two groups merge, ties to the lowest numbers, until ``k`` are left.
 
     Without ``k`` merging stops above ``threshold``; without either all become one. Distances are float32 and a merged
-    group's distance is the mean by size, so a nearest-group list for each row makes a merge linear in their number.
+    group's distance is the mean by size. Each row remembers its nearest later group; after a merge only rows that had one of
+    the two look again, so a merge mostly costs as much as there are groups.
     """
     n = len(vectors)
     if n <= 1:
@@ -46,12 +47,13 @@ def average_linkage(vectors: np.ndarray, k: int | None = None, threshold: float
     d = (1.0 - x @ x.T).astype(np.float32)
     d[np.tril_indices(n)] = np.inf  # row i holds its distances to later groups
     size, owner, alive = np.ones(n), np.arange(n), np.ones(n, dtype=bool)
-    best = d.min(axis=1)
+    near = d.argmin(axis=1)
+    best = d[np.arange(n), near]
     for _ in range(n - goal):
         i = int(np.argmin(best))
         if best[i] > stop or not np.isfinite(best[i]):
             break
-        j = int(np.argmin(d[i]))
+        j = int(near[i])
         others = np.flatnonzero(alive)
         others = others[(others != i) & (others != j)]
         low_i, high_i = np.minimum(others, i), np.maximum(others, i)
@@ -63,8 +65,12 @@ def average_linkage(vectors: np.ndarray, k: int | None = None, threshold: float
         size[i] += size[j]
         alive[j] = False
         owner[owner == j] = i
-        best[others] = d[others].min(axis=1)
-        best[i], best[j] = d[i].min(), np.inf
+        before = others[others < i]
+        closer = before[(d[before, i] < best[before]) | ((d[before, i] == best[before]) & (i < near[before]))]
+        best[closer], near[closer] = d[closer, i], i
+        again = np.append(others[((near[others] == i) | (near[others] == j)) & ~np.isin(others, closer)], i)
+        near[again] = d[again].argmin(axis=1)
+        best[again], best[j] = d[again, near[again]], np.inf
     return renumbered(owner)
 
 
@@ -138,6 +144,36 @@ def _grouped(samples: DataFrame, label, extra: list[str] = ()) -> DataFrame:
     return samples.select("recording_id", "idx", "vector", "duration_ms", *extra).groupBy("recording_id").applyInPandas(run, f"recording_id {kind}, idx long, label long")
 
 
+def growth(samples: DataFrame, minutes: tuple, threshold: float = C.AUTOMATIC_THRESHOLD) -> DataFrame:
+    """(recording_id, minutes, samples, groups, absorbed): voices found by distance alone in the first minutes of each recording, and without tiny groups."""
+    kind = samples.schema["recording_id"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        v, w, end = np.stack(pdf["vector"].to_numpy()).astype(np.float64), pdf["duration_ms"].to_numpy(np.float64), (pdf["end_ms"] - pdf["start_ms"].min()).to_numpy(np.float64)
+        rows = []
+        for m in minutes:
+            on = end <= m * 60_000
+            labels = average_linkage(v[on], threshold=threshold)
+            rows.append((pdf["recording_id"].iloc[0], float(m), int(on.sum()), len(set(labels.tolist())), len(set(absorbed(v[on], labels, w[on]).tolist())) if on.any() else 0))
+        return pd.DataFrame(rows, columns=["recording_id", "minutes", "samples", "groups", "absorbed"])
+
+    return samples.select("recording_id", "idx", "vector", "duration_ms", "start_ms", "end_ms").groupBy("recording_id").applyInPandas(run, f"recording_id {kind}, minutes double, samples int, groups int, absorbed int")
+
+
+def sweep(samples: DataFrame, thresholds: tuple) -> DataFrame:
+    """(recording_id, threshold, groups, absorbed): groups found by distance alone, and those left when tiny ones are absorbed."""
+    kind = samples.schema["recording_id"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        v, w = np.stack(pdf["vector"].to_numpy()).astype(np.float64), pdf["duration_ms"].to_numpy(np.float64)
+        found = [(t, average_linkage(v, threshold=t)) for t in thresholds]
+        return pd.DataFrame([(pdf["recording_id"].iloc[0], t, len(set(x.tolist())), len(set(absorbed(v, x, w).tolist()))) for t, x in found], columns=["recording_id", "threshold", "groups", "absorbed"])
+
+    return samples.select("recording_id", "idx", "vector", "duration_ms").groupBy("recording_id").applyInPandas(run, f"recording_id {kind}, threshold double, groups long, absorbed long")
+
+
 def agglomerative(samples: DataFrame, k: int | None = None, threshold: float | None = None) -> DataFrame:
     """(recording_id, idx, label) by average linkage within each recording."""
     return _grouped(samples, lambda v, w, _: average_linkage(v, k, threshold))

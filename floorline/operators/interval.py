@@ -77,14 +77,24 @@ def majority_speaker(spans: DataFrame, turns: DataFrame) -> DataFrame:
 
 def speaker_at(points: DataFrame, turns: DataFrame, at: str = "at_ms", width: int = 10_000) -> DataFrame:
     """Adds ``who``: speaker of the longest turn that covers the point, the first of equals; null if none does."""
-    asked = points.withColumn("_bin", F.floor(F.col(at) / width))
+    asked = points.withColumn("_point", F.monotonically_increasing_id()).withColumn("_bin", F.floor(F.col(at) / width))  # equal points are points of their own
     given = turns.select(F.col("recording_id").alias("b_recording_id"), F.col("idx").alias("b_idx"), F.col("start_ms").alias("b_start_ms"), F.col("end_ms").alias("b_end_ms"), F.col("speaker").alias("b_speaker")).withColumn("_bin", _bins(F.col("b_start_ms"), F.col("b_end_ms"), width))
     met = asked.join(given, (asked["recording_id"] == F.col("b_recording_id")) & (asked["_bin"] == given["_bin"]) & (F.col("b_start_ms") <= F.col(at)) & (F.col(at) < F.col("b_end_ms")), "left")
-    return met.groupBy(*(F.col(c) for c in points.columns)).agg(F.max_by("b_speaker", F.struct(F.col("b_end_ms") - F.col("b_start_ms"), -F.col("b_idx"))).alias("who"))
+    return met.groupBy("_point", *(F.col(c) for c in points.columns)).agg(F.max_by("b_speaker", F.struct(F.col("b_end_ms") - F.col("b_start_ms"), -F.col("b_idx"))).alias("who")).drop("_point")
 
 
-def period_of(points: DataFrame, periods: DataFrame, at: str = "mid_ms") -> DataFrame:
-    """Adds ``period``: the number of the first period [from_ms, to_ms) that holds the point; an open end is null."""
-    later = periods.select(F.col("recording_id").alias("b_rec"), F.col("period").alias("b_period"), "from_ms", F.coalesce("to_ms", F.lit(float("inf"))).alias("to_ms"))
-    met = points.join(later, (F.col("recording_id") == F.col("b_rec")) & (F.col("from_ms") <= F.col(at)) & (F.col(at) < F.col("to_ms")), "left")
-    return met.groupBy(*(F.col(c) for c in points.columns)).agg(F.min("b_period").alias("period"))
+def period_of(points: DataFrame, periods: DataFrame, at: str = "mid_ms", width: int = 10_000) -> DataFrame:
+    """Adds ``period``: the number of the first period [from_ms, to_ms) that holds the point; an open end is null.
+
+    Points and closed periods meet in bins of ``width`` ms. Open periods, of which a recording has one or two, are held to its
+    points as they are.
+    """
+    named = periods.select(F.col("recording_id").alias("b_rec"), F.col("period").alias("b_period"), F.col("from_ms").alias("b_from"), F.col("to_ms").alias("b_to"))
+    endless = F.col("b_to").isNull() | (F.col("b_to").cast("double") == float("inf"))
+    closed = named.where(~endless & (F.col("b_to") > F.col("b_from"))).withColumn("b_bin", _bins(F.col("b_from"), F.col("b_to"), width))
+    open_ = named.where(endless).select(F.col("b_rec").alias("o_rec"), F.col("b_period").alias("o_period"), F.col("b_from").alias("o_from"))
+    asked = points.withColumn("_point", F.monotonically_increasing_id()).withColumn("_bin", F.floor(F.col(at) / width))
+    met = asked.join(closed, (F.col("recording_id") == F.col("b_rec")) & (F.col("_bin") == F.col("b_bin")) & (F.col("b_from") <= F.col(at)) & (F.col(at) < F.col("b_to")), "left")
+    first = met.groupBy("_point", *(F.col(c) for c in points.columns)).agg(F.min("b_period").alias("_closed"))
+    both = first.join(open_, (F.col("recording_id") == F.col("o_rec")) & (F.col("o_from") <= F.col(at)), "left")
+    return both.groupBy("_point", "_closed", *(F.col(c) for c in points.columns)).agg(F.least("_closed", F.min("o_period")).alias("period")).drop("_point", "_closed")

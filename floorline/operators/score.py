@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import constants as C
-from .interval import overlap_join, speaker_at
+from .interval import RULES, overlap_join, overlap_owners, speaker_at
 
 #: Width in frames of the bins in which stretches meet the turns over them.
 PIECE_FRAMES = 1_000
@@ -99,6 +99,30 @@ def diarization_error(reference: DataFrame, hypothesis: DataFrame, totals: DataF
     return error_counters(frames, match_speakers(frames))
 
 
+def overlap_rule_errors(reference: DataFrame, attributed: DataFrame, overlaps: DataFrame, totals: DataFrame) -> DataFrame:
+    """(rule, missed_ms, false_alarm_ms, confusion_ms, correct_ms, reference_ms, der): the error rate over all recordings for each
+    rule of who gets an overlap. ``attributed`` spans have a ``speaker``; by the rule 'none' nobody gets any."""
+    own = attributed.select("recording_id", "idx", "start_ms", "end_ms", F.col("speaker").cast("string").alias("speaker"))
+    names = own.select("recording_id", F.col("idx").alias("owner"), "speaker")
+    given = overlap_owners(overlaps, attributed).join(names, ["recording_id", "owner"]).select("rule", "recording_id", "idx", "start_ms", "end_ms", "speaker")
+    rules = F.explode(F.array(*(F.lit(r) for r in RULES))).alias("rule")
+    key = F.struct(F.col("rule"), F.col("recording_id").alias("of")).alias("recording_id")
+    rest = ["idx", F.col("start_ms").cast("double").alias("start_ms"), F.col("end_ms").cast("double").alias("end_ms"), "speaker"]
+    hypothesis = own.select(rules, "*").select(key, *rest).unionByName(given.select(key, *rest))
+    texts = reference.select("recording_id", "idx", "start_ms", "end_ms", F.col("speaker").cast("string").alias("speaker"))
+    each = _flat(diarization_error(_flat(texts.select(rules, "*").select(key, *rest)), _flat(hypothesis), _flat(totals.select(rules, "*").select(key, "total_ms"))), back=True)
+    counters = ["missed_ms", "false_alarm_ms", "confusion_ms", "correct_ms", "reference_ms"]
+    sums = each.groupBy("rule").agg(*(F.sum(c).alias(c) for c in counters))
+    return sums.withColumn("der", F.when(F.col("reference_ms") > 0, (F.col("missed_ms") + F.col("false_alarm_ms") + F.col("confusion_ms")) / F.col("reference_ms")).otherwise(0.0))
+
+
+def _flat(rows: DataFrame, back: bool = False) -> DataFrame:
+    """A pair of rule and recording as one string, or the rule of such a string."""
+    if back:
+        return rows.withColumn("rule", F.substring_index("recording_id", "/", 1))
+    return rows.withColumn("recording_id", F.concat_ws("/", "recording_id.rule", F.col("recording_id.of").cast("string")))
+
+
 def share_error(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
     """(recording_id, speaker, ms) twice, names matched already, to (recording_id, share_error): half the sum of differences."""
     def part(t: DataFrame, name: str) -> DataFrame:

@@ -21,6 +21,8 @@ CTES = {
     "rhyp": (("hyp", "tot"), "SELECT recording_id, frame, arg_max(speaker, (dur, idx)) AS speaker FROM (SELECT t.*, unnest(range(CAST(floor(start_ms / 10) AS BIGINT), CAST(least(ceil(total_ms / 10), ceil(end_ms / 10)) AS BIGINT))) AS frame FROM hyp t JOIN tot USING (recording_id)) GROUP BY ALL"),
     "lab": (("samples",), "SELECT *, CASE WHEN idx % 7 = 3 THEN -1 ELSE truth % 4 END AS label FROM samples"),
     "cent": (("lab",), "SELECT recording_id, label, list_transform(v, lambda x: x / n) AS centroid FROM (SELECT recording_id, label, list(s ORDER BY d) AS v, sqrt(sum(s * s)) AS n FROM (SELECT recording_id, label, d, sum(x * duration_ms) AS s FROM (SELECT recording_id, label, duration_ms, unnest(vector) AS x, generate_subscripts(vector, 1) AS d FROM lab WHERE label <> -1) GROUP BY ALL) GROUP BY ALL)"),
+    "cvec": (("parts",), "SELECT recording_id, idx, duration_ms, CASE WHEN idx % 7 = 3 THEN -1 ELSE truth % 4 END AS label, list(CASE WHEN n = 0 THEN y ELSE y / n END ORDER BY d) AS vector FROM (SELECT *, sqrt(sum(y * y) OVER (PARTITION BY recording_id, idx)) AS n FROM (SELECT *, x - avg(x) OVER (PARTITION BY recording_id, d) AS y FROM parts)) GROUP BY recording_id, idx, duration_ms, truth"),
+    "ccen": (("cvec",), "SELECT recording_id, label, list_transform(v, lambda x: x / n) AS centroid FROM (SELECT recording_id, label, list(s ORDER BY d) AS v, sqrt(sum(s * s)) AS n FROM (SELECT recording_id, label, d, sum(x * duration_ms) AS s FROM (SELECT recording_id, label, duration_ms, unnest(vector) AS x, generate_subscripts(vector, 1) AS d FROM cvec WHERE label <> -1) GROUP BY ALL) GROUP BY ALL)"),
 }
 
 

@@ -149,9 +149,9 @@ def speaking_turns(spark, d):
     return timeline.speaking_turns(_usable(spark, d).withColumn("speaker", F.col("label"))).select("recording_id", "speaker", "start_ms", "end_ms", "n_spans")
 
 
-@query("SELECT recording_id, m AS minutes, count(*) AS spans, CAST(sum(dur) AS BIGINT) AS ms FROM usable, (SELECT unnest([1, 2, 3, 5, 8]) AS m) WHERE end_ms <= m * 60000 GROUP BY ALL", "usable")
+@query("SELECT recording_id, m AS minutes, count(*) AS spans, CAST(sum(dur) AS BIGINT) AS ms FROM usable, (SELECT unnest([1.5::DOUBLE, 3, 5, 8, 11, 14, 17.5]) AS m) WHERE end_ms <= m * 60000 GROUP BY ALL", "usable")
 def prefix_growth(spark, d):
-    each = _usable(spark, d).withColumn("minutes", F.explode(F.array(*(F.lit(m) for m in (1, 2, 3, 5, 8)))))
+    each = _usable(spark, d).withColumn("minutes", F.explode(F.array(*(F.lit(float(m)) for m in C.GROWTH_MINUTES))))
     return each.where(F.col("end_ms") <= F.col("minutes") * 60_000).groupBy("recording_id", "minutes").agg(F.count("*").alias("spans"), F.sum("duration_ms").alias("ms"))
 
 
@@ -238,6 +238,17 @@ def overlap_rule_scoreboard(spark, d):
     return owned.groupBy("rule").agg(F.count("*").alias("overlaps"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("ms"))
 
 
+@query()
+def overlap_rule_error(spark, d):
+    """Error rate by rule: spans of a number against the turns of the same number."""
+    t = tables.turns(spark, d)
+    total = tables.totals(t)
+    mine = lambda rows: rows.join(total.select("recording_id"), "recording_id", "left_semi")
+    usable = mine(_usable(spark, d)).withColumn("speaker", F.col("label"))
+    found = score.overlap_rule_errors(t, usable, mine(timeline.overlapped(tables.spans(spark, d))), total)
+    return found.withColumn("der", F.round("der", 6))
+
+
 # --- annotations --------------------------------------------------------------------------------
 
 _MAJORITY = """shared AS (SELECT s.recording_id, s.idx, s.dur, t.speaker, CAST(sum(least(s.end_ms, t.end_ms) - greatest(s.start_ms, t.start_ms)) AS BIGINT) AS ms, min(t.idx) AS f FROM hyp s JOIN trn t ON s.recording_id = t.recording_id AND t.start_ms < s.end_ms AND t.end_ms > s.start_ms GROUP BY s.recording_id, s.idx, s.dur, t.speaker),
@@ -524,11 +535,11 @@ def enrol_cutoff(spark, d):
     return each.where(F.col("_before") < F.col("people_s") * 1000).groupBy("recording_id", "people_s", "truth").agg(F.count("*").alias("samples"), F.sum("duration_ms").alias("ms"))
 
 
-@query("SELECT recording_id, at_ms, kind FROM (SELECT user_id AS recording_id, event_id AS at_ms, event_type AS kind, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r <= 40")
+@query("SELECT recording_id, at_ms, kind FROM (SELECT user_id AS recording_id, event_id AS at_ms, event_type AS kind, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r <= 4000")
 def bounded_log(spark, d):
     e = tables.table(spark, d, "events").select(F.col("user_id").alias("recording_id"), F.col("event_id").alias("at_ms"), F.col("event_type").alias("kind"))
     last = F.row_number().over(Window.partitionBy("recording_id").orderBy(F.desc("at_ms")))
-    return e.withColumn("_r", last).where("_r <= 40").drop("_r")
+    return e.withColumn("_r", last).where(F.col("_r") <= C.MAX_LOG).drop("_r")
 
 
 @query("SELECT user_id AS recording_id, event_type AS kind, count(*) AS n, min(event_id) AS first_at FROM events GROUP BY ALL")
@@ -552,12 +563,13 @@ def speaker_labels(spark, d):
 
 @query()
 def threshold_sweep(spark, d):
-    s = tables.samples(spark, d)
-    out = None
-    for t in (0.5, 0.6, 0.7, 0.8, 0.9, 1.0):
-        part = cluster.agglomerative(s, threshold=t).groupBy("recording_id").agg(F.count_distinct("label").alias("groups")).withColumn("threshold", F.lit(t))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return cluster.sweep(tables.samples(spark, d), (0.5, 0.6, 0.7, 0.8, 0.9, 1.0))
+
+
+@query()
+def group_growth(spark, d):
+    """How many voices distance alone finds as a recording goes on."""
+    return cluster.growth(tables.samples(spark, d), C.GROWTH_MINUTES)
 
 
 @query()
@@ -663,7 +675,12 @@ def boundary_spans(spark, d):
     return _usable(spark, d).select("recording_id", "idx", (scalars.on_boundary(F.col("start_ms")) | scalars.on_boundary(F.col("end_ms"))).alias("on_boundary"))
 
 
-@query()
+@query(
+    """SELECT recording_id, label, count(*) AS samples, count(*) FILTER (duration_ms < 1500) AS short, round(list_sort(list(d))[CAST(least(floor(0.5 * count(*)), count(*) - 1) AS BIGINT) + 1], 6) AS p50, round(list_sort(list(d))[CAST(least(floor(0.9 * count(*)), count(*) - 1) AS BIGINT) + 1], 6) AS p90, count(*) FILTER (nearest <> label AND least_d < d) AS closer
+FROM (SELECT v.recording_id, v.idx, v.duration_ms, v.label, max(1 - list_dot_product(v.vector, c.centroid)) FILTER (c.label = v.label) AS d, arg_min(c.label, (1 - list_dot_product(v.vector, c.centroid), c.label)) AS nearest, min(1 - list_dot_product(v.vector, c.centroid)) AS least_d FROM cvec v JOIN ccen c USING (recording_id) WHERE v.label <> -1 GROUP BY ALL) GROUP BY recording_id, label""",
+    "cvec",
+    "ccen",
+)
 def spread_by_person(spark, d):
     found = reports.spread_by_person(_labelled(spark, d))
     return found.select("recording_id", "label", "samples", "short", _six("p50"), _six("p90"), "closer")

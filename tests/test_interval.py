@@ -57,3 +57,19 @@ def test_periods(spark):
     periods = spark.createDataFrame([("r", 0, 0.0, 5.0), ("r", 1, 5.0, None)], "recording_id string, period int, from_ms double, to_ms double")
     pts = spark.createDataFrame([("r", 0.0), ("r", 5.0), ("r", 99.0), ("q", 1.0)], "recording_id string, mid_ms double")
     assert sorted((r.recording_id, r.mid_ms, r.period) for r in interval.period_of(pts, periods).where("recording_id = 'r'").collect()) == [("r", 0.0, 0), ("r", 5.0, 1), ("r", 99.0, 1)]
+
+
+def test_equal_points_stay_points_of_their_own(spark):
+    turns = spans(spark, [(0, 1000), (500, 1500)]).withColumn("speaker", F.col("idx").cast("string"))
+    pts = spark.createDataFrame([("r", 600)] * 3 + [("r", 1200), ("q", 1), ("q", 1)], "recording_id string, at_ms long")
+    assert sorted((r.recording_id, r.at_ms, r.who or "") for r in interval.speaker_at(pts, turns).collect()) == sorted([("r", 600, "0")] * 3 + [("r", 1200, "1")] + [("q", 1, "")] * 2)
+    periods = spark.createDataFrame([("r", 0, 0.0, 25_000.0), ("r", 1, 20_000.0, None), ("r", 2, 30_000.0, float("inf")), ("r", 3, 5.0, 5.0)], "recording_id string, period int, from_ms double, to_ms double")
+    pts = spark.createDataFrame([("r", 10.0)] * 2 + [("r", 24_999.0), ("r", 25_000.0), ("r", 40_000.0), ("r", -1.0), ("q", 10.0)], "recording_id string, mid_ms double")
+    got = sorted((r.recording_id, r.mid_ms, -1 if r.period is None else r.period) for r in interval.period_of(pts, periods).collect())
+    assert got == sorted([("r", 10.0, 0)] * 2 + [("r", 24_999.0, 0), ("r", 25_000.0, 1), ("r", 40_000.0, 1), ("r", -1.0, -1), ("q", 10.0, -1)])
+
+
+def test_periods_do_not_meet_all_points(spark):
+    periods = spark.createDataFrame([("r", 0, 0.0, 5.0)], "recording_id string, period int, from_ms double, to_ms double")
+    pts = spark.createDataFrame([("r", 0.0)], "recording_id string, mid_ms double")
+    assert "b_bin" in interval.period_of(pts, periods)._jdf.queryExecution().optimizedPlan().toString()

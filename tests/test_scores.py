@@ -141,3 +141,12 @@ def test_small_rules(spark):
     assert v(scalars.live_warning(F.lit(9), F.lit(False), F.lit("good"), F.lit(False), F.lit(True))) == "unclear overlap"
     assert v(scalars.window_number(F.lit(7500.0))) == 0 and v(scalars.window_number(F.lit(7501.0))) == 1
     assert v(scalars.on_boundary(F.lit(7_540.0))) and not v(scalars.on_boundary(F.lit(9_000.0)))
+
+
+def test_rules_for_overlaps_by_error(spark):
+    ref = turns(spark, [(0, 1500, "A"), (1500, 3000, "B")])
+    own = turns(spark, [(0, 1000, "x"), (2000, 3000, "y")])
+    both = turns(spark, [(1000, 2000, None)]).drop("speaker")
+    totals = spark.createDataFrame([("r", 3000)], "recording_id string, total_ms long")
+    got = {r.rule: (r.missed_ms, r.confusion_ms, r.correct_ms, round(r.der, 6)) for r in score.overlap_rule_errors(ref, own, both, totals).collect()}
+    assert got == {"none": (1000, 0, 2000, 0.333333), "before": (0, 500, 2500, 0.166667), "after": (0, 500, 2500, 0.166667), "nearer": (0, 500, 2500, 0.166667), "split": (0, 0, 3000, 0.0), "within_1s": (0, 500, 2500, 0.166667)}

@@ -172,6 +172,22 @@ def test_streaming_job_equals_fold(spark, tmp_path):
         assert last[name].total_ms == pytest.approx(state["total_ms"]) and last[name].covered_to_ms == state["covered_to_ms"]
 
 
+def test_a_session_that_was_disposed_of_stays_so(spark, tmp_path):
+    sound = [[float(v) for v in TALK[i : i + 16000]] for i in range(0, 16000 * 12, 16000)]
+    rows = [("a", i, s, None, None, None) for i, s in enumerate(sound)] + [("a", 100, None, "dispose", None, None)]
+    later = [("a", 200 + i, s, None, None, None) for i, s in enumerate(sound)] + [("b", i, s, None, None, None) for i, s in enumerate(sound)]
+    schema = "session string, seq long, samples array<float>, verb string, idx int, name string"
+    for part, some in enumerate((rows, later)):
+        spark.createDataFrame(some, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{part}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    query = sinks.write_states(live_updates(stream, speaker_count=2), str(tmp_path / "states"), str(tmp_path / "cp"))
+    query.awaitTermination(240)
+    assert query.exception() is None
+    states = spark.read.parquet(str(tmp_path / "states"))
+    assert {r.session for r in states.where("seq < 100").select("session").collect()} == {"a", "b"}
+    assert states.where("session = 'a' and seq >= 100").count() == 0
+
+
 def test_models(tmp_path):
     with pytest.raises(ValueError):
         models("int8")

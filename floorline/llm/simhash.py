@@ -28,6 +28,10 @@ PARTITIONS = 2
 BUCKET = 65_536
 #: Parts into which the members of a component are dealt where they meet its name.
 SALTS = 16
+#: Copies from which on a fingerprint's rows aren't shuffled to meet its component; such fingerprints are broadcast, so they are
+#: limited to this many, whatever the number of rows.
+COPIES = 1_000
+MOST_HOT = 50_000
 _CHUNK = 1 << 16
 
 
@@ -354,14 +358,20 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     came. Null ids get a row and count for links, but name no component; a component of null ids alone has a null name.
     """
     all_ = cut(fingerprints(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))))
-    prints = cut(all_.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    prints = cut(all_.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("times")))
     roots = components(link_fingerprints(prints.select("fp"), distance=distance, parts=parts, bucket=bucket))
     # most fingerprints are linked with none and name themselves; the others meet the name of their root by salt, so that a
     # large component fills no task
-    linked = cut(prints.join(roots.withColumnRenamed("node", "fp"), "fp"))
+    linked = cut(prints.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "least", "root"))
     tops = prints.join(roots.select(F.col("root").alias("fp")).distinct(), "fp", "left_semi").withColumn("root", F.col("fp"))
     linked = linked.unionByName(tops.select("fp", "least", "root"))
     names = linked.groupBy("root").agg(F.min("least").alias("component")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     named = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(names, ["root", "salt"]).select(F.col("fp").alias("_fp"), "component")
-    each = prints.join(named, F.col("fp") == F.col("_fp"), "left").select("fp", F.when(F.col("_fp").isNotNull(), F.col("component")).otherwise(F.col("least")).alias("component"))
-    return all_.join(each, "fp").select(F.col("doc_id").alias(doc_id), "fp", "component")
+    each = cut(prints.join(named, F.col("fp") == F.col("_fp"), "left").select("fp", "times", F.when(F.col("_fp").isNotNull(), F.col("component")).otherwise(F.col("least")).alias("component")))
+    # fingerprints of very many copies are few: their rows learn the component where they are
+    most = max(COPIES, all_.count() // MOST_HOT)
+    hot = each.where(F.col("times") > most).select(F.col("fp").alias("_fp"), F.col("component").alias("_component"))
+    marked = all_.join(F.broadcast(hot), F.col("fp") == F.col("_fp"), "left")
+    copies = marked.where("_fp is not null").select("doc_id", "fp", F.col("_component").alias("component"))
+    others = marked.where("_fp is null").select("doc_id", "fp").join(each.where(F.col("times") <= most).select("fp", "component"), "fp")
+    return copies.unionByName(others.select("doc_id", "fp", "component")).withColumnRenamed("doc_id", doc_id)

@@ -119,6 +119,13 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(s, "COPIES", 5)
+    rows = [(100 - i, "one text that is there again and again") for i in range(40)] + [(200 + i, f"text {i} of its own kind {i * 7}") for i in range(20)] + [(None, "one text that is there again and again")] * 3
+    got = s.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r.doc_id or -1, r.component) for r in got) == sorted((d or -1, 61 if d is None or d <= 100 else d) for d, _ in rows)
+
+
 def test_edges(spark):
     long_ = "word " * 30_000 + "end"
     rows = [(9, "same text over and over again"), (3, "Same text over and OVER again"), (3, "Same text over and OVER again"), (7, None), (8, ""), (None, "same text over and over again"), (20, long_), (21, long_)]

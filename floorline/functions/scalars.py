@@ -109,3 +109,15 @@ def choose_locale(stored: Column, preferred: Column, known: tuple[str, ...] = ("
     bases = F.transform(preferred, lambda t: F.split(F.lower(t), "-")[0])
     fits = F.filter(bases, lambda b: b.isin(*known))
     return F.when(stored.isin(*known), stored).when(F.size(fits) > 0, F.get(fits, F.lit(0))).otherwise(F.lit(known[0]))
+
+
+def translated(key: Column, language: Column, messages: dict[str, dict[str, str]], default: str = "en") -> Column:
+    """``messages`` by language and key: the text in ``language``, else in ``default``, else the key itself."""
+    def lookup(texts: dict[str, str]) -> Column:
+        pairs = [F.lit(x) for pair in texts.items() for x in pair]
+        return F.try_element_at(F.create_map(*pairs), key) if pairs else F.lit(None).cast("string")
+
+    found = F.lit(None).cast("string")
+    for name, texts in messages.items():
+        found = F.when(language == name, lookup(texts)).otherwise(found)
+    return F.coalesce(found, lookup(messages.get(default, {})), key)

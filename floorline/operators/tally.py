@@ -18,6 +18,13 @@ def shares(labelled: DataFrame) -> DataFrame:
     return totals.select("recording_id", "speaker", "total_ms", F.when(spoken > 0, F.col("total_ms") / spoken).otherwise(0.0).alias("share"), "segments")
 
 
+def ordered(tallied: DataFrame, first: DataFrame | None = None) -> DataFrame:
+    """``tallied`` with ``rank``: who spoke most comes first, of equals who was heard first by ``first`` (recording_id, speaker, first_ms)."""
+    met = tallied.withColumn("first_ms", F.lit(None).cast("double")) if first is None else tallied.join(first.select("recording_id", "speaker", "first_ms"), ["recording_id", "speaker"], "left")
+    order = Window.partitionBy("recording_id").orderBy(F.desc("total_ms"), F.col("first_ms").asc_nulls_last(), "speaker")
+    return met.withColumn("rank", F.row_number().over(order)).drop("first_ms")
+
+
 def other_voices(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("recording_id").agg(F.coalesce(F.sum(F.when(F.col("label") == C.OTHER_VOICE, F.col("duration_ms") + F.col("credited_ms"))), F.lit(0)).alias("other_voices_ms"))
 

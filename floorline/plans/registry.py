@@ -78,6 +78,13 @@ def profile_tally(spark, d):
     return tally.with_profiles(tally.shares(_credited(spark, d)), people).select("recording_id", "speaker", "total_ms", "segments")
 
 
+@query("SELECT recording_id, label AS speaker, CAST(sum(dur + credited_ms) AS BIGINT) AS total_ms, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY sum(dur + credited_ms) DESC, min(start_ms), label) AS INTEGER) AS rank FROM credited GROUP BY recording_id, label", "credited")
+def ordered_shares(spark, d):
+    credited = _credited(spark, d)
+    first = credited.groupBy("recording_id", F.col("label").alias("speaker")).agg(F.min("start_ms").alias("first_ms"))
+    return tally.ordered(tally.shares(credited), first).select("recording_id", "speaker", "total_ms", "rank")
+
+
 # --- timeline ----------------------------------------------------------------------------------
 
 _WINDOWS = """plan AS (SELECT recording_id, t, unnest(CASE WHEN t <= 10000 THEN [0.0::DOUBLE] ELSE list_concat(list_transform(range(0, CAST(floor((t - 10000) / 5000) AS BIGINT) + 1), lambda i: i * 5000.0::DOUBLE), CASE WHEN floor((t - 10000) / 5000) * 5000 + 10000 < t THEN [t - 10000] ELSE CAST([] AS DOUBLE[]) END) END) AS s FROM (SELECT recording_id, CAST(max(end_ms) AS DOUBLE) AS t FROM spans GROUP BY ALL)),
@@ -600,6 +607,20 @@ def session_replay(spark, d):
     return identity.replay_sessions(tables.samples(spark, d), k=3).drop("identities")
 
 
+@query()
+def held_final_sets(spark, d):
+    return identity.held_final_sets(tables.samples(spark, d), k=3)
+
+
+@query("SELECT recording_id, idx, CASE WHEN idx % 3 = 0 THEN CASE n_sp WHEN 0 THEN 'quiet' WHEN 1 THEN 'one voice' ELSE 'several voices' END WHEN idx % 3 = 1 AND n_sp = 0 THEN 'still' WHEN n_sp = 0 THEN 'quiet' WHEN n_sp = 1 THEN 'one voice' ELSE 'several voices' END AS words FROM spans", "spans")
+def translated_states(spark, d):
+    """What is heard in words of a language, in English where the language lacks them."""
+    s, texts = tables.spans(spark, d), {"en": {"0": "quiet", "1": "one voice", "2": "several voices"}, "xx": {"0": "still"}}
+    key = F.least(F.size("speakers"), F.lit(2)).cast("string")
+    language = F.when(F.col("idx") % 3 == 0, "en").when(F.col("idx") % 3 == 1, "xx").otherwise("none")
+    return s.select("recording_id", "idx", scalars.translated(key, language, texts).alias("words"))
+
+
 @query()
 def live_state(spark, d):
     """Batch replay of test conversations as live sessions: the last state of each."""

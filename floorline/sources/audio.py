@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import shutil
+import subprocess
 import wave
 from collections.abc import Iterator, Sequence
 
@@ -32,6 +34,22 @@ def decode_wav(body: bytes) -> tuple[np.ndarray, int]:
     return x.reshape(-1, channels), rate
 
 
+def decode_other(body: bytes) -> tuple[np.ndarray, int]:
+    """The same of any other format, by the program ffmpeg where executors have it."""
+    program = shutil.which("ffmpeg")
+    if program is None:
+        raise ValueError("only WAV files can be read here: ffmpeg isn't installed")
+    done = subprocess.run([program, "-v", "error", "-i", "pipe:0", "-f", "f32le", "-ac", "1", "-ar", str(SAMPLE_RATE), "pipe:1"], input=body, capture_output=True)
+    if done.returncode:
+        raise ValueError(f"ffmpeg can't read the file: {done.stderr.decode(errors='replace').strip()}")
+    return np.frombuffer(done.stdout, "<f4").astype(np.float64).reshape(-1, 1), SAMPLE_RATE
+
+
+def decode(body: bytes) -> tuple[np.ndarray, int]:
+    """Samples and rate of a file in any format; WAV needs no other program."""
+    return decode_wav(body) if body[:4] == b"RIFF" and body[8:12] == b"WAVE" else decode_other(body)
+
+
 def encode_wav(samples: np.ndarray) -> bytes:
     out = io.BytesIO()
     with wave.open(out, "wb") as w:
@@ -45,17 +63,38 @@ def chunked(recording_id: str, samples: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"recording_id": recording_id, "chunk": range(len(starts)), "start_ms": [i * CHUNK_MS for i in range(len(starts))], "samples": [np.asarray(samples[s : s + SAMPLE_RATE], dtype=np.float32) for s in starts]})
 
 
-def read_wavs(spark: SparkSession, path: str, glob: str = "*.wav") -> DataFrame:
-    """Chunks of one second of every file, named by its path."""
+def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Chunks of one second of every file, named by its path; formats other than WAV need ffmpeg."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, body in zip(pdf["path"], pdf["content"], strict=True):
-                yield chunked(name.rsplit("/", 1)[-1], to_16k_mono(*decode_wav(body)))
+                yield chunked(name.rsplit("/", 1)[-1], to_16k_mono(*decode(body)))
 
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content").mapInPandas(run, CHUNKS)
 
 
+def read_wavs(spark: SparkSession, path: str) -> DataFrame:
+    return read_files(spark, path, "*.wav")
+
+
+#: Turns of the recording that comes with the package, and how many people it has.
+SAMPLE = (("A", 4.0), ("-", 1.0), ("B", 3.0), ("A", 6.5), ("C", 5.0), ("AB", 2.0), ("B", 4.0), ("C", 3.5), ("A", 5.0))
+SAMPLE_COUNT = 3
+
+
+def sample_recording(spark: SparkSession) -> DataFrame:
+    """The chunks of a recording that needs no file, for a first try."""
+    return recordings(spark, {"sample": conversation(SAMPLE)})
+
+
+def live_source(spark: SparkSession, path: str, demo: bool = False, files_per_trigger: int = 1) -> DataFrame:
+    """A stream of chunks from ``path``; with ``demo`` the sample recording is played there first, so that no microphone is needed."""
+    if demo:
+        replay_file(sample_recording(spark), path)
+    return stream_chunks(spark, path, files_per_trigger)
+
+
 def stream_chunks(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """A microphone's chunks, as Parquet files that keep arriving in a folder."""
     return spark.readStream.schema(CHUNKS).option("maxFilesPerTrigger", files_per_trigger).parquet(path)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from floorline.operators import cluster as c
-from floorline.operators.identity import NewVoiceWatch, Profile, carry, nearest_profile, replay
+from floorline.operators.identity import NewVoiceWatch, Profile, carry, held_final, nearest_profile, replay
 from floorline.sources.audio import make_voices
 
 FIXTURE = Path(os.environ.get("FLOORLINE_RECORDED_VECTORS", "recorded-vectors.json"))
@@ -210,6 +210,11 @@ def test_growth_and_sweep(spark):
     assert found == {-0.5: (24, 24), 0.7: (3, 3), 2.0: (1, 1)}
 
 
+def test_held_final():
+    steps = [(0, [0, 0, 1], 0), (1, [0, 1, 1, 2, -1], 1), (2, [5, 1, 1, 2, -1, 0], 1)]
+    assert held_final(steps) == {0: [0, 1, 5], 1: [1], 2: [2], 5: [5]} and held_final([]) == {}
+
+
 def test_viterbi_without_penalty_is_nearest(spark):
     v, truth = make_voices(2, 4)
     starts = np.arange(8) * 1000.0

@@ -195,3 +195,32 @@ def test_models(tmp_path):
     assert verified(str(tmp_path / "m"), "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad", 3)
     with pytest.raises(ValueError):
         verified(str(tmp_path / "m"), None, 4)
+
+
+def test_formats_and_the_sample(spark, tmp_path, monkeypatch):
+    from floorline.sources import audio
+
+    wav = audio.encode_wav(TALK[:16000])
+    assert audio.decode(wav)[1] == 16_000 and len(audio.decode(wav)[0]) == 16_000
+    monkeypatch.setattr(audio.shutil, "which", lambda name: None)
+    with pytest.raises(ValueError, match="ffmpeg"):
+        audio.decode(b"OggS" + wav)
+    fake = tmp_path / "ffmpeg"
+    fake.write_text("#!/bin/sh\ncat > /dev/null\nprintf '\\000\\000\\200\\077'\n")
+    fake.chmod(0o755)
+    monkeypatch.setattr(audio.shutil, "which", lambda name: str(fake))
+    assert audio.decode(b"OggS")[0].tolist() == [[1.0]]
+    sample = audio.sample_recording(spark)
+    seconds = sum(t[1] for t in audio.SAMPLE)
+    assert audio.totals(sample).first().total_ms == seconds * 1000 and len({v for t in audio.SAMPLE for v in t[0]} - {"-"}) == audio.SAMPLE_COUNT
+    stream = audio.live_source(spark, str(tmp_path / "demo"), demo=True)
+    assert stream.isStreaming and spark.read.parquet(str(tmp_path / "demo")).count() == sample.count()
+
+
+def test_progress(spark):
+    from floorline.plans.progress import Progress
+
+    said = []
+    with Progress(spark, lambda done, total: said.append((done, total)), seconds=0.01):
+        spark.range(0, 4_000_000, numPartitions=8).selectExpr("sum(hash(id))").collect()
+    assert said and said[-1][0] == said[-1][1] and all(0 <= a <= b for a, b in said)

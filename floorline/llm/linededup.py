@@ -19,6 +19,8 @@ HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:@]+)"
 SILENT = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->"
 BREAKS = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figcaption|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)(?:[\s/][^>]*)?>"
 TAGS = r"</?[a-zA-Z][^<>]*>|<[!?][^<>]*>"
+#: White space that isn't one space already: most is, and each match costs.
+SPACES = r"[ \t\r\f]{2,}|[\t\r\f]"
 REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 
 
@@ -32,7 +34,7 @@ def lines_of(html: Column) -> Column:
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), SILENT, ""), BREAKS, "\n"), TAGS, "")
     for name, sign in REFERENCES:
         text = F.replace(text, F.lit(name), F.lit(sign))
-    text = F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t\r\f]+", " "), r" ?\n[ \n]*", "\n"), F.lit(" \n"))
+    text = F.trim(F.regexp_replace(F.regexp_replace(text, SPACES, " "), r" ?\n[ \n]*", "\n"), F.lit(" \n"))
     return F.filter(F.split(text, "\n"), lambda x: x != "")
 
 

@@ -65,7 +65,7 @@ def line_dedup(ratio: float = linededup.RATIO, least: int = linededup.LEAST_PAGE
     text = f"regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), {_quoted(linededup.SILENT)}, '', 'g'), {_quoted(linededup.BREAKS)}, chr(10), 'g'), {_quoted(linededup.TAGS)}, '', 'g')"
     for name, sign in linededup.REFERENCES:
         text = f"replace({text}, {_quoted(name)}, {_quoted(sign)})"
-    text = f"trim(regexp_replace(regexp_replace({text}, '[ \\t\\r\\f]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10))"
+    text = f"trim(regexp_replace(regexp_replace({text}, {_quoted(linededup.SPACES)}, ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10))"
     return f"""WITH p AS (SELECT row_number() OVER () AS r, page_id, url, lower(regexp_extract(coalesce(url, ''), {_quoted(linededup.HOST)}, 1)) AS host, list_filter(string_split({text}, chr(10)), lambda x: x <> '') AS ls FROM pages),
 tot AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
 cnt AS (SELECT host, line, count(*) AS n FROM (SELECT DISTINCT r, host, unnest(ls) AS line FROM p) GROUP BY ALL),

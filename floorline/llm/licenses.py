@@ -38,7 +38,7 @@ NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(F.lower(text), NOT_WORD, " "), " "), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), NOT_WORD), lambda w: w != "")
 
 
 def bigrams_of(words: Column) -> Column:

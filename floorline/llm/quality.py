@@ -28,10 +28,11 @@ CUTOFF = 0.3
 #: Difference that is damped to a half.
 HALF_WAY = 0.05
 #: Words whose manner a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 
 _SIGNS = ".,;:!?()[]\"'"
 _codes: dict[str, tuple[bytes, bytes]] = {}
+_kinds: dict[tuple[bytes, bytes], tuple[bytes, bytes]] = {}  # words of one manner share one pair
 
 
 def _code(word: str) -> tuple[bytes, bytes]:
@@ -58,7 +59,9 @@ def manner(text: str | None) -> bytes:
             if code is None:
                 if len(_codes) >= REMEMBERED:
                     _codes.clear()
-                code = _codes[word] = _code(word)
+                    _kinds.clear()
+                code = _code(word)
+                code = _codes[word] = _kinds.setdefault(code, code)
             out.append(code[word == a or word == b or word == c])
             a, b, c = word, a, b
         out.append(b"\n")

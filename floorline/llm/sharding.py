@@ -35,30 +35,41 @@ def _loads(rows: DataFrame, shards: int, column: str = "shard", n: Column | None
     return [int(found.get(s) or 0) for s in range(shards)]
 
 
-def _heard(asks: DataFrame, room: list[int]) -> DataFrame:
-    """Of ``asks`` (grp, block, size, home) those that shards accept: large blocks first, else in a fixed order, while there is room."""
+def _heard(asks: DataFrame, room: list[int], *more: str) -> DataFrame:
+    """Of ``asks`` (grp, block, size, home, and ``more``) those that shards accept: large blocks first, else in a fixed order, while there is room."""
     asks = asks.withColumn("_turn", F.pmod(F.xxhash64("grp", "block"), F.lit(1 << 40))).withColumn("_bin", (F.lit(64) - F.least(F.floor(F.log2("size")), F.lit(64))) * 64 + F.shiftright("_turn", 34))
-    heard = running_total(asks.select("grp", "block", "size", "home", "_turn", "_bin"), ["home"], "_bin", ["_turn", "grp", "block"], F.col("size"), "_before")
-    return cut(heard.where(F.col("_before") + F.col("size") <= _lookup(room, F.col("home"))).select("grp", "block", "size", "home"))
+    heard = running_total(asks.select("grp", "block", "size", "home", *more, "_turn", "_bin"), ["home"], "_bin", ["_turn", "grp", "block"], F.col("size"), "_before")
+    return cut(heard.where(F.col("_before") + F.col("size") <= _lookup(room, F.col("home"))).select("grp", "block", "size", "home", *more))
 
 
 def _propagate(settled: DataFrame, room: list[int], shards: int) -> DataFrame:
-    """Rounds of moves of ``settled`` (grp, block, size, home) blocks to the shard that holds most of their group, until none moves.
+    """Rounds of moves of ``settled`` (grp, block, size, home) blocks to a shard that holds more of their group, until none moves.
 
-    A block asks to move if that shard holds more of its group than its own does, of equals if its number is lower; so a
-    group's largest part only grows and the rounds come to an end. Room that moves leave behind is there for the next round.
+    A block asks for the shard with most of its group among those that have room for it and hold more than its own does, or as
+    much under a lower number. A round that wouldn't keep more links within shards isn't made, so rounds come to an end. Room
+    that moves leave behind is there for the next one.
     """
+    best = 0
     while True:
         kin = settled.groupBy("grp", "home").agg(F.sum("size").alias("kin"))
-        top = kin.groupBy("grp").agg(F.max(F.struct("kin", (-F.col("home")).alias("minus"))).alias("top"), F.count("*").alias("ways")).where("ways > 1")
-        asks = settled.withColumnRenamed("home", "was").join(top.select("grp", (-F.col("top.minus")).cast("int").alias("home")), "grp").where("was <> home")
-        moved = _heard(asks.select("grp", "block", "size", "home"), room)
-        gained = _loads(moved, shards, "home", F.col("size"))
+        # where each group is: as many entries as shards at most
+        spots = cut(kin.groupBy("grp").agg(F.collect_list(F.struct("kin", (-F.col("home")).alias("minus"))).alias("spots"), F.sum(F.col("kin") * F.col("kin")).alias("within")))
+        kept, split = spots.agg(F.sum("within"), F.count_if(F.size("spots") > 1)).first()
+        if best and kept <= best:  # the round before didn't help
+            return before
+        if not split:
+            return settled
+        best, before, spots = kept, settled, spots.where(F.size("spots") > 1)
+        own = F.struct(F.element_at(F.filter("spots", lambda x: x["minus"] == -F.col("was")), 1)["kin"].alias("kin"), (-F.col("was")).alias("minus"))
+        fits = F.filter("spots", lambda x: (_lookup(room, -x["minus"]) >= F.col("size")) & (x > own))
+        asks = settled.withColumnRenamed("home", "was").join(spots.select("grp", "spots"), "grp").withColumn("home", (-F.array_max(fits)["minus"]).cast("int")).where("home is not null")
+        moved = _heard(asks, room, "was")
+        gained, lost = _loads(moved, shards, "home", F.col("size")), _loads(moved, shards, "was", F.col("size"))
         if not sum(gained):
             return settled
-        lost = _loads(settled.join(moved.select("grp", "block"), ["grp", "block"], "left_semi"), shards, "home", F.col("size"))
+        new = moved.select("grp", "block", F.col("home").alias("new"))
+        settled = cut(settled.join(new, ["grp", "block"], "left").select("grp", "block", "size", F.coalesce("new", "home").alias("home")))
         room = [r - g + l for r, g, l in zip(room, gained, lost, strict=True)]
-        settled = cut(settled.join(moved.select("grp", "block"), ["grp", "block"], "left_anti").unionByName(moved))
 
 
 def _settle(blocks: DataFrame, capacity: list[int], shards: int) -> DataFrame:

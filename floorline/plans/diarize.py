@@ -25,6 +25,12 @@ class Diarization:
     quality: DataFrame
     diagnostics: DataFrame
     samples: DataFrame
+    held: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Lets go of what was kept for the results, once these have been read."""
+        for kept in self.held:
+            kept.unpersist()
 
 
 def _sound_of(pieces: DataFrame, chunks: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
@@ -105,4 +111,4 @@ def diarize(chunks: DataFrame, *, models_: Models | None = None, speaker_count:
     marked = spans.join(judged.select("recording_id", "idx", "keep"), ["recording_id", "idx"], "left").withColumn("keep", F.coalesce("keep", F.lit(True)))
     counted = tally.stage_counters(marked).join(timeline.window_plan(totals(chunks)).groupBy("recording_id").agg(F.count("*").alias("windows")), "recording_id")
     diagnostics = counted.join(tally.other_voices(labelled), "recording_id", "left").join(labelled.groupBy("recording_id").agg(F.count("*").alias("embeddings"), F.sum(F.when(F.col("label") != C.OTHER_VOICE, F.col("credited_ms")).otherwise(0)).alias("credited_ms")), "recording_id", "left")
-    return Diarization(tally.shares(labelled), timeline_, quality, diagnostics, samples.join(labels, ["recording_id", "idx"]))
+    return Diarization(tally.shares(labelled), timeline_, quality, diagnostics, samples.join(labels, ["recording_id", "idx"]), (spans, samples, labelled))

@@ -761,10 +761,10 @@ def period_routing(spark, d):
     return interval.period_of(middles, periods).select("recording_id", "idx", F.coalesce("period", F.lit(-1)).alias("period"))
 
 
-@query("SELECT c.recording_id, c.label AS speaker, coalesce(n.name, 'Speaker ' || (c.label + 1)) AS name, CAST(sum(dur + credited_ms) AS BIGINT) AS total_ms FROM credited c LEFT JOIN (VALUES (0, 'Ana'), (2, 'Marta')) n(id, name) ON c.label = n.id GROUP BY ALL", "credited")
+@query("SELECT c.recording_id, c.label AS speaker, coalesce(n.name, 'Speaker ' || (c.label + 1)) AS name, CAST(sum(dur + credited_ms) AS BIGINT) AS total_ms FROM credited c LEFT JOIN (VALUES (0, 'Ilse'), (2, 'Noor')) n(id, name) ON c.label = n.id GROUP BY ALL", "credited")
 def named_legend(spark, d):
     """Typed names by number, or 'Speaker n' for who has none."""
-    names = spark.createDataFrame([(0, "Ana"), (2, "Marta")], "speaker int, name string")
+    names = spark.createDataFrame([(0, "Ilse"), (2, "Noor")], "speaker int, name string")
     named = tally.shares(_credited(spark, d)).join(names, "speaker", "left")
     return named.select("recording_id", "speaker", F.coalesce("name", F.concat(F.lit("Speaker "), F.col("speaker") + 1)).alias("name"), "total_ms")
 

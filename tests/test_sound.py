@@ -79,7 +79,7 @@ def test_pause_and_resume():
 
 
 def test_introductions():
-    s, nets = LiveSession(names=["Ana", "Bea"], introductions=True), models()
+    s, nets = LiveSession(names=["Ilse", "Bea"], introductions=True), models()
     s.introduce(0)
     for verb, talk in (("introduce", [("A", 12)]), ("start", [("B", 12)])):
         x = sound.conversation(talk)
@@ -124,9 +124,9 @@ def test_shedding_and_recovery():
 
 
 def test_export_round_trip(spark, tmp_path):
-    s = live(TALK, speaker_count=2, names=["Ana", "Bea"])
+    s = live(TALK, speaker_count=2, names=["Ilse", "Bea"])
     body = s.export()
-    assert "Ana" not in json.dumps(body)
+    assert "Ilse" not in json.dumps(body)
     (tmp_path / "one.json").write_text(json.dumps(body))
     exports = documents.read_exports(spark, str(tmp_path))
     rows = documents.export_samples(exports).orderBy("idx").collect()

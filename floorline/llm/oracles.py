@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, licenses, linededup, mixing, topk
+from . import decontam, licenses, linededup, mixing, search, topk
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -72,3 +72,18 @@ cnt AS (SELECT host, line, count(*) AS n FROM (SELECT DISTINCT r, host, unnest(l
 com AS (SELECT host, list(line) AS common FROM cnt JOIN tot USING (host) WHERE n >= {least} AND n > {ratio!r}::DOUBLE * pages GROUP BY host),
 k AS (SELECT p.*, list_filter(ls, lambda x: NOT list_contains(coalesce(common, CAST([] AS VARCHAR[])), x)) AS kept FROM p LEFT JOIN com USING (host))
 SELECT page_id, url, host, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(kept) AS BIGINT) AS n_dropped, array_to_string(kept, chr(10)) AS text FROM k"""
+
+
+def ranked_search(k: int = search.K) -> str:
+    terms = f"unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+t AS (SELECT r, t, count(*) AS tf FROM (SELECT r, {terms} AS t FROM d) GROUP BY ALL),
+n AS (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM t GROUP BY r),
+a AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM n),
+i AS (SELECT row_number() OVER () AS i, item_id, text FROM benchmark),
+q AS (SELECT i, t, count(*) AS times FROM (SELECT i, {terms} AS t FROM i) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, a WHERE t IN (SELECT t FROM q) GROUP BY t, docs),
+m AS (SELECT r, {search.PERCENT - search.SLOPE} + ({search.SLOPE} * n * docs) // words AS m FROM n, a),
+s AS (SELECT i, r, CAST(sum(times * w * (({search.UNIT} * tf) // (1000 * tf + {search.SATURATION} * m))) AS BIGINT) AS score FROM q JOIN w USING (t) JOIN t USING (t) JOIN m USING (r) GROUP BY i, r),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM s JOIN d USING (r) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k JOIN i USING (i) WHERE rank <= {k}"""

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontam, htmltext, langid, licenses, linededup, mixing, oracles, quality, sharding, simhash, topk
-from .common import table
+from . import decontam, htmltext, langid, licenses, linededup, mixing, oracles, quality, records, search, sharding, simhash, topk
+from .common import shared_folder, table
 
 
 def remainder(column: str, modulus: int) -> Column:
@@ -66,7 +67,19 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_simhash, op4_source_mix, op5_html_text, op6_shards, op7_top_k, op8_line_dedup, op9_quality, op10_language)}
+def op11_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    records.write_records(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return records.read_records(spark, folder).select("doc_id", "start", "n_tokens", records.ids_crc32().alias("ids_crc32"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(search.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_simhash, op4_source_mix, op5_html_text, op6_shards, op7_top_k, op8_line_dedup, op9_quality, op10_language, op11_token_records, op13_ranked_search)}
 
 #: The others hash with XXH64, parse HTML, compress or learn, or leave the layout open: their tests hold them to plain versions.
 ORACLE_SQL: dict[str, str] = {
@@ -75,4 +88,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_source_mix": oracles.source_mix(),
     "op7_top_k": oracles.top_k(),
     "op8_line_dedup": oracles.line_dedup(),
+    "op13_ranked_search": oracles.ranked_search(),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, licenses, linededup, mixing, search, topk
+from . import decontam, licenses, linededup, mixing, release, search, topk
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -87,3 +87,23 @@ m AS (SELECT r, {search.PERCENT - search.SLOPE} + ({search.SLOPE} * n * docs) //
 s AS (SELECT i, r, CAST(sum(times * w * (({search.UNIT} * tf) // (1000 * tf + {search.SATURATION} * m))) AS BIGINT) AS score FROM q JOIN w USING (t) JOIN t USING (t) JOIN m USING (r) GROUP BY i, r),
 k AS (SELECT *, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM s JOIN d USING (r) WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM k JOIN i USING (i) WHERE rank <= {k}"""
+
+
+def release_order() -> str:
+    """Turn after turn by recursion; CRC-32 by its table, byte after byte."""
+    crc = lambda codes: f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::BIGINT)"
+    text = "list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+    name = "concat(k, ':', coalesce(CAST(conv_id AS VARCHAR), 'null'), ':', coalesce(CAST(turn AS VARCHAR), 'null'))"
+    delays, n = list(release.DELAYS), len(release.DELAYS)
+    tries = f"list_filter(range(1, {n + 1}), lambda a: NOT faulty OR (good[a] AND b + {delays}[a] >= repaired))"
+    return f"""WITH RECURSIVE table_of AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), CAST(range(8) AS BIGINT[])), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS t),
+body AS (SELECT conv_id, turn, {crc(text)} AS crc FROM conversations, table_of),
+num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, crc) - 1 AS p FROM body),
+hs AS (SELECT num.*, list_transform(range({n + 3}), lambda k: {crc("list_transform(string_split(" + name + ", ''), lambda x: CAST(ascii(x) AS BIGINT))")}) AS h FROM num, table_of),
+plan AS (SELECT conv_id, turn, crc, p, {release.ARRIVAL_STEP} * p AS arrival, CASE WHEN h[1] % {release.REACH} BETWEEN 1 AND p THEN h[1] % {release.REACH} END AS back, h[2] % {release.FAULT_MODULUS} < {release.FAULTY_BELOW} AS faulty, {release.ARRIVAL_STEP} * p + h[3] % {release.REPAIR_MODULUS} AS repaired, list_transform(h[4:], lambda x: x % {release.FAIL_MODULUS} <> 0) AS good FROM hs),
+run AS (SELECT conv_id, turn, crc, p, arrival, faulty, repaired, good, CAST(NULL AS BIGINT) AS d0, CAST(NULL AS BIGINT) AS d1, CAST(NULL AS BIGINT) AS d2, CAST(NULL AS BIGINT) AS back, FALSE AS blocked, CAST(NULL AS BIGINT) AS b, -1::BIGINT AS upto, CAST([] AS BIGINT[]) AS ok FROM plan WHERE p = 0
+UNION ALL SELECT conv_id, turn, crc, p, arrival, faulty, repaired, good, CASE WHEN NOT blocked AND len(ok) > 0 THEN b + {delays}[ok[1]] END, d1, d2, back, blocked, b, p, ok FROM (SELECT *, CAST({tries} AS BIGINT[]) AS ok FROM (SELECT q.conv_id, q.turn, q.crc, q.p, q.arrival, q.faulty, q.repaired, q.good, q.back, r.d0 AS d1, r.d1 AS d2, q.back IS NOT NULL AND CASE q.back WHEN 1 THEN r.d0 ELSE r.d1 END IS NULL AS blocked, greatest(q.arrival, coalesce(CASE q.back WHEN 1 THEN r.d0 WHEN 2 THEN r.d1 END, q.arrival)) AS b FROM run r JOIN plan q ON r.conv_id IS NOT DISTINCT FROM q.conv_id AND q.p = r.upto + 1))),
+done AS (SELECT conv_id, turn, crc, p, CASE WHEN blocked THEN 'blocked' WHEN d0 IS NULL THEN 'dead' ELSE 'delivered' END AS status, CAST(CASE WHEN blocked THEN 0 WHEN d0 IS NULL THEN {n} ELSE ok[1] END AS INTEGER) AS attempts, CASE WHEN NOT blocked THEN b END AS first_at, CASE WHEN NOT blocked THEN coalesce(d0, b + {delays[-1]}) END AS last_at FROM run WHERE upto >= 0),
+ord AS (SELECT conv_id, p, row_number() OVER o AS release_no, crc FROM done WHERE status = 'delivered' WINDOW o AS (PARTITION BY conv_id ORDER BY last_at, turn NULLS FIRST, p)),
+tot AS (SELECT conv_id, p, release_no, CAST(sum(release_no * crc) OVER (PARTITION BY conv_id ORDER BY release_no) AS BIGINT) AS state FROM ord)
+SELECT d.conv_id, d.turn, status, attempts, first_at, last_at, release_no, state FROM done d LEFT JOIN tot t ON d.conv_id IS NOT DISTINCT FROM t.conv_id AND d.p = t.p"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontam, htmltext, langid, licenses, linededup, mixing, oracles, quality, records, search, sharding, simhash, topk
+from . import decontam, htmltext, langid, licenses, linededup, mixing, oracles, quality, records, release, search, sharding, simhash, topk
 from .common import shared_folder, table
 
 
@@ -75,11 +75,16 @@ def op11_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, folder).select("doc_id", "start", "n_tokens", records.ids_crc32().alias("ids_crc32"))
 
 
+def op12_release(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = release.replay(table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "turn", "status", "attempts", "first_at", "last_at", "release_no", F.expr("try_cast(state AS bigint)").alias("state"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(search.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_simhash, op4_source_mix, op5_html_text, op6_shards, op7_top_k, op8_line_dedup, op9_quality, op10_language, op11_token_records, op13_ranked_search)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_simhash, op4_source_mix, op5_html_text, op6_shards, op7_top_k, op8_line_dedup, op9_quality, op10_language, op11_token_records, op12_release, op13_ranked_search)}
 
 #: The others hash with XXH64, parse HTML, compress or learn, or leave the layout open: their tests hold them to plain versions.
 ORACLE_SQL: dict[str, str] = {
@@ -88,5 +93,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_source_mix": oracles.source_mix(),
     "op7_top_k": oracles.top_k(),
     "op8_line_dedup": oracles.line_dedup(),
+    "op12_release": oracles.release_order(),
     "op13_ranked_search": oracles.ranked_search(),
 }

@@ -130,20 +130,22 @@ def hashed(k: Column | int, conv: Column, turn: Column) -> Column:
     return F.crc32(F.concat_ws(":", (k if isinstance(k, Column) else F.lit(k)).cast("string"), F.coalesce(conv.cast("string"), F.lit("null")), F.coalesce(turn.cast("string"), F.lit("null"))).cast("binary"))
 
 
-def attempt_pieces(arrival: Column, repaired: Column, good: list[Column]) -> Column:
-    """The start-to-delivery function of a turn: ``good`` says for each attempt whether it delivers once repaired.
+def with_attempt_pieces(turns: DataFrame) -> DataFrame:
+    """Adds ``pieces``, the start-to-delivery function, by (arrival, faulty, repaired, good); ``good`` says for each attempt whether it delivers once repaired.
 
-    Started at s the a-th attempt comes ``DELAYS[a]`` after max(s, arrival); the first good one that isn't before the repair delivers.
+    Started at s the a-th attempt comes ``DELAYS[a]`` after max(s, arrival); the first good one that isn't before the repair
+    delivers. Column after column, as each is used more than once.
     """
-    # from the latest start back: from repaired - DELAYS[a] on, attempt a delivers if it is good and no earlier one does
-    hits = F.filter(F.array(*(F.when(g, F.struct((repaired - F.lit(d)).cast("long").alias("from"), F.lit(d).cast("long").alias("delay"))) for g, d in zip(good, DELAYS, strict=True))), lambda x: x.isNotNull())
-    late = F.transform(F.reverse(hits), lambda x: piece(F.greatest(x["from"], arrival), x["delay"], True))
+    arrival = F.col("arrival")
+    # from repaired - DELAYS[a] on attempt a delivers if it is good and no earlier one does; the longest delay comes first
+    tries = [F.when(F.get("good", F.lit(a)), piece(F.greatest(F.col("repaired") - d, arrival), d, True)) for a, d in enumerate(DELAYS)]
+    late = turns.withColumn("_late", F.filter(F.array(*reversed(tries)), lambda x: x.isNotNull()))
     # of pieces that begin at the arrival only the last, the shortest delay, counts
-    last = F.transform(late, lambda x, i: F.struct(x.alias("x"), ((i == F.size(late) - 1) | (x["lo"] < F.get(late, i + 1)["lo"])).alias("on")))
-    kept = F.transform(F.filter(last, lambda x: x["on"]), lambda x: x["x"])
-    whole = F.when((F.size(kept) > 0) & (F.get(kept, F.lit(0))["lo"] <= arrival), kept).otherwise(F.concat(F.array(piece(arrival, None, False)), kept))
-    first = F.get(whole, F.lit(0))
-    return simplified(F.concat(F.array(piece(_NEVER, F.when(first["moves"], first["add"] + arrival), False)), whole))
+    late = late.withColumn("_late", F.filter("_late", lambda x, i: F.coalesce(x["lo"] < F.get("_late", i + 1)["lo"], F.lit(True))))
+    whole = F.when(~F.col("faulty"), F.array(piece(arrival, 0, True))).when(F.get("_late", F.lit(0))["lo"] == arrival, F.col("_late")).otherwise(F.concat(F.array(piece(arrival, None, False)), "_late"))
+    late = late.withColumn("_late", whole)
+    first = F.get("_late", F.lit(0))
+    return late.withColumn("pieces", F.concat(F.array(piece(_NEVER, F.when(first["moves"], first["add"] + arrival), False)), "_late")).drop("_late")
 
 
 def plan(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
@@ -162,9 +164,7 @@ def plan(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", text
     faulty = h(1) % FAULT_MODULUS < FAULTY_BELOW
     good = F.array(*(h(a + 2) % FAIL_MODULUS != 0 for a in range(1, len(DELAYS) + 1)))
     rows = rows.withColumns({"parent": F.when((back > 0) & (back <= F.col("p")), F.col("p") - back), "arrival": arrival, "faulty": faulty, "repaired": F.when(faulty, arrival + h(2) % REPAIR_MODULUS), "good": F.when(faulty, good)})
-    sound = F.array(piece(_NEVER, F.col("arrival"), False), piece(F.col("arrival"), 0, True))
-    broken = attempt_pieces(F.col("arrival"), F.col("repaired"), [F.get("good", F.lit(a)) for a in range(len(DELAYS))])
-    return cut(rows.withColumn("pieces", F.when(F.col("faulty"), broken).otherwise(sound)))
+    return cut(with_attempt_pieces(rows))
 
 
 def released(delivered: DataFrame) -> DataFrame:

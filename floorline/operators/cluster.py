@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -31,29 +33,57 @@ def renumbered(labels: np.ndarray) -> np.ndarray:
     return np.argsort(np.argsort(first))[inverse]
 
 
-def average_linkage(vectors: np.ndarray, k: int | None = None, threshold: float | None = None) -> np.ndarray:
-    """Labels by first appearance. The closest two groups merge, ties to the lowest numbers, until ``k`` are left.
+class Tree(NamedTuple):
+    """Merges in the order in which they were made: at step s the group ``right[s]`` goes into ``left[s]``, at ``height[s]``.
 
-    Without ``k`` merging stops above ``threshold``; without either all become one. Distances are float32 and a merged
-    group's distance is the mean by size. Each row remembers its nearest later group; after a merge only rows that had one of
-    the two look again, so a merge mostly costs as much as there are groups.
+    A group is named by its first sample, so ``left[s] < right[s]``, and each name is a ``right`` once at most.
+    """
+
+    samples: int
+    left: np.ndarray
+    right: np.ndarray
+    height: np.ndarray
+
+    def steps(self, k: int | None = None, threshold: float | None = None) -> int:
+        """How many merges leave ``k`` groups, or, without ``k``, come before the first one above ``threshold``."""
+        if k is not None:
+            return min(len(self.height), self.samples - min(max(int(k), 1), self.samples))
+        over = np.flatnonzero(self.height > (np.inf if threshold is None else threshold))
+        return int(over[0]) if len(over) else len(self.height)
+
+    def cut(self, k: int | None = None, threshold: float | None = None) -> np.ndarray:
+        """Labels by first appearance after so many merges; without a count or a threshold after all of them."""
+        n = self.steps(k, threshold)
+        owner = np.arange(self.samples)
+        owner[self.right[:n]] = self.left[:n]
+        for i in range(self.samples):  # what a group went into has a lower name, and so its own owner by now
+            owner[i] = owner[owner[i]]
+        return renumbered(owner)
+
+
+def merge_tree(vectors: np.ndarray, k: int | None = None, threshold: float | None = None) -> Tree:
+    """The closest two groups merge, ties to the lowest numbers, until ``k`` are left or, without it, none is within ``threshold``.
+
+    Distances are float32 and a merged group's distance is the mean by size. Each row remembers its nearest later group; after
+    a merge only rows that had one of the two look again, so a merge mostly costs as much as there are groups.
     """
     n = len(vectors)
-    if n <= 1:
-        return np.zeros(n, dtype=np.int64)
+    merges: list[tuple[int, int, float]] = []
     goal = 1 if k is None else min(max(int(k), 1), n)
     stop = np.inf if k is not None or threshold is None else threshold
-    x = np.asarray(vectors, dtype=np.float64)
-    d = (1.0 - x @ x.T).astype(np.float32)
-    d[np.tril_indices(n)] = np.inf  # row i holds its distances to later groups
-    size, owner, alive = np.ones(n), np.arange(n), np.ones(n, dtype=bool)
-    near = d.argmin(axis=1)
-    best = d[np.arange(n), near]
-    for _ in range(n - goal):
+    if n > 1:
+        x = np.asarray(vectors, dtype=np.float64)
+        d = (1.0 - x @ x.T).astype(np.float32)
+        d[np.tril_indices(n)] = np.inf  # row i holds its distances to later groups
+        size, alive = np.ones(n), np.ones(n, dtype=bool)
+        near = d.argmin(axis=1)
+        best = d[np.arange(n), near]
+    while len(merges) < n - goal:
         i = int(np.argmin(best))
         if best[i] > stop or not np.isfinite(best[i]):
             break
         j = int(near[i])
+        merges.append((i, j, float(best[i])))
         others = np.flatnonzero(alive)
         others = others[(others != i) & (others != j)]
         low_i, high_i = np.minimum(others, i), np.maximum(others, i)
@@ -64,14 +94,19 @@ def average_linkage(vectors: np.ndarray, k: int | None = None, threshold: float
         d[i, j] = np.inf
         size[i] += size[j]
         alive[j] = False
-        owner[owner == j] = i
         before = others[others < i]
         closer = before[(d[before, i] < best[before]) | ((d[before, i] == best[before]) & (i < near[before]))]
         best[closer], near[closer] = d[closer, i], i
         again = np.append(others[((near[others] == i) | (near[others] == j)) & ~np.isin(others, closer)], i)
         near[again] = d[again].argmin(axis=1)
         best[again], best[j] = d[again, near[again]], np.inf
-    return renumbered(owner)
+    left, right, height = zip(*merges, strict=True) if merges else ((), (), ())
+    return Tree(n, np.array(left, dtype=np.int64), np.array(right, dtype=np.int64), np.array(height))
+
+
+def average_linkage(vectors: np.ndarray, k: int | None = None, threshold: float | None = None) -> np.ndarray:
+    """Labels by first appearance of ``k`` groups, or of those that no distance within ``threshold`` joins; without either all are one."""
+    return merge_tree(vectors, k, threshold).cut(k, threshold)
 
 
 def busiest(labels: np.ndarray, durations: np.ndarray, k: int) -> np.ndarray:
@@ -161,14 +196,50 @@ def growth(samples: DataFrame, minutes: tuple, threshold: float = C.AUTOMATIC_TH
     return samples.select("recording_id", "idx", "vector", "duration_ms", "start_ms", "end_ms").groupBy("recording_id").applyInPandas(run, f"recording_id {kind}, minutes double, samples int, groups int, absorbed int")
 
 
+def merge_trees(samples: DataFrame) -> DataFrame:
+    """(recording_id, step, left, right, height, moved): each recording's merges, until one group is left.
+
+    ``left`` and ``right`` are idx of the groups' first samples, ``moved`` those of all samples of the right one. Whatever is cut
+    from a tree, at any count or threshold, reads this table: linkage runs once.
+    """
+    kind = samples.schema["recording_id"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        tree, idx = merge_tree(np.stack(pdf["vector"].to_numpy()).astype(np.float64)), pdf["idx"].to_numpy()
+        members, rows = {i: [i] for i in range(len(idx))}, []
+        for step, (a, b, height) in enumerate(zip(tree.left, tree.right, tree.height, strict=True)):
+            rows.append((pdf["recording_id"].iloc[0], step, idx[a], idx[b], height, idx[members[b]]))
+            members[a] += members.pop(b)
+        return pd.DataFrame(rows, columns=["recording_id", "step", "left", "right", "height", "moved"])
+
+    return samples.select("recording_id", "idx", "vector").groupBy("recording_id").applyInPandas(run, f"recording_id {kind}, step int, left long, right long, height double, moved array<long>")
+
+
+def cut_trees(samples: DataFrame, trees: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(recording_id, cut, idx, owner): each sample under each cut with the first sample of its group.
+
+    ``cuts`` has (cut, k, threshold); a cut is by ``k`` groups or, where that is null, before the first merge above ``threshold``. It
+    is a small table. A sample's owner is what it was last moved to by then, or itself.
+    """
+    sizes = samples.groupBy("recording_id").agg(F.count("*").alias("n"))
+    over = trees.join(F.broadcast(cuts), F.col("height") > F.col("threshold")).groupBy("recording_id", "cut").agg(F.min("step").alias("over"))
+    by_count = F.when(F.col("k").isNotNull(), F.col("n") - F.least(F.greatest("k", F.lit(1)), F.col("n")))
+    limits = sizes.crossJoin(F.broadcast(cuts)).join(over, ["recording_id", "cut"], "left").select("recording_id", "cut", F.coalesce(by_count, F.col("over"), F.col("n")).alias("steps"))
+    moves = trees.select("recording_id", "step", "left", F.explode("moved").alias("idx"))
+    last = moves.join(limits, "recording_id").where(F.col("step") < F.col("steps")).groupBy("recording_id", "cut", "idx").agg(F.max_by("left", "step").alias("owner"))
+    return samples.select("recording_id", "idx").join(limits.select("recording_id", "cut"), "recording_id").join(last, ["recording_id", "cut", "idx"], "left").select("recording_id", "cut", "idx", F.coalesce("owner", "idx").alias("owner"))
+
+
 def sweep(samples: DataFrame, thresholds: tuple) -> DataFrame:
-    """(recording_id, threshold, groups, absorbed): groups found by distance alone, and those left when tiny ones are absorbed."""
+    """(recording_id, threshold, groups, absorbed): groups found by distance alone, and those left when tiny ones are absorbed. One tree serves all thresholds."""
     kind = samples.schema["recording_id"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
         v, w = np.stack(pdf["vector"].to_numpy()).astype(np.float64), pdf["duration_ms"].to_numpy(np.float64)
-        found = [(t, average_linkage(v, threshold=t)) for t in thresholds]
+        tree = merge_tree(v, threshold=max(thresholds))
+        found = [(t, tree.cut(threshold=t)) for t in thresholds]
         return pd.DataFrame([(pdf["recording_id"].iloc[0], t, len(set(x.tolist())), len(set(absorbed(v, x, w).tolist()))) for t, x in found], columns=["recording_id", "threshold", "groups", "absorbed"])
 
     return samples.select("recording_id", "idx", "vector", "duration_ms").groupBy("recording_id").applyInPandas(run, f"recording_id {kind}, threshold double, groups long, absorbed long")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import constants as C
 from ..functions.vectors import cosine_distance, nearest_rank
 from . import cluster as c
-from .identity import NewVoiceWatch, Profile, carry, nearest_profile, replay
+from .identity import FarRule, FarStretch, Profile, attribute, carry, nearest_profile, replay
 from .interval import overlap_join
 from .vectors import centre, centroids, nearest
 
@@ -134,19 +134,13 @@ def newcomers(v: np.ndarray, starts: np.ndarray, w: np.ndarray, truth: np.ndarra
         detected, wrong, latencies = 0, 0, []
         for hidden in people:
             on = enrolled_first(truth, w, 10) & (truth != hidden)
-            profiles, watch = _profiles(v, w, truth, on, [p for p in people if p != hidden]), NewVoiceWatch(far, samples, ms)
             rest, found = np.flatnonzero(~on), False
+            hits = attribute(v[rest], w[rest], _profiles(v, w, truth, on, [p for p in people if p != hidden]), within=np.inf if learn == "all" else far)
             own = {float(starts[i]): truth[i] == hidden for i in rest}
             first = min((starts[i] for i in rest if truth[i] == hidden), default=np.inf)
-            for i in rest:
-                hit = nearest_profile(v[i], profiles)
-                if hit is None:
-                    continue
-                if learn == "all" or hit[1] <= far:
-                    profiles[hit[0]].add(v[i], w[i])
-                run = watch.observe(float(starts[i]), float(w[i]), hit[1])
-                if run:
-                    watch.dismiss()
+            stretch = FarStretch(FarRule(far, samples, ms))
+            for i in (i for i, hit in zip(rest, hits, strict=True) if hit[1] > far):
+                if run := stretch.hear(float(starts[i]), float(w[i])):
                     share = sum(m for at, m in run if own[at]) / sum(m for _, m in run)
                     if share < 0.5:
                         wrong += 1

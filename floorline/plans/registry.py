@@ -585,16 +585,32 @@ def carry_identities(spark, d):
     return identity.carry_identities(s)
 
 
+def _attributed(spark, d):
+    s = tables.samples(spark, d).withColumn("enrolled", F.when(F.col("idx") % 50 < 12, (F.col("truth") % 4).cast("double")))
+    return identity.attribute_profiles(s, "enrolled")
+
+
 @query()
 def profile_attribution(spark, d):
-    s = tables.samples(spark, d).withColumn("enrolled", F.when(F.col("idx") % 50 < 12, (F.col("truth") % 4).cast("double")))
-    return identity.attribute_profiles(s, "enrolled").select("recording_id", "idx", "identity", _six("distance"), "newcomer")
+    return _attributed(spark, d).select("recording_id", "idx", "identity", _six("distance"))
 
 
 @query()
 def new_voice_runs(spark, d):
-    s = tables.samples(spark, d).withColumn("enrolled", F.when(F.col("idx") % 50 < 12, (F.col("truth") % 4).cast("double")))
-    return identity.attribute_profiles(s, "enrolled").where("newcomer").select("recording_id", "idx")
+    times = tables.samples(spark, d).select("recording_id", "idx", "start_ms", "duration_ms")
+    return identity.far_runs(_attributed(spark, d).join(times, ["recording_id", "idx"]))
+
+
+@query(
+    """SELECT recording_id, arg_min(idx, (start_ms, idx)) AS idx, arg_min(from_ms, (start_ms, idx)) AS from_ms, arg_min(n, (start_ms, idx)) AS samples, arg_min(ms, (start_ms, idx)) AS ms
+FROM (SELECT *, count(*) FILTER (pause) OVER (PARTITION BY recording_id ORDER BY start_ms, idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stretch FROM (SELECT *, start_ms - lag(start_ms) OVER (PARTITION BY recording_id ORDER BY start_ms, idx) >= 6000 AS pause,
+min(start_ms) OVER w AS from_ms, count(*) OVER w AS n, CAST(sum(dur) OVER w AS BIGINT) AS ms FROM spans WHERE level > 20 WINDOW w AS (PARTITION BY recording_id ORDER BY start_ms RANGE BETWEEN 3000 PRECEDING AND CURRENT ROW))) WHERE n >= 3 AND ms >= 1500 GROUP BY recording_id, stretch""",
+    "spans",
+)
+def loud_runs(spark, d):
+    """The rule for new voices on another measure: spans above a level, three in three seconds, told of once until six seconds pass without one."""
+    s = tables.spans(spark, d).select("recording_id", "idx", "start_ms", (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"), F.col("level").alias("distance"))
+    return identity.far_runs(s, identity.FarRule(20, 3, 1500, 3000, 6000))
 
 
 @query()

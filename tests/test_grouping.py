@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from floorline.operators import cluster as c
-from floorline.operators.identity import NewVoiceWatch, Profile, carry, held_final, nearest_profile, replay
+from floorline.operators.identity import FarRule, FarStretch, Profile, carry, far_runs, held_final, nearest_profile, replay
 from floorline.sources.audio import make_voices
 
 FIXTURE = Path(os.environ.get("FLOORLINE_RECORDED_VECTORS", "recorded-vectors.json"))
@@ -163,16 +163,31 @@ def test_profiles():
     assert nearest_profile(v[0], [p, p])[0] == 0  # of equals the first
 
 
-def test_newcomer():
-    w = NewVoiceWatch()
-    assert w.observe(0, 1500, 0.75) is None  # not beyond the limit
-    assert w.observe(0, 1500, 0.9) is None and w.observe(5000, 1500, 0.9) is None
-    assert w.observe(10000, 1500, 0.9)[0][0] == 0
-    w.dismiss()
-    assert w.observe(15000, 9000, 0.9) is None and w.observe(20000, 9000, 0.9) is None
-    assert [w.observe(t, 1500, 0.9) is not None for t in (200_000, 205_000, 210_000)] == [False, False, True]
-    w.reset()
-    assert [w.observe(t, 1500, 0.9) is not None for t in (0, 5000, 70_000)] == [False, False, False]
+def plain_alerts(heard, rule):
+    """All far samples looked at anew for each: it is told if it completes a run, and nothing was told since the last pause."""
+    far, out = [h for h in heard if h[2] > rule.distance], []
+    for n, (start, *_) in enumerate(far):
+        pauses = [far[i][0] for i in range(1, n + 1) if far[i][0] - far[i - 1][0] >= rule.pause_ms]
+        run = [(s, m) for s, m, _ in far[: n + 1] if start - s <= rule.within_ms]
+        if len(run) >= rule.samples and sum(m for _, m in run) >= rule.ms and not any(at >= max(pauses, default=0) for at, _ in out):
+            out.append((start, run))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_far_stretches_are_told_of_once(spark, seed):
+    rng, rule = np.random.default_rng(seed), FarRule()
+    steps = rng.choice([2_000, 9_000, 31_000, 70_000, 119_000, 120_000, 260_000], 120, p=[0.3, 0.3, 0.15, 0.1, 0.05, 0.05, 0.05])
+    heard = [(float(t), float(m), float(x)) for t, m, x in zip(np.cumsum(steps), rng.integers(2, 9, 120) * 250, rng.choice([0.3, 0.75, 0.76, 1.2], 120))]
+    stretch, told = FarStretch(rule), []
+    for start, ms, distance in heard:
+        if distance > rule.distance and (run := stretch.hear(start, ms)):
+            told.append((start, run))
+    assert told == plain_alerts(heard, rule)
+    if seed < 3:
+        rows = spark.createDataFrame([("r", i, *h) for i, h in enumerate(heard)], "recording_id string, idx long, start_ms double, duration_ms double, distance double")
+        got = [(heard[r.idx][0], r.from_ms, r.samples, r.ms) for r in far_runs(rows, rule).orderBy("idx").collect()]
+        assert got == [(at, run[0][0], len(run), sum(m for _, m in run)) for at, run in told]
 
 
 def test_replay_settles():

@@ -10,8 +10,8 @@ from .common import cut, running_total, unit_interval
 WEIGHTS = (1, 2, 3)
 #: Times its size that a source, and so a document, may come at most.
 MOST_TIMES = 3
-#: Bins of a source's ranks whose sums are added up before documents are ranked within a bin.
-BINS = 4096
+#: Bins of a source's ranks, to a unit of their odds' logarithm, whose sums are added up before documents are ranked within a bin.
+BINS = 512
 #: Sources up to which their targets are broadcast. With more, documents meet them by source and salt, so that a
 #: frequent source fills no task.
 BROADCAST_SOURCES = 50_000
@@ -103,13 +103,20 @@ def _odds(met: DataFrame, most: float, seed: int) -> DataFrame:
     )
 
 
+def _bin(rank: Column) -> Column:
+    """By the logarithm of the odds: however small or large the inclusion odds of a source are, its ranks spread over some thousand bins."""
+    last = F.lit(64 * BINS)
+    odds = F.floor(F.ln(rank / (1 - rank)) * BINS)
+    return F.when(rank <= 0, -last).when(rank >= 1, last).otherwise(F.least(F.greatest(odds, -last), last))
+
+
 def _taken(ranked: DataFrame, few: bool) -> DataFrame:
     """Adds ``_more``: whether a row is among those that its source takes once more, from the lowest rank on."""
     certain = ranked.groupBy("_source").agg(F.sum(F.col("_whole") * F.col("size")).alias("_certain"))
-    held = ranked.withColumn("_bin", F.least(F.floor(F.col("_rank") * BINS), F.lit(BINS - 1)))
-    drawn = running_total(held, ["_source"], "_bin", ["_rank", "_id.id", "size"], F.when(F.col("_part") > 0, F.col("size")).otherwise(0), "_before")
-    met = _meet(drawn, certain, few)
-    return met.withColumn("_more", (F.col("_part") > 0) & (F.col("_before") + F.col("size") / 2 <= F.col("target") - F.col("_certain")))
+    # only rows that may come once more have a rank: of a capped source there is none
+    drawn = running_total(ranked.where("_part > 0").withColumn("_bin", _bin(F.col("_rank"))), ["_source"], "_bin", ["_rank", "_id.id", "size"], F.col("size"), "_before")
+    met = _meet(drawn, certain, few).withColumn("_more", F.col("_before") + F.col("size") / 2 <= F.col("target") - F.col("_certain"))
+    return met.select(*ranked.columns, "_more").unionByName(ranked.where("_part <= 0").withColumn("_more", F.lit(False)))
 
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", propensity: str | None = None, weights: tuple = WEIGHTS, most: float = MOST_TIMES, seed: int = 17, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:

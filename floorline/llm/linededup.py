@@ -16,8 +16,9 @@ SALTS = 64
 
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:@]+)"
 #: Markup whose content is no text, elements that end a line, tags as HTML has them, and the commonest references.
-SILENT = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->"
-BREAKS = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figcaption|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)(?:[\s/][^>]*)?>"
+#: What isn't closed goes on to the page's end, and a tag ends before the next one begins: so each pattern reads a page once.
+SILENT = r"(?is)<script\b[^<>]*>.*?(?:</script\s*>|\z)|<style\b[^<>]*>.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)"
+BREAKS = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figcaption|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)(?:[\s/][^<>]*)?>"
 TAGS = r"</?[a-zA-Z][^<>]*>|<[!?][^<>]*>"
 #: White space that isn't one space already: most is, and each match costs.
 SPACES = r"[ \t\r\f]{2,}|[\t\r\f]"
@@ -42,7 +43,8 @@ def drop_boilerplate(pages: DataFrame, *, page_id: str = "page_id", url: str = "
     """(page_id, url, host, n_lines, n_dropped, text): each row of ``pages`` without its site's boilerplate.
 
     A line counts once a page. Null and empty pages have no lines and an empty text, but count as pages. URLs that are
-    null or have no host are one site, named by the empty string. Repeated rows are pages of their own. Hot hosts and
+    null or have no host are one site, named by the empty string. Repeated rows are pages of their own; an empty table gives
+    no rows. Other columns may have any names. A script, style or comment that isn't closed hides the rest of its page. Hot hosts and
     lines are counted before they are shuffled, and only hashes of lines travel. Pages stay where they are read while the
     common lines are few enough to broadcast; else a host's pages are dealt out by salt.
     """

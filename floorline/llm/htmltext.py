@@ -26,6 +26,9 @@ ASIDE = frozenset("nav header footer aside form menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert alertdialog dialog".split())
 #: Words of class names and ids that mark what isn't the article.
 NAMES = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer discussion disqus footer form login masthead menu modal nav navbar navigation newsletter notice notices notification popup promo promoted related replies reply respond search share sharing sidebar sidebars signup social sponsor sponsored subscribe toolbar widget".split())
+#: Of them, those that an article may be about; and words that say nothing of their own beside such a word.
+TOPICS = frozenset("banner comment comments consent disclaimer discussion form login menu notice notices notification related replies reply respond search share sharing signup social sponsor subscribe".split())
+NEUTRAL = frozenset("area bar block body bottom box btn button buttons container content field group icon icons inner item items left line link links list outer panel post posts right row section slot tab text title top unit wrap wrapper".split())
 CONTENT = frozenset("article main".split())
 CONTAINERS = BLOCK & frozenset("article aside body dd details dialog div fieldset footer form header html main menu nav section table td th".split())
 #: Of them, those that mark an ``article`` element too: a reader's comment, a teaser for another page.
@@ -35,9 +38,26 @@ IMPLIED = {"p": BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "
 
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
+#: The next piece of a page: a comment, a declaration, a tag with its quoted values, text, or a < that begins none of them. What
+#: isn't closed goes on to the page's end. No piece is looked at twice.
+_PIECE = re.compile(r"""(?P<skip><!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z))|(?P<tag></?[a-zA-Z](?:[^>=]++|=\s*+(?:'[^']*+'|"[^"]*+")?)*+(?:>|\Z))|(?P<text>[^<]++)|(?P<lone>(?:<(?![a-zA-Z/!?]))++)|<""", re.S)
+#: Elements whose content holds no tags, and where it ends.
+_RAW = {tag: re.compile(f"</{tag}(?=[\\s/>])[^>]*+(?:>|\\Z)", re.I) for tag in ("script", "style")}
+_NAME = re.compile("<([a-zA-Z]+)")
+
+
+def _named(value: str, marks: frozenset[str], inside: bool) -> bool:
+    """Whether a class or id holds a marking word. Within an article a name of several words, such as ``social-history``, may be the
+    article's own: if what marks it can be a topic, all its other words have to mark as well or to say nothing."""
+    names = [[w.lower() for w in _SPLIT.split(name) if w] for name in value.split()]
+    for words in names:
+        found = [w for w in words if w in marks]
+        if found and (not inside or not all(w in TOPICS for w in found) or all(w in marks or w in NEUTRAL for w in words)):
+            return True
+    return False
 
 
-def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+def _marked(tag: str, attrs: list[tuple[str, str | None]], inside: bool = False) -> bool:
     if tag in ASIDE:
         return True
     for name, value in attrs:
@@ -47,10 +67,8 @@ def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value or ""):
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "main"):
-            marks = NAMES_OF_ARTICLES if tag == "article" else NAMES
-            if any(w.lower() in marks for w in _SPLIT.split(value or "")):
-                return True
+        if name in ("class", "id") and tag not in ("html", "body", "main") and _named(value or "", NAMES_OF_ARTICLES if tag == "article" else NAMES, inside):
+            return True
     return False
 
 
@@ -85,11 +103,23 @@ class Lines(HTMLParser):
             self.tags = self.linked = 0
         self.words = []
 
-    def parse_html_declaration(self, i: int) -> int:
-        if self.rawdata.startswith("<![", i):  # as HTML has it, a comment up to the next >; the parser would give up on some
-            end = self.rawdata.find(">", i + 3)
-            return end + 1 if end >= 0 else -1
-        return super().parse_html_declaration(i)
+    def read(self, html: str) -> None:
+        """The whole page, a piece at a time: the parser never waits for the end of one, nor reads it again."""
+        at = 0
+        while at < len(html):
+            piece = _PIECE.match(html, at)
+            at = piece.end()
+            if piece["tag"] and not piece["tag"].endswith(">"):
+                return  # a tag without an end
+            if piece["tag"]:
+                self.feed(piece["tag"])
+                name = _NAME.match(piece["tag"])
+                if name and name[1].lower() in _RAW:
+                    end = _RAW[name[1].lower()].search(html, at)
+                    at = end.end() if end else len(html)
+                    self.feed(f"</{name[1]}>")
+            elif not piece["skip"]:
+                self.feed(piece["text"] or "&lt;" * len(piece[0]))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         while self.open and tag in IMPLIED.get(self.open[-1][0], ()):
@@ -103,7 +133,7 @@ class Lines(HTMLParser):
             return
         hidden, off, inside, container = self.state
         # a header within the article is the article's own
-        off = off or (_marked(tag, attrs) and not (tag == "header" and inside and not off and not _marked("", attrs)))
+        off = off or (_marked(tag, attrs, inside) and not (tag == "header" and inside and not off and not _marked("", attrs)))
         self.places.setdefault(tag, []).append(len(self.open))
         if tag in BLOCK:
             self.blocks.append(len(self.open))
@@ -175,7 +205,7 @@ def extract_text(html: str | None, sigma: float = SIGMA, level: float = LEVEL) -
     between long ones is no less part of it. Articles are one region; beside it another counts only if its text is as dense.
     """
     parser = Lines()
-    parser.feed(html or "")
+    parser.read(html or "")
     parser.close()
     lines = parser.result()
     if not lines:

@@ -20,6 +20,8 @@ HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:@]+)"
 SILENT = r"(?is)<script\b[^<>]*>.*?(?:</script\s*>|\z)|<style\b[^<>]*>.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)"
 BREAKS = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figcaption|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)(?:[\s/][^<>]*)?>"
 TAGS = r"</?[a-zA-Z][^<>]*>|<[!?][^<>]*>"
+#: The first of them once more, as Java's patterns have it without a step back: runs of other characters are taken whole.
+SILENT_WHOLE = r"(?i)<(?:script\b[^<>]*+>[^<]*+(?:<(?!/script\s*+>)[^<]*+)*+(?:</script\s*+>)?|style\b[^<>]*+>[^<]*+(?:<(?!/style\s*+>)[^<]*+)*+(?:</style\s*+>)?|!--[^-]*+(?:-(?!->)[^-]*+)*+(?:-->)?)"
 #: White space that isn't one space already: most is, and each match costs.
 SPACES = r"[ \t\r\f]{2,}|[\t\r\f]"
 REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
@@ -32,7 +34,7 @@ def host_of(url: Column) -> Column:
 
 def lines_of(html: Column) -> Column:
     """Lines of a page, in order: markup gone, the commonest references decoded, runs of white space as one space, without empty ones."""
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), SILENT, ""), BREAKS, "\n"), TAGS, "")
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), SILENT_WHOLE, ""), BREAKS.replace("[^<>]*", "[^<>]*+"), "\n"), TAGS.replace("[^<>]*", "[^<>]*+"), "")
     for name, sign in REFERENCES:
         text = F.replace(text, F.lit(name), F.lit(sign))
     text = F.trim(F.regexp_replace(F.regexp_replace(text, SPACES, " "), r" ?\n[ \n]*", "\n"), F.lit(" \n"))

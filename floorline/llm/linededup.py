@@ -37,8 +37,7 @@ def lines_of(html: Column) -> Column:
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), SILENT_WHOLE, ""), BREAKS.replace("[^<>]*", "[^<>]*+"), "\n"), TAGS.replace("[^<>]*", "[^<>]*+"), "")
     for name, sign in REFERENCES:
         text = F.replace(text, F.lit(name), F.lit(sign))
-    text = F.trim(F.regexp_replace(F.regexp_replace(text, SPACES, " "), r" ?\n[ \n]*", "\n"), F.lit(" \n"))
-    return F.filter(F.split(text, "\n"), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.regexp_replace(text, SPACES, " "), "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def drop_boilerplate(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", ratio: float = RATIO, least_pages: int = LEAST_PAGES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import constants as C
@@ -73,3 +77,42 @@ def stage_counters(spans: DataFrame) -> DataFrame:
         F.count("*").alias("spans"), count(single, "single_speaker"), count(long_, "long_enough"), count(usable, "foreground"), total(n == 0, "silence_ms"), total(n > 1, "overlap_ms"), total(single, "speech_ms"),
         total(long_ & ~F.col("keep"), "background_ms"), F.max(F.when(single, ms)).alias("longest_ms"), (F.coalesce(F.sum(F.when(single, ms)), F.lit(0)) - F.coalesce(F.sum(F.when(usable, ms)), F.lit(0))).alias("discarded_ms"),
     )
+
+
+class RunningMedian:
+    """The median of numbers as they come: the smaller half in one heap, the larger in another, so a number costs a logarithm of how many there are."""
+
+    def __init__(self) -> None:
+        self.low: list[float] = []  # the negatives, so that the largest is first
+        self.high: list[float] = []
+
+    def add(self, x: float) -> float:
+        """The median with ``x``; of an even number the mean of the middle two."""
+        heapq.heappush(self.high, -heapq.heappushpop(self.low, -x))
+        if len(self.high) > len(self.low):
+            heapq.heappush(self.low, -heapq.heappop(self.high))
+        return -self.low[0] if len(self.low) > len(self.high) else (self.high[0] - self.low[0]) / 2
+
+
+def running_median(rows: DataFrame, value: str) -> DataFrame:
+    """(recording_id, idx, median): the median of ``value`` over a recording's rows up to each, by idx. A null value doesn't count.
+
+    Rows of a recording stream through one task in order and in batches; what it holds are the numbers alone. Before the first
+    number the median is null.
+    """
+    kind = rows.schema["recording_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, median, last, begun = None, RunningMedian(), None, False
+        for batch in batches:
+            out = []
+            for name, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if not begun or name != key:
+                    key, median, last, begun = name, RunningMedian(), None, True
+                if x is not None:
+                    last = median.add(x)
+                out.append(last)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["recording_id", "idx", "median"])
+
+    narrow = rows.select("recording_id", F.col("idx").cast("long").alias("idx"), F.col(value).cast("double").alias("_x"))
+    return narrow.repartition("recording_id").sortWithinPartitions("recording_id", "idx").mapInArrow(run, f"recording_id {kind}, idx long, median double")

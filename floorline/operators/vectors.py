@@ -6,33 +6,76 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import constants as C
 from ..functions.vectors import cosine_distance, normalise
 
 
-def _by_dimension(rows: DataFrame, keys: list[str], value: Column, agg) -> DataFrame:
-    """One aggregate for each dimension, put back in order: partial sums, never the vectors, are shuffled."""
-    each = rows.select(*keys, F.posexplode("vector").alias("_d", "_x"), *([c for c in rows.columns if c not in (*keys, "vector")]))
-    sums = each.groupBy(*keys, "_d").agg(agg(value).alias("_s"))
-    whole = sums.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_d", "_s"))).alias("_a"))
-    return whole.withColumn("vector", F.transform("_a", lambda x: x["_s"])).drop("_a")
+#: Groups whose sums a task holds before it passes them on.
+HELD_GROUPS = 10_000
+
+
+def vector_sums(rows: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
+    """(keys, total, n): the sum of the column ``vector`` over each group, times ``weight`` if one is named, and the number of vectors.
+
+    Two phases: a task adds up whole vectors by group, so that what is shuffled is a row a group and task, whatever the width;
+    then these rows are added up. Null vectors don't count. Vectors of a group have one width; a null weight is 0.
+    """
+    kinds = [rows.schema[k] for k in keys]
+    schema = T.StructType([*kinds, T.StructField("total", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())])
+    weights = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
+    narrow = rows.where("vector is not null").select(*keys, F.col("vector").cast("array<double>").alias("_v"), weights.alias("_w"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        for batch in batches:
+            names = list(zip(*(batch.column(i).to_pylist() for i in range(len(keys))), strict=True)) if keys else [()] * batch.num_rows
+            number = {name: i for i, name in enumerate(dict.fromkeys(names))}
+            at = np.array([number[name] for name in names], dtype=np.int64)
+            vectors, w = batch.column(len(keys)), batch.column(len(keys) + 1).to_numpy()
+            flat, edges = vectors.flatten().to_numpy(zero_copy_only=False), vectors.offsets.to_numpy()
+            widths = np.diff(edges)
+            for name, i in number.items():
+                on = np.flatnonzero(at == i) if len(number) <= 64 else None
+                held.setdefault(name, [None, 0])
+                if on is not None:
+                    part = (flat.reshape(-1, widths[0])[on] * w[on, None]).sum(axis=0) if len(set(widths.tolist())) == 1 and widths[0] else None
+                    if part is not None:
+                        held[name] = [part if held[name][0] is None else held[name][0] + part, held[name][1] + len(on)]
+                        continue
+                for j in np.flatnonzero(at == i) if on is None else on:
+                    part = flat[edges[j] - edges[0] : edges[j + 1] - edges[0]] * w[j]
+                    held[name] = [part if held[name][0] is None else held[name][0] + part, held[name][1] + 1]
+            if len(held) > HELD_GROUPS:
+                yield out(held)
+                held = {}
+        yield out(held)
+
+    def out(held: dict[tuple, list]) -> pa.RecordBatch:
+        fields = to_arrow_schema(schema)
+        columns = [[name[i] for name in held] for i in range(len(keys))] + [[total.tolist() for total, _ in held.values()], [n for _, n in held.values()]]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
+
+    parts = narrow.mapInArrow(add, schema)
+    # a row a group and task: few enough to be put side by side, number by number
+    added = parts.groupBy(*keys).agg(F.collect_list("total").alias("_parts"), F.sum("n").alias("n"))
+    total = F.aggregate(F.slice("_parts", 2, F.greatest(F.size("_parts") - 1, F.lit(0))), F.get("_parts", F.lit(0)), lambda x, y: F.zip_with(x, y, lambda a, b: a + b))
+    return added.select(*keys, total.alias("total"), "n")
 
 
 def centroids(samples: DataFrame, keys: list[str], weight: str | None = "duration_ms") -> DataFrame:
     """(keys, centroid): unit vector of the sum of the vectors, times ``weight`` if one is named."""
-    keep = samples.select(*keys, "vector", *([F.col(weight).alias("_w")] if weight else []))
-    x = F.col("_x").cast("double")
-    return _by_dimension(keep, keys, x * F.col("_w") if weight else x, F.sum).select(*keys, normalise(F.col("vector")).alias("centroid"))
+    return vector_sums(samples, keys, weight).select(*keys, normalise(F.col("total")).alias("centroid"))
 
 
 def centre(samples: DataFrame, least: int = C.MIN_FOR_CENTRING) -> DataFrame:
     """``samples`` with vectors less their recording's mean, at unit length; recordings of fewer than ``least`` as they are."""
-    mean = _by_dimension(samples.select("recording_id", "vector"), ["recording_id"], F.col("_x").cast("double"), F.avg).withColumnRenamed("vector", "_mean")
-    count = samples.groupBy("recording_id").agg(F.count("*").alias("_n"))
+    sums = vector_sums(samples, ["recording_id"]).select("recording_id", F.transform("total", lambda x: x / F.col("n")).alias("_mean"), F.col("n").alias("_n"))
     moved = normalise(F.zip_with("vector", "_mean", lambda a, b: a.cast("double") - b))
-    joined = samples.join(mean.join(count, "recording_id"), "recording_id")
+    joined = samples.join(sums, "recording_id")
     return joined.withColumn("vector", F.when(F.col("_n") < least, F.transform("vector", lambda x: x.cast("double"))).otherwise(moved)).drop("_mean", "_n")
 
 

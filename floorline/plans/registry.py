@@ -573,6 +573,14 @@ def threshold_sweep(spark, d):
     return cluster.sweep(tables.samples(spark, d), (0.5, 0.6, 0.7, 0.8, 0.9, 1.0))
 
 
+@query()
+def tree_cuts(spark, d):
+    """Groups of every recording at several counts and distances, all cut from one table of merges."""
+    s = tables.samples(spark, d)
+    cuts = spark.createDataFrame([("two", 2, None), ("three", 3, None), ("four", 4, None), ("near", None, 0.6), ("far", None, 0.9)], "cut string, k int, threshold double")
+    return cluster.cut_trees(s, cluster.merge_trees(s), cuts)
+
+
 @query()
 def group_growth(spark, d):
     """How many voices distance alone finds as a recording goes on."""
@@ -628,6 +636,12 @@ def held_final_sets(spark, d):
     return identity.held_final_sets(tables.samples(spark, d), k=3)
 
 
+@query("SELECT recording_id, idx, round(median(level) OVER (PARTITION BY recording_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS median FROM spans", "spans")
+def running_median(spark, d):
+    """The median level of all spans so far, as the loudness floor of a live session follows it."""
+    return tally.running_median(tables.spans(spark, d), "level").select("recording_id", "idx", _six("median"))
+
+
 @query("SELECT recording_id, idx, CASE WHEN idx % 3 = 0 THEN CASE n_sp WHEN 0 THEN 'quiet' WHEN 1 THEN 'one voice' ELSE 'several voices' END WHEN idx % 3 = 1 AND n_sp = 0 THEN 'still' WHEN n_sp = 0 THEN 'quiet' WHEN n_sp = 1 THEN 'one voice' ELSE 'several voices' END AS words FROM spans", "spans")
 def translated_states(spark, d):
     """What is heard in words of a language, in English where the language lacks them."""

@@ -651,25 +651,27 @@ def translated_states(spark, d):
     return s.select("recording_id", "idx", scalars.translated(key, language, texts).alias("words"))
 
 
+def _spoken(spark, d):
+    """The conversations as sound: each turn said by its role's voice, a millisecond and a half a character."""
+    from ..sources import audio
+
+    return audio.spoken(tables.turns(spark, d), {"user": "A", "assistant": "B", "system": "C"}, 0.15)
+
+
 @query()
 def live_state(spark, d):
-    """Batch replay of test conversations as live sessions: the last state of each."""
-    from ..sources import audio
+    """Every conversation played through a live session: the last state of each."""
     from ..streaming.live import replay_states
 
-    talks = {"talk": [("A", 4), ("-", 1), ("B", 3), ("A", 6.5), ("B", 2), ("A", 8)], "crowd": [("A", 5), ("B", 5), ("A", 3), ("AB", 8), ("B", 5)]}
-    chunks = audio.recordings(spark, {k: audio.conversation(v) for k, v in talks.items()})
-    return replay_states(chunks, speaker_count=2)
+    return replay_states(_spoken(spark, d), speaker_count=2)
 
 
 @query()
 def diarize(spark, d):
-    """The batch path from sound to shares, on test conversations."""
-    from ..sources import audio
+    """The batch path from sound to shares, on every conversation."""
     from .diarize import diarize as run
 
-    talks = {"talk": [("A", 4), ("-", 1), ("B", 3), ("A", 6.5), ("B", 2), ("A", 8)], "crowd": [("A", 5), ("B", 5), ("A", 3), ("AB", 8), ("B", 5)]}
-    return run(audio.recordings(spark, {k: audio.conversation(v) for k, v in talks.items()}), speaker_count=2).shares
+    return run(_spoken(spark, d), speaker_count=2).shares
 
 
 @query()

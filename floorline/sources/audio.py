@@ -141,6 +141,22 @@ def recordings(spark: SparkSession, audio: dict[str, np.ndarray]) -> DataFrame:
     return spark.createDataFrame(pd.concat([chunked(k, v) for k, v in audio.items()]).assign(samples=lambda x: x["samples"].map(np.ndarray.tolist)), CHUNKS)
 
 
+def spoken(turns: DataFrame, voices: dict[str, str], pace: float = 1.0) -> DataFrame:
+    """Turns (recording_id, idx, start_ms, end_ms, speaker) said by the test voices, as chunks: ``voices`` names one for each speaker.
+
+    A turn lasts its time times ``pace``, one after the other by idx; who has no voice, and a turn without an end, is silent. One
+    recording at a time is made in a task, as it is heard in one.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        lengths = ((pdf["end_ms"] - pdf["start_ms"]).fillna(0) * pace / 1000).clip(lower=0)
+        return chunked(pdf["recording_id"].iloc[0], conversation([(voices.get(who, "-"), s) for who, s in zip(pdf["speaker"], lengths, strict=True)]))
+
+    named = turns.select(F.col("recording_id").cast("string").alias("recording_id"), "idx", "start_ms", "end_ms", "speaker")
+    return named.groupBy("recording_id").applyInPandas(run, CHUNKS)
+
+
 def totals(chunks: DataFrame) -> DataFrame:
     """(recording_id, total_ms)."""
     return chunks.groupBy("recording_id").agg((F.sum(F.size("samples")) * 1000 / SAMPLE_RATE).alias("total_ms"))

@@ -224,3 +224,21 @@ def test_progress(spark):
     with Progress(spark, lambda done, total: said.append((done, total)), seconds=0.01):
         spark.range(0, 4_000_000, numPartitions=8).selectExpr("sum(hash(id))").collect()
     assert said and said[-1][0] == said[-1][1] and all(0 <= a <= b for a, b in said)
+
+
+def test_turns_are_said_by_test_voices(spark):
+    """Turns of a table as sound: the session and the batch path hear who spoke, and for how long."""
+    from floorline.plans.diarize import diarize
+    from floorline.sources.audio import conversation, spoken
+    from floorline.streaming.live import replay_states
+
+    turns = [(7, 1, 6000, 12000, "b"), (7, 0, 0, 6000, "a"), (7, 2, 12000, 20000, "a"), (7, 3, 20000, None, "a"), (8, 0, 0, 5000, None), (8, 1, 5000, 17000, "b")]
+    table = spark.createDataFrame(turns, "recording_id long, idx long, start_ms long, end_ms long, speaker string")
+    chunks = spoken(table, {"a": "A", "b": "B"})
+    sound = {k: np.concatenate([np.array(r.samples, np.float32) for r in sorted(chunks.where(f"recording_id = '{k}'").collect(), key=lambda r: r.chunk)]) for k in ("7", "8")}
+    assert np.array_equal(sound["7"], conversation([("A", 6), ("B", 6), ("A", 8)])) and len(sound["8"]) == 17 * 16_000
+    live = {r.session: r for r in replay_states(chunks, speaker_count=2).collect()}
+    assert live["7"].speakers == [0, 1] and live["7"].shares == pytest.approx([0.7, 0.3], abs=0.05)
+    assert sum(live["8"].total_ms) == pytest.approx(12_000, rel=0.1)  # stand-in networks are coarse at edges
+    shares = {(r.recording_id, r.speaker): r.share for r in diarize(chunks, speaker_count=2).shares.collect()}
+    assert shares["7", 0] == pytest.approx(0.7, abs=0.05) and shares["7", 1] == pytest.approx(0.3, abs=0.05)

@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import bounded_batches, cut
 from .components import components
-from .jaccard import keep_one as keep_one  # the pipeline's stage: its rule is similarity, not bits
 
 SHINGLE_WORDS = 4
 SEED = 42

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from floorline.llm import simhash as s
 from floorline.llm.components import components
+from floorline.llm.jaccard import keep_one
 
 DOCS = "doc_id long, text string"
 
@@ -132,8 +133,8 @@ def test_edges(spark):
     df = spark.createDataFrame(rows, DOCS).withColumn("fp", F.lit("x")).withColumn("component", F.lit(1)).withColumn("a.b", F.lit(2))
     got = sorted(((r.doc_id, r.component) for r in s.near_duplicates(df).collect()), key=str)
     assert got == sorted([(9, 3), (3, 3), (3, 3), (7, 7), (8, 7), (None, 3), (20, 20), (21, 20)], key=str)
-    kept = s.keep_one(df)
+    kept = keep_one(df)
     assert kept.columns == df.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([3, 7, 20, None], key=str)
     empty = spark.createDataFrame([], DOCS)
-    assert s.near_duplicates(empty).count() == 0 and s.keep_one(empty).count() == 0
+    assert s.near_duplicates(empty).count() == 0 and keep_one(empty).count() == 0

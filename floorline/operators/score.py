@@ -99,28 +99,50 @@ def diarization_error(reference: DataFrame, hypothesis: DataFrame, totals: DataF
     return error_counters(frames, match_speakers(frames))
 
 
-def overlap_rule_errors(reference: DataFrame, attributed: DataFrame, overlaps: DataFrame, totals: DataFrame) -> DataFrame:
+def _matched_pairs(rows) -> dict:
+    """The greedy matching of (n, hyp, ref) rows: hypothesis to reference."""
+    given: dict = {}
+    for _, hyp, ref in sorted(rows, key=lambda r: (-r[0], r[1], r[2])):
+        if hyp not in given and ref not in given.values():
+            given[hyp] = ref
+    return given
+
+
+def overlap_rule_errors(reference: DataFrame, attributed: DataFrame, overlaps: DataFrame, totals: DataFrame, frame_ms: int = C.DER_FRAME_MS) -> DataFrame:
     """(rule, missed_ms, false_alarm_ms, confusion_ms, correct_ms, reference_ms, der): the error rate over all recordings for each
-    rule of who gets an overlap. ``attributed`` spans have a ``speaker``; by the rule 'none' nobody gets any."""
-    own = attributed.select("recording_id", "idx", "start_ms", "end_ms", F.col("speaker").cast("string").alias("speaker"))
-    names = own.select("recording_id", F.col("idx").alias("owner"), "speaker")
-    given = overlap_owners(overlaps, attributed).join(names, ["recording_id", "owner"]).select("rule", "recording_id", "idx", "start_ms", "end_ms", "speaker")
-    rules = F.explode(F.array(*(F.lit(r) for r in RULES))).alias("rule")
-    key = F.struct(F.col("rule"), F.col("recording_id").alias("of")).alias("recording_id")
-    rest = ["idx", F.col("start_ms").cast("double").alias("start_ms"), F.col("end_ms").cast("double").alias("end_ms"), "speaker"]
-    hypothesis = own.select(rules, "*").select(key, *rest).unionByName(given.select(key, *rest))
-    texts = reference.select("recording_id", "idx", "start_ms", "end_ms", F.col("speaker").cast("string").alias("speaker"))
-    each = _flat(diarization_error(_flat(texts.select(rules, "*").select(key, *rest)), _flat(hypothesis), _flat(totals.select(rules, "*").select(key, "total_ms"))), back=True)
-    counters = ["missed_ms", "false_alarm_ms", "confusion_ms", "correct_ms", "reference_ms"]
-    sums = each.groupBy("rule").agg(*(F.sum(c).alias(c) for c in counters))
-    return sums.withColumn("der", F.when(F.col("reference_ms") > 0, (F.col("missed_ms") + F.col("false_alarm_ms") + F.col("confusion_ms")) / F.col("reference_ms")).otherwise(0.0))
+    rule of who gets an overlap. ``attributed`` spans have a ``speaker``; by the rule 'none' nobody gets any.
 
+    All rules share one pass: what lies over a bin of ten seconds of a recording is one row, cut there into stretches with a
+    winner of the reference and one by each rule. What is left of a recording is a count by pair of speakers and rule, from which
+    the matching and the counters come. Of spans that tie in length and ``idx``, as the halves of an overlap do, the later wins.
+    """
+    span = lambda t, kind: t.select("recording_id", "idx", F.col("start_ms").cast("double").alias("start_ms"), F.col("end_ms").cast("double").alias("end_ms"), F.col("speaker").cast("string").alias("speaker"), kind.alias("kind"))
+    names = attributed.select("recording_id", F.col("idx").alias("owner"), "speaker")
+    given = overlap_owners(overlaps, attributed).join(names, ["recording_id", "owner"])
+    rows = span(reference, F.lit("ref")).union(span(attributed, F.lit("all"))).union(span(given, F.col("rule")))
+    first, last = F.floor(F.col("start_ms") / PIECE_FRAMES), F.floor((F.col("end_ms") - 1) / PIECE_FRAMES)
+    binned = _framed(rows, totals, frame_ms).withColumn("bin", F.explode(F.sequence(first, last)))
+    part = F.struct(F.greatest("start_ms", F.col("bin") * PIECE_FRAMES).alias("a"), F.least("end_ms", (F.col("bin") + 1) * PIECE_FRAMES).alias("b"), "kind", F.struct("_len", "idx", "_from", "speaker").alias("rank"))
+    held = binned.groupBy("recording_id", "bin").agg(F.collect_list(part).alias("parts"))
+    edges = F.array_sort(F.array_distinct(F.concat(F.transform("parts", lambda x: x["a"]), F.transform("parts", lambda x: x["b"]))))
+    n = F.size("edges") - 1
+    pieces = held.withColumn("edges", edges).select("recording_id", "parts", F.explode(F.arrays_zip(F.slice("edges", F.lit(1), n).alias("a"), F.slice("edges", F.lit(2), n).alias("b"))).alias("p"))
+    over = pieces.select("recording_id", (F.col("p.b") - F.col("p.a")).alias("frames"), F.filter("parts", lambda x: (x["a"] <= F.col("p.a")) & (x["b"] >= F.col("p.b"))).alias("over"))
+    winner = lambda *kinds: F.array_max(F.transform(F.filter("over", lambda x: x["kind"].isin(*kinds)), lambda x: x["rank"]))["speaker"]
+    each = over.select("recording_id", "frames", winner("ref").alias("ref"), F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), winner("all", r).alias("hyp")) for r in RULES))).alias("by"))
+    counts = each.where("ref is not null or by.hyp is not null").groupBy("recording_id", "by.rule", "by.hyp", "ref").agg(F.sum("frames").alias("n"))
+    counters = ["missed_ms", "false_alarm_ms", "confusion_ms", "correct_ms", "reference_ms"]
 
-def _flat(rows: DataFrame, back: bool = False) -> DataFrame:
-    """A pair of rule and recording as one string, or the rule of such a string."""
-    if back:
-        return rows.withColumn("rule", F.substring_index("recording_id", "/", 1))
-    return rows.withColumn("recording_id", F.concat_ws("/", "recording_id.rule", F.col("recording_id.of").cast("string")))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        hyp, ref, n = pdf["hyp"], pdf["ref"], pdf["n"]
+        spoken = hyp.notna() & ref.notna()
+        same = spoken & (hyp.map(_matched_pairs(zip(n[spoken], hyp[spoken], ref[spoken], strict=True))) == ref)
+        sums = [n[on].sum() * frame_ms for on in (hyp.isna(), ref.isna(), spoken & ~same, same, ref.notna())]
+        return pd.DataFrame([[pdf["rule"].iloc[0], *sums]], columns=["rule", *counters])
+
+    each_one = counts.groupBy("recording_id", "rule").applyInPandas(run, "rule string, " + ", ".join(f"{c} long" for c in counters))
+    sums = each_one.groupBy("rule").agg(*(F.sum(c).alias(c) for c in counters))
+    return sums.withColumn("der", F.when(F.col("reference_ms") > 0, (F.col("missed_ms") + F.col("false_alarm_ms") + F.col("confusion_ms")) / F.col("reference_ms")).otherwise(0.0))
 
 
 def share_error(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:

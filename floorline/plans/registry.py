@@ -376,6 +376,27 @@ round(coalesce((count(*) - count(*) FILTER (ref IS NOT NULL AND hyp IS NOT NULL
 FROM (SELECT coalesce(r.recording_id, h.recording_id) AS recording_id, r.speaker AS ref, h.speaker AS hyp, coalesce(m.matched = r.speaker, false) AS good FROM rref r FULL JOIN rhyp h ON r.recording_id = h.recording_id AND r.frame = h.frame LEFT JOIN matched m ON m.recording_id = coalesce(r.recording_id, h.recording_id) AND m.hyp = h.speaker) GROUP BY ALL"""
 
 
+ORACLE_SQL["overlap_rule_error"] = sql("", "rref", "beforeafter").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """,
+rules AS (SELECT unnest(['none', 'before', 'after', 'nearer', 'split', 'within_1s']) AS rule),
+given AS (SELECT recording_id, idx, 'before' AS rule, b_idx AS owner, start_ms AS a, end_ms AS b FROM beforeafter
+UNION ALL SELECT recording_id, idx, 'after', a_idx, start_ms, end_ms FROM beforeafter
+UNION ALL SELECT recording_id, idx, 'nearer', CASE WHEN b_idx IS NOT NULL AND (a_idx IS NULL OR start_ms - b_end <= a_start - end_ms) THEN b_idx ELSE a_idx END, start_ms, end_ms FROM beforeafter
+UNION ALL SELECT recording_id, idx, 'split', b_idx, start_ms, (start_ms + end_ms) / 2 FROM beforeafter
+UNION ALL SELECT recording_id, idx, 'split', a_idx, (start_ms + end_ms) / 2, end_ms FROM beforeafter
+UNION ALL SELECT recording_id, idx, 'within_1s', b_idx, start_ms, end_ms FROM beforeafter WHERE start_ms - b_end < 1000),
+h AS (SELECT rule, recording_id, idx, CAST(start_ms AS DOUBLE) AS a, CAST(end_ms AS DOUBLE) AS b, CAST(cls - 1 AS VARCHAR) AS speaker FROM usable, rules
+UNION ALL SELECT g.rule, g.recording_id, g.idx, CAST(g.a AS DOUBLE), CAST(g.b AS DOUBLE), CAST(u.cls - 1 AS VARCHAR) FROM given g JOIN usable u ON u.recording_id = g.recording_id AND u.idx = g.owner),
+hf AS (SELECT rule, recording_id, frame, arg_max(speaker, (b - a, idx, a)) AS hyp FROM (SELECT h.*, unnest(range(CAST(floor(a / 10) AS BIGINT), CAST(least(ceil(total_ms / 10), ceil(b / 10)) AS BIGINT))) AS frame FROM h JOIN tot USING (recording_id)) GROUP BY ALL),
+ct AS (SELECT rule, recording_id, hyp, ref, CAST(count(*) AS BIGINT) AS n FROM (SELECT rule, recording_id, frame, speaker AS ref FROM rref, rules) FULL JOIN hf USING (rule, recording_id, frame) GROUP BY ALL),
+pairs AS (SELECT rule, recording_id, hyp, ref, row_number() OVER (PARTITION BY rule, recording_id ORDER BY n DESC, hyp, ref) AS r FROM ct WHERE hyp IS NOT NULL AND ref IS NOT NULL),
+step AS (SELECT rule, recording_id, r, [hyp] AS hs, [ref] AS rs, true AS taken, hyp, ref FROM pairs WHERE r = 1
+UNION ALL SELECT p.rule, p.recording_id, p.r, CASE WHEN list_contains(s.hs, p.hyp) OR list_contains(s.rs, p.ref) THEN s.hs ELSE list_append(s.hs, p.hyp) END, CASE WHEN list_contains(s.hs, p.hyp) OR list_contains(s.rs, p.ref) THEN s.rs ELSE list_append(s.rs, p.ref) END, NOT (list_contains(s.hs, p.hyp) OR list_contains(s.rs, p.ref)), p.hyp, p.ref FROM step s JOIN pairs p ON s.rule = p.rule AND s.recording_id = p.recording_id AND p.r = s.r + 1),
+sums AS (SELECT c.rule, CAST(coalesce(sum(n) FILTER (c.hyp IS NULL), 0) AS BIGINT) * 10 AS missed_ms, CAST(coalesce(sum(n) FILTER (c.ref IS NULL), 0) AS BIGINT) * 10 AS false_alarm_ms,
+CAST(coalesce(sum(n) FILTER (c.hyp IS NOT NULL AND c.ref IS NOT NULL AND m.ref IS NULL), 0) AS BIGINT) * 10 AS confusion_ms, CAST(coalesce(sum(n) FILTER (m.ref IS NOT NULL), 0) AS BIGINT) * 10 AS correct_ms, CAST(coalesce(sum(n) FILTER (c.ref IS NOT NULL), 0) AS BIGINT) * 10 AS reference_ms
+FROM ct c LEFT JOIN (SELECT * FROM step WHERE taken) m ON c.rule = m.rule AND c.recording_id = m.recording_id AND c.hyp = m.hyp AND c.ref = m.ref GROUP BY c.rule)
+SELECT *, round(CASE WHEN reference_ms > 0 THEN (missed_ms + false_alarm_ms + confusion_ms) / reference_ms ELSE 0 END, 6) AS der FROM sums"""
+
+
 @query("SELECT recording_id, round(sum(abs(coalesce(a, 0) - coalesce(b, 0))) / 2, 6) AS share_error FROM (SELECT recording_id, speaker, sum(dur) / sum(sum(dur)) OVER (PARTITION BY recording_id) AS a FROM trn GROUP BY recording_id, speaker) FULL JOIN (SELECT recording_id, speaker, sum(dur) / sum(sum(dur)) OVER (PARTITION BY recording_id) AS b FROM hyp GROUP BY recording_id, speaker) USING (recording_id, speaker) GROUP BY ALL", "trn", "hyp")
 def share_error(spark, d):
     ms = (F.col("end_ms") - F.col("start_ms")).alias("ms")

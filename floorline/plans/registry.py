@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import constants as C, scalars
 from ..functions.vectors import nearest_rank
-from ..operators import cluster, identity, interval, reports, score, tally, timeline, vectors
+from ..operators import cluster, controls, identity, interval, reports, score, tally, timeline, vectors
 from ..sources import tables
 from .prelude import sql
 
@@ -256,6 +256,31 @@ def overlap_rule_error(spark, d):
     return found.withColumn("der", F.round("der", 6))
 
 
+# --- control events ------------------------------------------------------------------------------
+
+
+@query()
+def introductions(spark, d):
+    """Events as a page's buttons and as speech: a click is 'next', a signup 'add', every sixth error 'skip', other errors notes."""
+    s = tables.spans(spark, d)
+    verb = F.when(F.col("cls") == 0, "add").when(F.col("cls") == 1, "next").when((F.col("cls") == 4) & (F.col("idx") % 6 == 5), "skip").when(F.col("cls") == 4, "muted")
+    told = s.select("recording_id", "idx", F.col("start_ms").alias("at_ms"), verb.alias("verb")).where("verb is not null")
+    speech = s.where("cls in (2, 3)").select("recording_id", F.col("end_ms").alias("at_ms"), (F.col("end_ms") - F.col("start_ms")).alias("ms"))
+    names = s.select("recording_id", F.pmod("recording_id", F.lit(4)).alias("people")).distinct()
+    return controls.introductions(told, speech, names)
+
+
+ORACLE_SQL["introductions"] = sql("", "spans").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """,
+heard AS (SELECT recording_id, idx, cls, CAST(coalesce(sum(CASE WHEN cls IN (2, 3) THEN dur END) OVER (PARTITION BY recording_id ORDER BY idx ROWS UNBOUNDED PRECEDING), 0) AS BIGINT) AS ms FROM spans),
+c AS (SELECT recording_id, idx, ms, CASE WHEN cls = 0 THEN 'add' WHEN cls = 1 THEN 'next' WHEN idx % 6 = 5 THEN 'skip' ELSE 'muted' END AS verb, row_number() OVER (PARTITION BY recording_id ORDER BY idx) AS r FROM heard WHERE cls IN (0, 1, 4)),
+walk AS (SELECT recording_id, CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS idx, CAST(NULL AS VARCHAR) AS verb, CAST(NULL AS BOOLEAN) AS taken, CASE WHEN n > 0 THEN 'introductions' ELSE 'conversation' END AS phase, CASE WHEN n > 0 THEN 0 END AS person, CAST(n AS INTEGER) AS people, CAST(0 AS BIGINT) AS since FROM (SELECT DISTINCT recording_id, recording_id % 4 AS n FROM c)
+UNION ALL SELECT recording_id, r, idx, verb, ok, CASE WHEN ok AND ((verb = 'skip') OR (verb = 'next' AND (phase = 'conversation' OR person + 1 >= people))) THEN 'conversation' ELSE phase END,
+CASE WHEN NOT coalesce(ok, false) THEN person WHEN verb = 'add' THEN people WHEN verb = 'skip' OR phase = 'conversation' OR person + 1 >= people THEN NULL ELSE person + 1 END,
+CAST(people + CASE WHEN verb = 'add' THEN 1 ELSE 0 END AS INTEGER), CASE WHEN ok THEN ms ELSE since END
+FROM (SELECT c.recording_id, c.r, c.idx, c.verb, c.ms, w.phase, w.person, w.people, w.since, CASE c.verb WHEN 'add' THEN true WHEN 'skip' THEN w.phase = 'introductions' WHEN 'next' THEN CASE WHEN w.phase = 'introductions' THEN c.ms - w.since >= 5000 ELSE w.person IS NOT NULL END END AS ok FROM walk w JOIN c ON c.recording_id = w.recording_id AND c.r = w.r + 1))
+SELECT recording_id, idx, verb, taken, phase, person, people FROM walk WHERE r > 0"""
+
+
 # --- annotations --------------------------------------------------------------------------------
 
 _MAJORITY = """shared AS (SELECT s.recording_id, s.idx, s.dur, t.speaker, CAST(sum(least(s.end_ms, t.end_ms) - greatest(s.start_ms, t.start_ms)) AS BIGINT) AS ms, min(t.idx) AS f FROM hyp s JOIN trn t ON s.recording_id = t.recording_id AND t.start_ms < s.end_ms AND t.end_ms > s.start_ms GROUP BY s.recording_id, s.idx, s.dur, t.speaker),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions import constants as C, scalars
+from ..functions import constants as C, scalars, tables as table_functions
 from ..functions.vectors import nearest_rank
 from ..operators import cluster, controls, identity, interval, reports, score, tally, timeline, vectors
 from ..sources import tables
@@ -146,6 +146,34 @@ def subwindows(spark, d):
     return out.select("recording_id", "idx", F.col("piece").cast("long").alias("piece"), "start_ms", F.col("end_ms").cast("long").alias("end_ms"))
 
 
+@query()
+def window_plan_function(spark, d):
+    table_functions.register(spark)
+    return spark.sql("SELECT t.recording_id, w.* FROM {totals} t, LATERAL window_plan(CAST(t.total_ms AS DOUBLE)) w", totals=tables.totals(tables.spans(spark, d)))
+
+
+ORACLE_SQL["window_plan_function"] = ORACLE_SQL["window_plan"]
+
+
+@query()
+def subwindows_function(spark, d):
+    table_functions.register(spark)
+    return spark.sql("SELECT u.recording_id, u.idx, CAST(w.piece AS BIGINT) AS piece, w.start_ms, CAST(w.end_ms AS BIGINT) AS end_ms FROM {spans} u, LATERAL sub_windows(CAST(u.start_ms AS DOUBLE), CAST(u.end_ms AS DOUBLE), 2000, 1000) w", spans=_usable(spark, d).select("recording_id", "idx", "start_ms", "end_ms"))
+
+
+ORACLE_SQL["subwindows_function"] = ORACLE_SQL["subwindows"]
+
+
+@query()
+def span_runs_function(spark, d):
+    table_functions.register(spark)
+    f = tables.frames(spark, d).select("recording_id", F.col("frame").cast("long").alias("frame"), timeline.arg_max(F.col("logits")).alias("cls"), (F.col("frame") * 100).cast("long").alias("start_ms"), ((F.col("frame") + 1) * 100).cast("long").alias("end_ms"))
+    return spark.sql("SELECT * FROM span_runs(TABLE({frames}) PARTITION BY recording_id ORDER BY frame)", frames=f)
+
+
+ORACLE_SQL["span_runs_function"] = ORACLE_SQL["span_islands"]
+
+
 @query("SELECT recording_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n_spans FROM (SELECT *, sum(fresh) OVER (PARTITION BY recording_id ORDER BY idx) AS run FROM (SELECT *, CASE WHEN start_ms - lag(end_ms) OVER (PARTITION BY recording_id ORDER BY idx) < 60 THEN 0 ELSE 1 END AS fresh FROM usable)) GROUP BY recording_id, run", "usable")
 def touching_merge(spark, d):
     return timeline.merge_touching(_usable(spark, d), 60).select("recording_id", "start_ms", "end_ms", "n_spans")

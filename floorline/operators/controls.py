@@ -82,3 +82,26 @@ def introductions(controls: DataFrame, speech: DataFrame, names: DataFrame, leas
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(taken, pa.bool_()), pa.array(phase, pa.string()), pa.array(person, pa.int32()), pa.array(n, pa.int32())], names=["recording_id", "idx", "verb", "taken", "phase", "person", "people"])
 
     return rows.repartition("recording_id").sortWithinPartitions("recording_id", "at_ms", "idx").mapInArrow(run, f"recording_id {kind}, idx long, verb string, taken boolean, phase string, person int, people int")
+
+
+def generation_at(rows: DataFrame, fences: DataFrame, at: str, out: str = "generation") -> DataFrame:
+    """``rows`` with the greatest ``generation`` of their recording's ``fences`` (recording_id, at_ms, generation) by the time ``at``, a fence at that very time included.
+
+    0 before the first fence and for rows without a time. Both sides meet in one window, so nothing is paired.
+    """
+    kind = rows.schema[at].dataType
+    told = rows.select("recording_id", F.col(at).alias("_at"), F.lit(None).cast("long").alias("_fence"), F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("_row"))
+    marks = fences.where("at_ms is not null").select("recording_id", F.col("at_ms").cast(kind).alias("_at"), F.col("generation").cast("long").alias("_fence"), F.lit(None).cast(told.schema["_row"].dataType).alias("_row"))
+    upto = Window.partitionBy("recording_id").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    known = told.unionByName(marks).withColumn("_by", F.coalesce(F.max("_fence").over(upto), F.lit(0).cast("long")))
+    return known.where("_row is not null").select("_row.*", F.col("_by").alias(out))
+
+
+def in_time(results: DataFrame, fences: DataFrame) -> DataFrame:
+    """The ``results`` (recording_id, asked_ms, arrived_ms, ...) that count, with their ``generation``: those asked for and arrived within one.
+
+    A session that recovers begins a generation. What a network was asked before that and answers later is dropped, so a late
+    result changes nothing; results that never arrive, with null ``arrived_ms``, are dropped too.
+    """
+    asked = generation_at(results.where("arrived_ms is not null"), fences, "asked_ms")
+    return generation_at(asked, fences, "arrived_ms", "_arrived").where("generation = _arrived").drop("_arrived")

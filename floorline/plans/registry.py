@@ -309,6 +309,22 @@ FROM (SELECT c.recording_id, c.r, c.idx, c.verb, c.ms, w.phase, w.person, w.peop
 SELECT recording_id, idx, verb, taken, phase, person, people FROM walk WHERE r > 0"""
 
 
+@query()
+def results_in_time(spark, d):
+    """Spans as requests answered after four times their length; an error begins a generation, in which older requests are void."""
+    s = tables.spans(spark, d)
+    asked = s.where("cls <> 4").select("recording_id", "idx", F.col("start_ms").alias("asked_ms"), (F.col("start_ms") + 4 * (F.col("end_ms") - F.col("start_ms"))).alias("arrived_ms"))
+    fences = s.where("cls = 4").select("recording_id", F.col("start_ms").alias("at_ms"), (F.col("idx") + 1).alias("generation"))
+    return controls.in_time(asked, fences)
+
+
+ORACLE_SQL["results_in_time"] = sql("", "spans").rstrip() + """,
+fence AS (SELECT recording_id, start_ms AS at_ms, idx + 1 AS generation FROM spans WHERE cls = 4),
+asked AS (SELECT recording_id, idx, start_ms AS asked_ms, start_ms + 4 * dur AS arrived_ms FROM spans WHERE cls <> 4),
+a AS (SELECT asked.*, coalesce(generation, 0) AS generation FROM asked ASOF LEFT JOIN fence ON asked.recording_id = fence.recording_id AND fence.at_ms <= asked.asked_ms)
+SELECT a.* FROM a ASOF LEFT JOIN fence ON a.recording_id = fence.recording_id AND fence.at_ms <= a.arrived_ms WHERE a.generation = coalesce(fence.generation, 0)"""
+
+
 # --- annotations --------------------------------------------------------------------------------
 
 _MAJORITY = """shared AS (SELECT s.recording_id, s.idx, s.dur, t.speaker, CAST(sum(least(s.end_ms, t.end_ms) - greatest(s.start_ms, t.start_ms)) AS BIGINT) AS ms, min(t.idx) AS f FROM hyp s JOIN trn t ON s.recording_id = t.recording_id AND t.start_ms < s.end_ms AND t.end_ms > s.start_ms GROUP BY s.recording_id, s.idx, s.dur, t.speaker),

@@ -46,3 +46,12 @@ def test_names_follow_each_other(spark, batch):
 
 def test_no_events(spark):
     assert walked(spark, [], [(1, 5, 5)], [(1, 2)]) == {}
+
+
+def test_late_results_are_dropped(spark):
+    asked = [(1, 0, 10, 20), (1, 1, 10, 50), (1, 2, 50, 60), (1, 3, 55, 90), (1, 4, 95, None), (1, 4, 70, 80), (1, 4, 70, 80), (2, 0, 10, 99), (None, 0, 5, 6)]
+    results = spark.createDataFrame(asked, "recording_id long, idx long, asked_ms long, arrived_ms long")
+    fences = spark.createDataFrame([(1, 50, 1), (1, 90, 2), (1, None, 9)], "recording_id long, at_ms long, generation long")
+    got = sorted(((r.recording_id, r.idx, r.generation) for r in controls.in_time(results, fences).collect()), key=str)
+    assert got == sorted([(1, 0, 0), (1, 2, 1), (1, 4, 1), (1, 4, 1), (2, 0, 0), (None, 0, 0)], key=str)
+    assert controls.in_time(results, fences.limit(0)).count() == 8 and controls.in_time(results.limit(0), fences).count() == 0

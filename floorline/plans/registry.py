@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import constants as C, scalars, tables as table_functions
 from ..functions.vectors import nearest_rank
-from ..operators import cluster, controls, identity, interval, reports, score, tally, timeline, vectors
+from ..operators import cluster, controls, field, identity, interval, reports, score, segments, tally, timeline, vectors
 from ..sources import tables
 from .prelude import sql
 
@@ -854,6 +854,88 @@ def field_report(spark, d):
     return reports.field_report(tables.samples(spark, d), k=4)
 
 
+def _diagnosis(spark, d):
+    """The samples as segments of whom the turns about them say, with a level."""
+    s, t = tables.samples(spark, d).drop("truth"), tables.sample_turns(spark, d)
+    named = s.join(interval.majority_speaker(s.select("recording_id", "idx", "start_ms", "end_ms"), t), ["recording_id", "idx"])
+    return segments.diagnose(named.withColumn("level", F.col("idx") * 29 % 997 / 10_000), t)
+
+
+_DIAGNOSIS = """ann AS (SELECT recording_id, idx * 2 AS idx, CAST(truth AS VARCHAR) AS speaker, start_ms - 400 + idx * 53 % 900 AS start_ms, greatest(end_ms - idx * 29 % 1500, start_ms - 300 + idx * 53 % 900) AS end_ms FROM samples
+    UNION ALL SELECT recording_id, idx * 2 + 1, CAST((truth + 1) % 4 AS VARCHAR), start_ms + duration_ms // 2, start_ms + duration_ms // 2 + duration_ms // 3 FROM samples WHERE idx % 4 = 1),
+shr AS (SELECT s.recording_id, s.idx, s.duration_ms AS dur, t.speaker, CAST(sum(least(s.end_ms, t.end_ms) - greatest(s.start_ms, t.start_ms)) AS BIGINT) AS ms, min(t.idx) AS f FROM samples s JOIN ann t ON s.recording_id = t.recording_id AND t.start_ms < s.end_ms AND t.end_ms > s.start_ms GROUP BY ALL),
+rnk AS (SELECT *, row_number() OVER (PARTITION BY recording_id, idx ORDER BY ms DESC, f) AS r FROM shr),
+own AS (SELECT s.recording_id, s.idx, CASE WHEN b.ms > 0.25 * s.duration_ms THEN 'mixed' WHEN a.ms > 0.5 * s.duration_ms THEN a.speaker ELSE '?' END AS own FROM samples s LEFT JOIN rnk a ON s.recording_id = a.recording_id AND s.idx = a.idx AND a.r = 1 LEFT JOIN rnk b ON s.recording_id = b.recording_id AND s.idx = b.idx AND b.r = 2),
+cvo AS (SELECT v.recording_id, v.idx, v.duration_ms, v.vector, o.own FROM cvec v JOIN own o ON v.recording_id = o.recording_id AND v.idx = o.idx WHERE o.own NOT IN ('?', 'mixed')),
+cto AS (SELECT recording_id, own, list_transform(v, lambda x: x / n) AS centroid FROM (SELECT recording_id, own, list(s ORDER BY d) AS v, sqrt(sum(s * s)) AS n FROM (SELECT recording_id, own, d, sum(x * duration_ms) AS s FROM (SELECT recording_id, own, duration_ms, unnest(vector) AS x, generate_subscripts(vector, 1) AS d FROM cvo) GROUP BY ALL) GROUP BY ALL)),
+far AS (SELECT v.recording_id, v.idx, v.own, v.duration_ms, arg_min(c.own, (1 - list_dot_product(v.vector, c.centroid), c.own)) AS nearest, max(1 - list_dot_product(v.vector, c.centroid)) FILTER (c.own = v.own) AS own_distance FROM cvo v JOIN cto c USING (recording_id) GROUP BY v.recording_id, v.idx, v.own, v.duration_ms),
+cov AS (SELECT r.recording_id, r.idx, sum(ms) FILTER (speaker = own) AS mine, sum(ms) FILTER (speaker <> own) AS theirs FROM shr r JOIN own USING (recording_id, idx) GROUP BY ALL),
+dia AS (SELECT f.recording_id, f.idx, f.own, CAST(f.idx * 5000 // 60000 AS INTEGER) AS minute, nearest <> f.own AS misplaced, nearest, CAST(f.duration_ms AS BIGINT) AS duration_ms, coalesce(mine, 0) / f.duration_ms AS purity, coalesce(theirs, 0) / f.duration_ms AS others,
+    greatest(0.0, 1 - (coalesce(mine, 0) + coalesce(theirs, 0)) / f.duration_ms) AS unannotated, f.idx * 29 % 997 / 10000 AS level, own_distance FROM far f LEFT JOIN cov c ON f.recording_id = c.recording_id AND f.idx = c.idx)
+"""
+
+
+@query()
+def segment_diagnosis(spark, d):
+    """Each segment of one speaker: how pure, how loud, how far from its speaker, and who is nearest."""
+    return _diagnosis(spark, d).select("recording_id", "idx", "own", "minute", "misplaced", "nearest", "duration_ms", *map(_six, segments.FEATURES[1:]))
+
+
+@query()
+def segment_contrast(spark, d):
+    """Medians of misplaced and of well-placed segments by speaker."""
+    found = segments.contrast(_diagnosis(spark, d))
+    return found.select(*(_six(c) if c.startswith(segments.FEATURES[1:]) else c for c in found.columns))
+
+
+@query()
+def segments_drawn_to(spark, d):
+    """Whom misplaced segments are nearest to, and in which minutes; the list as text."""
+    return segments.drawn_to(_diagnosis(spark, d)).withColumn("minutes", F.array_join("minutes", ","))
+
+
+@query()
+def misplaced_by_bin(spark, d):
+    """How many segments are misplaced by purity and by duration."""
+    return segments.rates(_diagnosis(spark, d))
+
+
+_HEAD = sql("", "samples", "cvec").rstrip() + ",\n" + _DIAGNOSIS
+_MEDIANS = ", ".join(
+    f"round(list_sort(list({f}) FILTER ({on}))[CAST(least(floor(0.5 * count({f}) FILTER ({on})), count({f}) FILTER ({on}) - 1) AS BIGINT) + 1], 6) AS {f}_{side}" for f in segments.FEATURES for side, on in (("misplaced", "misplaced"), ("placed", "NOT misplaced"))
+)
+ORACLE_SQL["segment_diagnosis"] = _HEAD + "SELECT recording_id, idx, own, minute, misplaced, nearest, duration_ms, round(purity, 6) AS purity, round(others, 6) AS others, round(unannotated, 6) AS unannotated, round(level, 6) AS level, round(own_distance, 6) AS own_distance FROM dia"
+ORACLE_SQL["segment_contrast"] = _HEAD + f"SELECT recording_id, own, count(*) AS segments, count(*) FILTER (misplaced) AS misplaced, count(*) FILTER (misplaced AND others > 0) AS crowded_misplaced, count(*) FILTER (NOT misplaced AND others > 0) AS crowded_placed, {_MEDIANS} FROM dia GROUP BY ALL"
+ORACLE_SQL["segments_drawn_to"] = _HEAD + "SELECT recording_id, own, nearest, count(*) AS segments, string_agg(minute, ',' ORDER BY minute) AS minutes FROM dia WHERE misplaced GROUP BY ALL"
+ORACLE_SQL["misplaced_by_bin"] = _HEAD + """SELECT recording_id, measure, least, count(*) AS segments, count(*) FILTER (misplaced) AS misplaced FROM (SELECT recording_id, misplaced, 'purity' AS measure, CASE WHEN purity >= 0.95 THEN 0.95 WHEN purity >= 0.75 THEN 0.75 WHEN purity >= 0.5 THEN 0.5 ELSE 0 END::DOUBLE AS least FROM dia
+UNION ALL SELECT recording_id, misplaced, 'duration_ms', CASE WHEN duration_ms >= 6000 THEN 6000 WHEN duration_ms >= 3000 THEN 3000 WHEN duration_ms >= 1500 THEN 1500 ELSE 0 END::DOUBLE FROM dia) GROUP BY ALL"""
+
+
+@query("SELECT a.recording_id, a.label AS a, b.label AS b, round(1 - list_dot_product(a.centroid, b.centroid), 6) AS distance FROM ccen a JOIN ccen b ON a.recording_id = b.recording_id AND a.label < b.label", "ccen")
+def people_distances(spark, d):
+    """How far the people of each recording are from each other."""
+    return field.people_distances(_labelled(spark, d)).withColumn("distance", F.round("distance", 6))
+
+
+@query()
+def head_count_alternatives(spark, d):
+    """What groups would consist of with one person fewer and one more."""
+    return field.alternatives(_labelled(spark, d), k=4)
+
+
+@query("SELECT user_id AS recording_id, event_type AS kind, count(*) AS entries, min(event_id // 10) AS first_at_ms, arg_min(props, (event_id // 10, props)) AS first_detail FROM events GROUP BY ALL")
+def log_report(spark, d):
+    """Events as a session's log: how many of each kind, and the first one's words."""
+    e = tables.table(spark, d, "events")
+    return field.log_report(e.select(F.col("user_id").alias("recording_id"), F.col("event_type").alias("kind"), F.floor(F.col("event_id") / 10).alias("at_ms"), F.col("props").alias("detail")))
+
+
+@query()
+def first_appearances(spark, d):
+    """When the replayed page first showed each identity."""
+    return field.appearances(tables.samples(spark, d), k=3)
+
+
 # --- small rules ----------------------------------------------------------------------------------
 
 

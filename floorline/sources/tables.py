@@ -39,6 +39,15 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.floor(F.col("vec_id") / SAMPLES_PER_RECORDING).alias("recording_id"), F.col("vec_id").alias("idx"), (F.col("vec_id") * 5000).alias("start_ms"), (F.col("vec_id") * 5000 + ms).alias("end_ms"), ms.alias("duration_ms"), F.col("label").alias("truth"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
 
 
+def sample_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotated turns about the samples: each one's label a little off its time, and in every fourth the next label for a third of it."""
+    s, v, ms = samples(spark, sf_dir), F.col("idx"), F.col("duration_ms")
+    start, half = F.col("start_ms") - 400 + v * 53 % 900, F.col("start_ms") + F.floor(ms / 2)
+    own = s.select("recording_id", (v * 2).alias("idx"), start.alias("start_ms"), F.greatest(F.col("end_ms") - v * 29 % 1500, start + 100).alias("end_ms"), F.col("truth").cast("string").alias("speaker"))
+    other = s.where(v % 4 == 1).select("recording_id", (v * 2 + 1).alias("idx"), half.alias("start_ms"), (half + F.floor(ms / 3)).alias("end_ms"), ((F.col("truth") + 1) % 4).cast("string").alias("speaker"))
+    return own.union(other)
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as turns: (recording_id, idx, start_ms, end_ms, speaker), ten ms a character."""
     c = table(spark, sf_dir, "conversations")

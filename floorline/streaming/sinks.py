@@ -78,15 +78,7 @@ class EpochWriter(DataSourceStreamArrowWriter):
         return Part(name)
 
     def commit(self, messages: list[Part | None], batchId: int) -> None:  # noqa: N803
-        where, path = place(self.folder)
-        where.create_dir(f"{path}/epochs", recursive=True)
-        at = f"{path}/epochs/{batchId}.json"
-        before = _listed(where, at)
-        with where.open_output_stream(f"{at}.new") as f:
-            f.write(json.dumps({"epoch": batchId, "files": sorted(m.file for m in messages if m is not None and m.file)}).encode())
-        where.move(f"{at}.new", at)
-        for name in before:
-            where.delete_file(f"{path}/parts/{name}")
+        _put_in_place(self.folder, batchId, [m.file for m in messages if m is not None and m.file])
 
     def abort(self, messages: list[Part | None], batchId: int) -> None:  # noqa: N803
         where, path = place(self.folder)
@@ -95,6 +87,20 @@ class EpochWriter(DataSourceStreamArrowWriter):
                 where.delete_file(f"{path}/parts/{m.file}")
 
 
+def _put_in_place(folder: str, epoch: int, names: list[str]) -> None:
+    """From here on the epoch consists of what ``names`` has of ``parts``, and of nothing else."""
+    where, path = place(folder)
+    where.create_dir(f"{path}/epochs", recursive=True)
+    at = f"{path}/epochs/{epoch}.json"
+    before = _listed(where, at)
+    with where.open_output_stream(f"{at}.new") as f:
+        f.write(json.dumps({"epoch": epoch, "files": sorted(names)}).encode())
+    where.move(f"{at}.new", at)
+    for name in before:
+        old = f"{path}/parts/{name}"
+        (where.delete_dir if where.get_file_info(old).type == fs.FileType.Directory else where.delete_file)(old)
+
+
 def _listed(where: fs.FileSystem, at: str) -> list[str]:
     if where.get_file_info(at).type != fs.FileType.File:
         return []
@@ -114,17 +120,29 @@ class Epochs(DataSource):
 
 
 def write_epochs(rows: DataFrame, path: str, checkpoint: str, *, mode: str = "append", trigger: dict | None = None) -> StreamingQuery:
-    """Every micro-batch's rows, once each and whole or not at all, whatever fails; ``read_epochs`` reads them."""
+    """Every micro-batch's rows, once each and whole or not at all, whatever fails; ``read_epochs`` reads them.
+
+    Data sources in Python take mode ``append`` only. In other modes Spark's own writer makes a folder a micro-batch, which is put in
+    place the same way.
+    """
+    if mode != "append":
+
+        def put(batch: DataFrame, epoch: int) -> None:
+            name = uuid.uuid4().hex
+            batch.write.parquet(f"{path}/parts/{name}")
+            _put_in_place(path, epoch, [name])
+
+        return on_update(rows, put, checkpoint, trigger=trigger)
     rows.sparkSession.dataSource.register(Epochs)
-    return rows.writeStream.format(EPOCHS).outputMode(mode).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start(path)
+    return rows.writeStream.format(EPOCHS).outputMode("append").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start(path)
 
 
 def read_epochs(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """The rows of all micro-batches that are in place, with ``epoch``. The driver lists files, as it does for any folder."""
-    lists = spark.read.schema("epoch bigint, files array<string>").option("pathGlobFilter", "*.json").json(f"{path}/epochs")
+    lists = spark.read.schema("epoch bigint, files array<string>").json(f"{path}/epochs", pathGlobFilter="*.json")
     named = lists.select("epoch", F.explode("files").alias("_file"))
     files = [f"{path}/parts/{r._file}" for r in named.select("_file").collect()]
     if not files:
         return spark.createDataFrame([], schema).withColumn("epoch", F.lit(None).cast("long"))
-    rows = spark.read.schema(schema).parquet(*files).withColumn("_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    rows = spark.read.schema(schema).parquet(*files).withColumn("_file", F.regexp_extract(F.input_file_name(), "/parts/([^/]+)", 1))
     return rows.join(named, "_file").drop("_file")

@@ -118,6 +118,10 @@ def test_an_epoch_committed_again_counts_once(spark, tmp_path):
     writer.abort([lost, None], 1)
     got = sinks.read_epochs(spark, str(tmp_path), "x bigint")
     assert sorted((r.epoch, r.x) for r in got.collect()) == [(0, 1), (0, 1), (0, 2), (0, 2)]
+    (tmp_path / "parts" / "folder").mkdir()
+    sinks._put_in_place(str(tmp_path), 0, ["folder"])
+    sinks._put_in_place(str(tmp_path), 0, [])
+    assert not (tmp_path / "parts" / "folder").exists() and not sinks.read_epochs(spark, str(tmp_path), "x bigint").collect()
     assert not (tmp_path / "parts" / first.file).exists() and not (tmp_path / "parts" / lost.file).exists()
 
 
@@ -132,6 +136,6 @@ def test_captured_sound_is_heard_as_the_fold_hears_it(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / f"a{capture.SUFFIX}").write_bytes(body + capture.line("one", 10_000, verb="flush"))
     rows = live_updates(capture.captured(spark, str(tmp_path / "in")).where("session is not null"), speaker_count=3)
-    sinks.write_states(rows, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
-    last = sinks.latest(spark.read.parquet(str(tmp_path / "out"))).first()
+    sinks.write_epochs(rows, str(tmp_path / "out"), str(tmp_path / "cp"), mode="update").awaitTermination(120)
+    last = sinks.latest(sinks.read_epochs(spark, str(tmp_path / "out"), rows.schema)).first()
     assert last.covered_to_ms == states[-1]["covered_to_ms"] and last.total_ms == pytest.approx(states[-1]["total_ms"])

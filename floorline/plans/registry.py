@@ -28,6 +28,10 @@ def query(body: str | None = None, *uses: str):
     return put
 
 
+def _recursive(body: str, *uses: str) -> str:
+    return sql("", *uses).rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + ",\n" + body
+
+
 def _six(column: str):
     return F.round(column, 6).alias(column)
 
@@ -693,12 +697,32 @@ def profile_attribution(spark, d):
     return _attributed(spark, d).select("recording_id", "idx", "identity", _six("distance"))
 
 
+_ATTRIBUTED = """fil AS (SELECT recording_id, CAST(truth % 4 AS BIGINT) AS p, d, sum(x * duration_ms) AS s FROM parts WHERE idx % 50 < 12 GROUP BY ALL),
+prf AS (SELECT recording_id, list({'p': p, 'sums': sums} ORDER BY p) AS held FROM (SELECT recording_id, p, list(s ORDER BY d) AS sums FROM fil GROUP BY ALL) GROUP BY recording_id),
+stp AS (SELECT recording_id, idx, vector, duration_ms, row_number() OVER (PARTITION BY recording_id ORDER BY idx) AS i FROM samples WHERE idx % 50 >= 12),
+rec AS (SELECT recording_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS idx, held, CAST(NULL AS BIGINT) AS identity, CAST(NULL AS DOUBLE) AS distance FROM prf
+    UNION ALL SELECT recording_id, i, idx, list_transform(held, lambda h: {'p': h.p, 'sums': CASE WHEN h.p = hit.p AND hit.far <= 0.75 THEN list_transform(range(1, len(h.sums) + 1), lambda k: h.sums[k] + vector[k] * duration_ms) ELSE h.sums END}), hit.p, hit.far
+    FROM (SELECT n.*, r.held, list_sort(list_transform(r.held, lambda h: {'far': 1 - list_dot_product(n.vector, h.sums) / sqrt(list_dot_product(h.sums, h.sums)), 'p': h.p}))[1] AS hit FROM rec r JOIN stp n ON n.recording_id = r.recording_id AND n.i = r.i + 1))
+"""
+ORACLE_SQL["profile_attribution"] = _recursive(_ATTRIBUTED + "SELECT recording_id, idx, identity, round(distance, 6) AS distance FROM rec WHERE i > 0", "samples", "parts")
+
+
 @query()
 def new_voice_runs(spark, d):
     times = tables.samples(spark, d).select("recording_id", "idx", "start_ms", "duration_ms")
     return identity.far_runs(_attributed(spark, d).join(times, ["recording_id", "idx"]))
 
 
+ORACLE_SQL["new_voice_runs"] = _recursive(
+    _ATTRIBUTED
+    + f"""SELECT recording_id, arg_min(idx, (start_ms, idx)) AS idx, arg_min(from_ms, (start_ms, idx)) AS from_ms, arg_min(n, (start_ms, idx)) AS samples, arg_min(ms, (start_ms, idx)) AS ms
+FROM (SELECT *, count(*) FILTER (pause) OVER (PARTITION BY recording_id ORDER BY start_ms, idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stretch FROM (SELECT s.*, s.start_ms - lag(s.start_ms) OVER (PARTITION BY s.recording_id ORDER BY s.start_ms, s.idx) >= {C.QUIET_MS} AS pause,
+min(s.start_ms) OVER w AS from_ms, count(*) OVER w AS n, CAST(sum(s.duration_ms) OVER w AS BIGINT) AS ms FROM samples s JOIN rec r ON s.recording_id = r.recording_id AND s.idx = r.idx WHERE r.distance > {C.FAR_DISTANCE} WINDOW w AS (PARTITION BY s.recording_id ORDER BY s.start_ms RANGE BETWEEN {C.FAR_WITHIN_MS} PRECEDING AND CURRENT ROW))) WHERE n >= {C.FAR_MIN_SAMPLES} AND ms >= {C.FAR_MIN_MS} GROUP BY recording_id, stretch""",
+    "samples",
+    "parts",
+)
+
+
 @query(
     """SELECT recording_id, arg_min(idx, (start_ms, idx)) AS idx, arg_min(from_ms, (start_ms, idx)) AS from_ms, arg_min(n, (start_ms, idx)) AS samples, arg_min(ms, (start_ms, idx)) AS ms
 FROM (SELECT *, count(*) FILTER (pause) OVER (PARTITION BY recording_id ORDER BY start_ms, idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stretch FROM (SELECT *, start_ms - lag(start_ms) OVER (PARTITION BY recording_id ORDER BY start_ms, idx) >= 6000 AS pause,
@@ -716,6 +740,20 @@ def viterbi_smooth(spark, d):
     return cluster.viterbi(_labelled(spark, d), 0.3, 2000)
 
 
+ORACLE_SQL["viterbi_smooth"] = _recursive(
+    """seen AS (SELECT recording_id, label, row_number() OVER (PARTITION BY recording_id ORDER BY min(idx)) AS nth FROM lab WHERE label <> -1 GROUP BY recording_id, label),
+cst AS (SELECT l.recording_id, l.idx, l.start_ms, l.end_ms, list(1 - list_dot_product(l.vector, c.centroid) ORDER BY nth) AS cost, list(s.label ORDER BY nth) AS names FROM lab l JOIN seen s ON l.recording_id = s.recording_id JOIN cent c ON c.recording_id = s.recording_id AND c.label = s.label GROUP BY l.recording_id, l.idx, l.start_ms, l.end_ms),
+stp AS (SELECT *, range(1, len(cost) + 1) AS each, row_number() OVER w AS i, 0.3 * exp(-greatest(0, start_ms - lag(end_ms) OVER w) / 2000.0) AS cut FROM cst WINDOW w AS (PARTITION BY recording_id ORDER BY idx)),
+rec AS (SELECT recording_id, i, cost AS total, list_transform(each, lambda s: [s]) AS path FROM stp WHERE i = 1
+    UNION ALL SELECT recording_id, i, list_transform(each, lambda s: list_min(via[s]) + cost[s]), list_transform(each, lambda s: list_append(path[list_position(via[s], list_min(via[s]))], s))
+    FROM (SELECT n.recording_id, n.i, n.each, n.cost, r.path, list_transform(n.each, lambda s: list_transform(n.each, lambda p: r.total[p] + CASE WHEN p = s THEN 0 ELSE n.cut END)) AS via FROM rec r JOIN stp n ON n.recording_id = r.recording_id AND n.i = r.i + 1)),
+bst AS (SELECT recording_id, arg_max(path[list_position(total, list_min(total))], i) AS path FROM rec GROUP BY recording_id)
+SELECT s.recording_id, s.idx, CAST(names[b.path[s.i]] AS BIGINT) AS label FROM stp s JOIN bst b ON s.recording_id = b.recording_id""",
+    "lab",
+    "cent",
+)
+
+
 @query()
 def session_replay(spark, d):
     return identity.replay_sessions(tables.samples(spark, d), k=3).drop("identities")

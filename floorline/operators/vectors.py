@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import constants as C
-from ..functions.vectors import cosine_distance, normalise
+from ..functions.vectors import cosine_distance, dot, normalise
 
 
 #: Groups whose sums a task holds before it passes them on.
@@ -74,9 +74,11 @@ def centroids(samples: DataFrame, keys: list[str], weight: str | None = "duratio
 def centre(samples: DataFrame, least: int = C.MIN_FOR_CENTRING) -> DataFrame:
     """``samples`` with vectors less their recording's mean, at unit length; recordings of fewer than ``least`` as they are."""
     sums = vector_sums(samples, ["recording_id"]).select("recording_id", F.transform("total", lambda x: x / F.col("n")).alias("_mean"), F.col("n").alias("_n"))
-    moved = normalise(F.zip_with("vector", "_mean", lambda a, b: a.cast("double") - b))
-    joined = samples.join(sums, "recording_id")
-    return joined.withColumn("vector", F.when(F.col("_n") < least, F.transform("vector", lambda x: x.cast("double"))).otherwise(moved)).drop("_mean", "_n")
+    joined = samples.join(sums, "recording_id").withColumn("_moved", F.zip_with("vector", "_mean", lambda a, b: a.cast("double") - b))
+    # a column of its own, for within a lambda the length would be worked out for each number
+    measured = joined.withColumn("_length", F.sqrt(dot(F.col("_moved"), F.col("_moved"))))
+    unit_length = F.when(F.col("_length") == 0, F.col("_moved")).otherwise(F.transform("_moved", lambda x: x / F.col("_length")))
+    return measured.withColumn("vector", F.when(F.col("_n") < least, F.transform("vector", lambda x: x.cast("double"))).otherwise(unit_length)).drop("_mean", "_n", "_moved", "_length")
 
 
 def nearest(samples: DataFrame, centres: DataFrame, label: str = "label") -> DataFrame:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import constants as C
 from .interval import RULES, overlap_join, overlap_owners, speaker_at
@@ -60,22 +59,26 @@ def aligned(reference: DataFrame, hypothesis: DataFrame, totals: DataFrame, fram
     return both.select("recording_id", F.col("start_ms").alias("frame"), (F.col("end_ms") - F.col("start_ms")).alias("frames"), "ref", "hyp")
 
 
+def _greedy(pairs: Column, kind: str) -> Column:
+    """Of ``pairs``, an array of structs (minus, hyp, ref, n) of type ``kind``, those that the greedy matching takes: each side used once."""
+    free = lambda taken, p, c: ~F.exists(taken, lambda t: t[c] == p[c])
+    return F.aggregate(F.array_sort(pairs), F.array().cast(kind), lambda taken, p: F.when(free(taken, p, "hyp") & free(taken, p, "ref"), F.concat(taken, F.array(p))).otherwise(taken))
+
+
+def _pairs(counts: DataFrame, on: Column) -> tuple[Column, str]:
+    """The aggregate that collects the ``counts`` (hyp, ref, n) for which ``on`` holds as such pairs, and its type."""
+    pair = F.struct((-F.col("n")).alias("minus"), "hyp", "ref", "n")
+    return F.collect_list(F.when(on, pair)), f"array<{counts.select(pair.alias('p')).schema['p'].dataType.simpleString()}>"
+
+
 def greedy_match(counts: DataFrame) -> DataFrame:
     """(recording_id, hyp, ref, n) to (recording_id, hyp, matched): the largest pair first, each side used once.
 
     A recording has a handful of speakers; ties go to the pair that names the earlier hypothesis, then reference.
     """
-    kinds = {c: counts.schema[c].dataType.simpleString() for c in ("recording_id", "hyp", "ref")}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        given, used = {}, set()
-        for row in pdf.sort_values(["n", "hyp", "ref"], ascending=[False, True, True]).itertuples():
-            if row.hyp not in given and row.ref not in used:
-                given[row.hyp] = row.ref
-                used.add(row.ref)
-        return pd.DataFrame({"recording_id": pdf["recording_id"].iloc[0], "hyp": list(given), "matched": list(given.values())})
-
-    return counts.select("recording_id", "hyp", "ref", "n").groupBy("recording_id").applyInPandas(run, f"recording_id {kinds['recording_id']}, hyp {kinds['hyp']}, matched {kinds['ref']}")
+    pairs, kind = _pairs(counts, F.col("hyp").isNotNull() & F.col("ref").isNotNull())
+    held = counts.groupBy("recording_id").agg(pairs.alias("pairs"))
+    return held.select("recording_id", F.explode(_greedy(F.col("pairs"), kind)).alias("p")).select("recording_id", "p.hyp", F.col("p.ref").alias("matched"))
 
 
 def match_speakers(frames: DataFrame) -> DataFrame:
@@ -99,49 +102,30 @@ def diarization_error(reference: DataFrame, hypothesis: DataFrame, totals: DataF
     return error_counters(frames, match_speakers(frames))
 
 
-def _matched_pairs(rows) -> dict:
-    """The greedy matching of (n, hyp, ref) rows: hypothesis to reference."""
-    given: dict = {}
-    for _, hyp, ref in sorted(rows, key=lambda r: (-r[0], r[1], r[2])):
-        if hyp not in given and ref not in given.values():
-            given[hyp] = ref
-    return given
-
-
 def overlap_rule_errors(reference: DataFrame, attributed: DataFrame, overlaps: DataFrame, totals: DataFrame, frame_ms: int = C.DER_FRAME_MS) -> DataFrame:
     """(rule, missed_ms, false_alarm_ms, confusion_ms, correct_ms, reference_ms, der): the error rate over all recordings for each
     rule of who gets an overlap. ``attributed`` spans have a ``speaker``; by the rule 'none' nobody gets any.
 
-    All rules share one pass: what lies over a bin of ten seconds of a recording is one row, cut there into stretches with a
-    winner of the reference and one by each rule. What is left of a recording is a count by pair of speakers and rule, from which
-    the matching and the counters come. Of spans that tie in length and ``idx``, as the halves of an overlap do, the later wins.
+    All rules share one pass: over each stretch between neighbouring edges the winner of the reference and one by each rule come from
+    one aggregate. What is left of a recording is a count by pair of speakers and rule, from which the matching and the counters
+    come. Of spans that tie in length and ``idx``, as the halves of an overlap do, the later wins.
     """
     span = lambda t, kind: t.select("recording_id", "idx", F.col("start_ms").cast("double").alias("start_ms"), F.col("end_ms").cast("double").alias("end_ms"), F.col("speaker").cast("string").alias("speaker"), kind.alias("kind"))
     names = attributed.select("recording_id", F.col("idx").alias("owner"), "speaker")
     given = overlap_owners(overlaps, attributed).join(names, ["recording_id", "owner"])
     rows = span(reference, F.lit("ref")).union(span(attributed, F.lit("all"))).union(span(given, F.col("rule")))
-    first, last = F.floor(F.col("start_ms") / PIECE_FRAMES), F.floor((F.col("end_ms") - 1) / PIECE_FRAMES)
-    binned = _framed(rows, totals, frame_ms).withColumn("bin", F.explode(F.sequence(first, last)))
-    part = F.struct(F.greatest("start_ms", F.col("bin") * PIECE_FRAMES).alias("a"), F.least("end_ms", (F.col("bin") + 1) * PIECE_FRAMES).alias("b"), "kind", F.struct("_len", "idx", "_from", "speaker").alias("rank"))
-    held = binned.groupBy("recording_id", "bin").agg(F.collect_list(part).alias("parts"))
-    edges = F.array_sort(F.array_distinct(F.concat(F.transform("parts", lambda x: x["a"]), F.transform("parts", lambda x: x["b"]))))
-    n = F.size("edges") - 1
-    pieces = held.withColumn("edges", edges).select("recording_id", "parts", F.explode(F.arrays_zip(F.slice("edges", F.lit(1), n).alias("a"), F.slice("edges", F.lit(2), n).alias("b"))).alias("p"))
-    over = pieces.select("recording_id", (F.col("p.b") - F.col("p.a")).alias("frames"), F.filter("parts", lambda x: (x["a"] <= F.col("p.a")) & (x["b"] >= F.col("p.b"))).alias("over"))
-    winner = lambda *kinds: F.array_max(F.transform(F.filter("over", lambda x: x["kind"].isin(*kinds)), lambda x: x["rank"]))["speaker"]
-    each = over.select("recording_id", "frames", winner("ref").alias("ref"), F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), winner("all", r).alias("hyp")) for r in RULES))).alias("by"))
+    framed = _framed(rows, totals, frame_ms).select("recording_id", "start_ms", "end_ms", "kind", F.struct("_len", "idx", "_from", "speaker").alias("rank"))
+    winner = lambda *kinds: F.max(F.when(F.col("b_kind").isin(*kinds), F.col("b_rank")))["speaker"]
+    over = _over(_pieces(framed), framed, winner("ref").alias("ref"), **{f"by_{r}": winner("all", r) for r in RULES})
+    each = over.select("recording_id", (F.col("end_ms") - F.col("start_ms")).alias("frames"), "ref", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(f"by_{r}").alias("hyp")) for r in RULES))).alias("by"))
     counts = each.where("ref is not null or by.hyp is not null").groupBy("recording_id", "by.rule", "by.hyp", "ref").agg(F.sum("frames").alias("n"))
-    counters = ["missed_ms", "false_alarm_ms", "confusion_ms", "correct_ms", "reference_ms"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        hyp, ref, n = pdf["hyp"], pdf["ref"], pdf["n"]
-        spoken = hyp.notna() & ref.notna()
-        same = spoken & (hyp.map(_matched_pairs(zip(n[spoken], hyp[spoken], ref[spoken], strict=True))) == ref)
-        sums = [n[on].sum() * frame_ms for on in (hyp.isna(), ref.isna(), spoken & ~same, same, ref.notna())]
-        return pd.DataFrame([[pdf["rule"].iloc[0], *sums]], columns=["rule", *counters])
-
-    each_one = counts.groupBy("recording_id", "rule").applyInPandas(run, "rule string, " + ", ".join(f"{c} long" for c in counters))
-    sums = each_one.groupBy("rule").agg(*(F.sum(c).alias(c) for c in counters))
+    ref, hyp = F.col("ref").isNotNull(), F.col("hyp").isNotNull()
+    pairs, kind = _pairs(counts, ref & hyp)
+    count = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    held = counts.groupBy("recording_id", "rule").agg(count(~hyp).alias("missed"), count(~ref).alias("false_alarm"), count(ref & hyp).alias("both"), count(ref).alias("reference"), pairs.alias("pairs"))
+    correct = F.aggregate(_greedy(F.col("pairs"), kind), F.lit(0).cast("long"), lambda n, p: n + p["n"])
+    each_one = held.withColumn("correct", correct).withColumn("confusion", F.col("both") - F.col("correct"))
+    sums = each_one.groupBy("rule").agg(*((F.sum(c) * frame_ms).alias(f"{c}_ms") for c in ("missed", "false_alarm", "confusion", "correct", "reference")))
     return sums.withColumn("der", F.when(F.col("reference_ms") > 0, (F.col("missed_ms") + F.col("false_alarm_ms") + F.col("confusion_ms")) / F.col("reference_ms")).otherwise(0.0))
 
 

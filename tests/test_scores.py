@@ -150,3 +150,13 @@ def test_rules_for_overlaps_by_error(spark):
     totals = spark.createDataFrame([("r", 3000)], "recording_id string, total_ms long")
     got = {r.rule: (r.missed_ms, r.confusion_ms, r.correct_ms, round(r.der, 6)) for r in score.overlap_rule_errors(ref, own, both, totals).collect()}
     assert got == {"none": (1000, 0, 2000, 0.333333), "before": (0, 500, 2500, 0.166667), "after": (0, 500, 2500, 0.166667), "nearer": (0, 500, 2500, 0.166667), "split": (0, 0, 3000, 0.0), "within_1s": (0, 500, 2500, 0.166667)}
+
+
+def test_matching_is_no_python_group(spark):
+    """A recording and rule is a row, not a group of its own in Python, of which there are six a recording."""
+    counts = spark.createDataFrame([(1, "b", "x", 5), (1, "a", "x", 5), (1, "a", "y", 4), (1, "b", "y", 1), (1, None, "x", 99), (2, "a", None, 3)], "recording_id long, hyp string, ref string, n long")
+    assert sorted(map(tuple, score.greedy_match(counts).collect())) == [(1, "a", "x"), (1, "b", "y")]
+    turns = spark.createDataFrame([(1, 0, 0, 900, "x")], "recording_id long, idx long, start_ms long, end_ms long, speaker string")
+    totals = spark.createDataFrame([(1, 900)], "recording_id long, total_ms long")
+    found = score.overlap_rule_errors(turns, turns, turns, totals)
+    assert "InPandas" not in found._jdf.queryExecution().optimizedPlan().toString()

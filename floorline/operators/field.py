@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import constants as C
 from ..functions.vectors import cosine_distance
-from . import cluster as c
+from . import cluster as c, spread
 from .identity import replay_sessions
 from .vectors import centre, centroids
 
@@ -45,7 +45,7 @@ def alternatives(labelled: DataFrame, k: int, background: bool = False) -> DataF
         return pd.concat(found) if found else pd.DataFrame(columns=["recording_id", "people", "voice", "label", "duration_ms"])
 
     schema = f"recording_id {kinds['recording_id']}, people int, voice long, label {kinds['label']}, duration_ms double"
-    each = labelled.where("vector is not null").select("recording_id", "idx", "vector", "duration_ms", "label").groupBy("recording_id").applyInPandas(run, schema)
+    each = spread.by(labelled.where("vector is not null").select("recording_id", "idx", "vector", "duration_ms", "label"), "recording_id").applyInPandas(run, schema)
     return each.groupBy("recording_id", "people", "voice", "label").agg(F.count("*").alias("samples"), F.sum("duration_ms").alias("ms"))
 
 
@@ -63,10 +63,13 @@ def appearances(samples: DataFrame, k: int | None, background: bool = False) ->
     """
     shown = replay_sessions(samples, k, background)
     at = F.lit(FIRST_TRUST_TO_MS) + F.col("window") * C.HOP_MS
-    first = shown.select("recording_id", at.alias("at"), F.explode(F.array_distinct("identities")).alias("identity")).where(F.col("identity") != C.OTHER_VOICE).groupBy("recording_id", "identity").agg(F.min("at").cast("long").alias("first_ms"))
-    last = first.groupBy("recording_id").agg(F.max("first_ms").alias("_last"))
-    final = shown.groupBy("recording_id").agg(F.max_by("identities", "window").alias("_final"))
+    each = shown.select("recording_id", at.alias("at"), F.struct("window", "identities").alias("step"), F.explode(F.array_distinct("identities")).alias("identity"))
+    first = each.groupBy("recording_id", "identity").agg(F.min("at").cast("long").alias("first_ms"), F.max("step").alias("step"))
+    named = F.col("identity") != C.OTHER_VOICE
+    # all that is asked of the replay is one row a recording, so that it runs once
+    whole = first.groupBy("recording_id").agg(F.max("step")["identities"].alias("_final"), F.max(F.when(named, F.col("first_ms"))).alias("_last"), F.collect_list(F.when(named, F.struct("identity", "first_ms"))).alias("_firsts"))
     nth = F.row_number().over(Window.partitionBy("recording_id").orderBy("idx")) - 1
-    placed = samples.select("recording_id", "idx", "end_ms").withColumn("_n", nth).join(final, "recording_id").join(last, "recording_id")
-    heard = placed.where(F.col("end_ms") <= F.col("_last")).groupBy("recording_id").agg(F.count_distinct(F.get("_final", F.col("_n"))).alias("heard"))
-    return first.join(heard, "recording_id", "left").select("recording_id", "identity", "first_ms", F.coalesce("heard", F.lit(0)).alias("heard"))
+    placed = whole.join(samples.select("recording_id", "end_ms", nth.alias("_n")), "recording_id")
+    heard = F.size(F.collect_set(F.when(F.col("end_ms") <= F.col("_last"), F.get("_final", F.col("_n"))))).cast("long")
+    both = placed.groupBy("recording_id").agg(F.first("_firsts").alias("_firsts"), heard.alias("heard"))
+    return both.select("recording_id", F.explode("_firsts").alias("f"), "heard").select("recording_id", "f.identity", "f.first_ms", "heard")

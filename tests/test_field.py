@@ -118,3 +118,16 @@ def test_appearances_follow_the_replay(spark):
 def test_log_report(spark):
     log = spark.createDataFrame([("r", "error", 5, "b"), ("r", "error", 5, "a"), ("r", "error", 9, "0"), ("r", "window", 7, None)], "recording_id string, kind string, at_ms long, detail string")
     assert {tuple(r) for r in field.log_report(log).collect()} == {("r", "error", 3, 5, "a"), ("r", "window", 1, 7, None)}
+
+
+def test_replay_starts_where_the_recording_does(spark):
+    """Times that count from far back cost nothing, the replay is planned once and dealt over tasks."""
+    v, ms = np.eye(3)[[0, 1, 0, 1]], np.full(4, 1000.0)
+    at = np.array([7_000.0, 12_000, 17_000, 37_000])
+    near, far = identity.replay(v, at, ms, 2), identity.replay(v, at + 5e15, ms, 2)
+    assert [(w - int(5e15) // 5_000, ids, n) for w, ids, n in far] == near and len(near) == 7
+    rows = [(r, i, int(at[i]) - 1000, int(at[i]), 1000, v[i].tolist()) for r in range(24) for i in range(4)]
+    samples = spark.createDataFrame(rows, "recording_id long, idx long, start_ms long, end_ms long, duration_ms long, vector array<double>")
+    assert identity.replay_sessions(samples, 2).select(F.spark_partition_id()).distinct().count() > 1
+    plan = field.appearances(samples, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 1

@@ -350,6 +350,19 @@ def link_fingerprints(prints: DataFrame, *, distance: int = DISTANCE, parts: int
     return links if over.isEmpty() else links.union(_midpoints(over, groups, distance))
 
 
+def candidates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """(a, b): pairs of the ids of ``docs``, which are longs, whose components are those of all texts with fingerprints within ``distance``.
+
+    Of texts with one fingerprint the least id stands for all: the others are paired with it, and it with those of fingerprints that are linked.
+    """
+    prints = cut(fingerprints(docs, doc_id, text).distinct())
+    first = cut(prints.groupBy("fp").agg(F.min(doc_id).alias("a")))
+    same = prints.join(first, "fp").select("a", F.col(doc_id).alias("b"))
+    links = link_fingerprints(first.select("fp"), distance=distance).toDF("fp", "fp_b")
+    apart = links.join(first, "fp").join(first.toDF("fp_b", "b"), "fp_b").select("a", "b")
+    return same.union(apart).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, parts: int = PARTITIONS, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fp, component): one row for each row of ``docs``; component is the least id that its links reach.
 

@@ -157,3 +157,19 @@ def test_sketches_lose_no_pair():
     assert near > 50
     far = [np.unique(rng.integers(0, 1 << 63, 2000, dtype=np.uint64) * 2) for _ in range(2)]
     assert not j.may_be_similar(j.sketch(far[0]), j.sketch(far[1]), len(far[0]), len(far[1]), 0.8)
+
+
+def test_fingerprints_bring_candidates_that_are_checked(spark, monkeypatch):
+    """Operator 3's links are among what is compared, and only those similar enough count."""
+    from floorline.llm import jaccard, simhash
+
+    base = [f"w{i}" for i in range(200)]
+    texts = [(1, " ".join(base)), (2, " ".join(base[:-1])), (3, "other words than those above"), (4, "other words than those here")]
+    near = spark.createDataFrame(texts, "node long, text string")
+    assert [tuple(r) for r in simhash.candidates(near, doc_id="node").collect()] == [(1, 2)]
+    asked = []
+    real = jaccard._similar
+    monkeypatch.setattr(simhash, "candidates", lambda t, **_: t.select(t.node.alias("a")).crossJoin(t.select(t.node.alias("b"))).where("a < b"))
+    monkeypatch.setattr(jaccard, "_similar", lambda pairs, *more: asked.append(pairs.count()) or real(pairs, *more))
+    docs = near.withColumnRenamed("node", "doc_id")
+    assert sorted(r.doc_id for r in jaccard.keep_one(docs).collect()) == [1, 3, 4] and asked[0] == 6
